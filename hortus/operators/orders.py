@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hortus.functions.columns import LINE_TOTAL, display_name, flag_text, keep_keys, true_or_false
@@ -56,22 +56,23 @@ def order_report_header(tables: Tables, orders=None) -> DataFrame:
 
 
 def price_periods(prices: DataFrame) -> DataFrame:
-    """Prices with the start of the next period of the same species (NULL when last).
+    """Prices as periods ``[data_adozione, valido_fino)``; ``valido_fino`` NULL when open.
 
-    The window shuffles the price history only (a few rows per species), never
-    the order lines.
+    The price jobs keep the history contiguous (a change closes the open price
+    at the instant the new one starts, retention deletes closed periods only),
+    so the end of a period is its ``data_termine`` and no window is needed.
     """
-    w = Window.partitionBy("specie_di_pianta").orderBy("data_adozione")
     return prices.select("specie_di_pianta", "data_adozione", "valore",
-                         F.lead("data_adozione").over(w).alias("valido_fino"))
+                         F.col("data_termine").alias("valido_fino"))
 
 
 def order_report_lines(tables: Tables, orders=None) -> DataFrame:
     """Each order line at the price in force on the order date.
 
-    As-of join: the latest price with ``data_adozione <= order date``.  With the
-    period end from ``price_periods`` it is an equi join on species plus a range
-    predicate that matches exactly one period, so the large side needs no window.
+    As-of join: the latest price with ``data_adozione <= order date``.  As the
+    periods of a species are contiguous with exactly one open period, this is
+    an equi join on species plus a range predicate that matches one period:
+    no window and no extra shuffle of the order lines.
     A line dated before the first price of its species has no row (inner join).
     """
     lines = keep_keys(tables["order_lines"], "ordine", orders)

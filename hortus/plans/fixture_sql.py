@@ -81,8 +81,9 @@ DEPENDS: dict[str, tuple[str, ...]] = {
 }
 
 
-def with_fixtures(body: str, *tables: str) -> str:
-    """``WITH`` the named engine tables (and what they depend on), then ``body``."""
+def with_fixtures(body: str, *tables: str, extra: str = "") -> str:
+    """``WITH`` the named engine tables (and what they depend on), then the
+    ``extra`` CTEs, then ``body``."""
     ordered: list[str] = []
 
     def visit(name: str) -> None:
@@ -95,4 +96,6 @@ def with_fixtures(body: str, *tables: str) -> str:
     for t in tables:
         visit(t)
     ctes = ",\n".join(f"{name} as ({FIXTURE_SQL[name]})" for name in ordered)
+    if extra:
+        ctes = f"{ctes},\n{extra}"
     return f"with {ctes}\n{body}"

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hortus.sources.testdata import load_tables
+from hortus.sources.testdata import TestdataTables, load_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,21 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+def register_source(name: str, oracle: str | None = None):
+    """Like ``register``, for queries that also derive request batches: the
+    function receives the ``TestdataTables`` source instead of the tables."""
+    def deco(fn):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(TestdataTables(spark, sf_dir))
+        run.__name__ = name
+        run.__doc__ = fn.__doc__
+        _QUERIES[name] = run
+        if oracle is not None:
+            _ORACLES[name] = oracle
+        return fn
+    return deco
+
+
 def queries() -> dict[str, Query]:
     _load_all()
     return dict(_QUERIES)
@@ -44,4 +59,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all() -> None:
     # Importing the catalogue modules registers their queries.
-    from hortus.plans import report_queries  # noqa: F401
+    from hortus.plans import job_queries, report_queries  # noqa: F401
