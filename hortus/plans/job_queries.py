@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from hortus.functions import codes
 from hortus.operators.jobs import maintenance as M
+from hortus.operators.jobs import orders as OR
+from hortus.operators.jobs import packs as PK
 from hortus.operators.jobs import prices as PR
 from hortus.plans import requests as RQ
 from hortus.plans.fixture_sql import with_fixtures as W
@@ -124,3 +126,69 @@ def apply_retention_prices(src):
 def apply_retention_supply_requests(src):
     """Supply requests left."""
     return M.apply_retention(src.tables(), RETENTION_NOW).tables["supply_requests"]
+
+
+# C12, C13, C14 ------------------------------------------------------------------
+
+def _line_job(src):
+    return OR.apply_order_line_changes(src.tables(), RQ.order_line_changes(src), RQ.finalizations(src))
+
+
+@register_source("apply_order_line_changes")
+def apply_order_line_changes(src):
+    """Decision and running stock per line change (rows-only; checked against the
+    sequential replay in tests)."""
+    return _line_job(src).outcomes
+
+
+@register_source("apply_order_line_changes_stock")
+def apply_order_line_changes_stock(src):
+    """Stock per species after the batch."""
+    return _line_job(src).tables["species"].select("codice", "giacenza")
+
+
+@register_source("apply_order_line_changes_lines")
+def apply_order_line_changes_lines(src):
+    """Order lines after the batch."""
+    return _line_job(src).tables["order_lines"]
+
+
+@register_source("open_orders")
+def open_orders(src):
+    """Decision and new order id per new-order request (rows-only)."""
+    return OR.open_orders(src.tables(), RQ.new_orders(src)).outcomes
+
+
+@register_source("finalize_orders", W(
+    f"select f.ts, f.seq, f.cliente, f.ordine, case when coalesce(o.cliente = f.cliente, false) then null else '45005' end code, "
+    "case when coalesce(o.cliente = f.cliente, false) then 'accepted' else 'rejected' end esito, "
+    "case when coalesce(o.cliente = f.cliente, false) then null else "
+    f"'{codes.REASONS[codes.NOT_OWNER]}' end reason from ({RQ.FINALIZATIONS_SQL}) f left join ordini o on o.id=f.ordine",
+    "ordini"))
+def finalize_orders(src):
+    """C14: one finalize request per order."""
+    return OR.finalize_orders(src.tables(), RQ.finalizations(src)).outcomes
+
+
+@register_source("finalize_orders_table", W(
+    "select o.id, o.cliente, o.data, case when f.ordine is not null then 0 else o.aperto_or_finalizzato end "
+    "aperto_or_finalizzato, o.indirizzo_spedizione, o.contatto from ordini o left join (select distinct ordine from "
+    f"({RQ.FINALIZATIONS_SQL}) r join ordini x on x.id=r.ordine and x.cliente=r.cliente) f on f.ordine=o.id", "ordini"))
+def finalize_orders_table(src):
+    """C14: orders after the finalize batch."""
+    return OR.finalize_orders(src.tables(), RQ.finalizations(src)).tables["orders"]
+
+
+# C19 -------------------------------------------------------------------------
+
+@register_source("allocate_packs")
+def allocate_packs(src):
+    """Decision and pack number per pack request (rows-only; checked against the
+    sequential replay in tests)."""
+    return PK.allocate_packs(src.tables(), RQ.pack_requests(src)).outcomes
+
+
+@register_source("allocate_packs_contents")
+def allocate_packs_contents(src):
+    """Pack contents after the batch."""
+    return PK.allocate_packs(src.tables(), RQ.pack_requests(src)).tables["pack_contents"]
