@@ -72,3 +72,52 @@ def first_in_batch(df: DataFrame, key: Sequence[str], eligible: Column, flag: st
     first = (df.filter(eligible).groupBy(*key).agg(F.min(request_order()).alias("_first")))
     j = df.join(first, list(key), "left")
     return j.withColumn(flag, true_or_false(request_order() > F.col("_first"))).drop("_first")
+
+
+def earliest_unique(df: DataFrame, key_sets: Sequence[Sequence[str]], eligible: Column, flag: str,
+                    max_rounds: int = 64) -> DataFrame:
+    """Adds boolean ``flag``: an earlier accepted request already holds one of this
+    request's unique keys (so the insert would hit a duplicate key).
+
+    Requests are accepted greedily in request order: a request is accepted when
+    it is ``eligible`` and no earlier accepted request shares any key of
+    ``key_sets``.  With one key this is one aggregate.  With several keys a
+    request can depend on a chain of earlier ones, so it is resolved in rounds:
+    each round decides every request that is the earliest undecided one in all
+    of its key groups (at least the earliest request overall), and rejects
+    every request that has an earlier accepted one in a group.  Each round is a
+    few aggregates and joins, checkpointed; rounds = longest conflict chain.
+    """
+    if len(key_sets) == 1:
+        return first_in_batch(df, key_sets[0], eligible, flag)
+    spark = df.sparkSession
+    from hortus.session import checkpoint_dir
+    checkpoint_dir(spark)
+    base = df.withColumn("_rid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    state = base.select("_rid", *{c for ks in key_sets for c in ks}, "ts", "seq",
+                        F.when(true_or_false(eligible), F.lit("u")).otherwise(F.lit("x")).alias("_st"))
+    for _ in range(max_rounds):
+        undecided = state.filter(F.col("_st") == "u")
+        if undecided.limit(1).count() == 0:
+            break
+        s = state
+        for i, ks in enumerate(key_sets):
+            ks = list(ks)
+            agg = s.filter(F.col("_st").isin("u", "a")).groupBy(*ks).agg(
+                F.min(F.when(F.col("_st") == "u", request_order())).alias(f"_fu{i}"),
+                F.min(F.when(F.col("_st") == "a", request_order())).alias(f"_fa{i}"))
+            s = s.join(agg, ks, "left")
+        first_everywhere = None
+        accepted_before = None
+        for i, _ in enumerate(key_sets):
+            fe = true_or_false(F.col(f"_fu{i}") == request_order())
+            ab = true_or_false(F.col(f"_fa{i}") < request_order())
+            first_everywhere = fe if first_everywhere is None else first_everywhere & fe
+            accepted_before = ab if accepted_before is None else accepted_before | ab
+        s = s.withColumn("_st", F.when(F.col("_st") != "u", F.col("_st"))
+                         .when(accepted_before, F.lit("d"))
+                         .when(first_everywhere, F.lit("a"))
+                         .otherwise(F.lit("u")))
+        state = s.select("_rid", *{c for ks in key_sets for c in ks}, "ts", "seq", "_st").checkpoint(eager=True)
+    flags = state.select("_rid", (F.col("_st") == "d").alias(flag))
+    return base.join(flags, "_rid", "inner").drop("_rid")

@@ -40,24 +40,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this must be set by whoever runs the job (a folder every
-    executor can reach).  Only when it is unset, as in local tests, a scratch
-    folder is created here.
+    executor can reach); it is read from the session.  Only when it is unset
+    on a local master, as in tests, a scratch folder is created here.
     """
     sc = spark.sparkContext
-    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not current:
-        active = sc._jsc.sc().getCheckpointDir()
-        current = active.get() if active.isDefined() else None
+    active = sc._jsc.sc().getCheckpointDir()
+    if active.isDefined():
+        return active.get()
+    current = sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         current = tempfile.mkdtemp(prefix="hortus-ckpt-", dir=os.environ.get("HORTUS_SCRATCH", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", current)
     sc.setCheckpointDir(current)
     return current
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "hortus") -> SparkSession:
+def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "hortus",
+                  checkpoint: str | None = None) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -70,6 +70,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     )
     for key, value in {**SEMANTIC_CONF, **SCALE_CONF}.items():
         builder = builder.config(key, value)
+    if checkpoint:
+        builder = builder.config("spark.checkpoint.dir", checkpoint)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
