@@ -59,4 +59,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all() -> None:
     # Importing the catalogue modules registers their queries.
-    from hortus.plans import job_queries, report_queries  # noqa: F401
+    from hortus.plans import batch_jobs, job_queries, report_queries  # noqa: F401
