@@ -56,15 +56,46 @@ def _none(v):
     return v
 
 
-def stock_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The ledger rules of the order-line triggers, one request at a time.
+def ledger_step(op: str, q, cur, stock, final: bool, pre):
+    """One request against the ledger: returns (code, noop, stock_delta, new_quantity).
 
-    Check order per request (as the procedure and its triggers run them):
-    set-wise code first (owner 45005 ...), then for an insert: stock 45006,
-    finalized 45007, line already present 45008, unknown species 45014; for a
-    change: absent line is a no-op, stock for the increase 45006, finalized
-    45007; for a removal: absent line is a no-op, finalized 45007.
+    Check order (as the procedure and its triggers run them): set-wise code
+    first (owner 45005 ...); an insert: stock 45006, finalized 45007, line
+    already present 45008, unknown species 45014; a change: absent line is a
+    no-op, stock for the increase 45006, finalized 45007; a removal: absent
+    line is a no-op, finalized 45007.  ``stock`` is None for an unknown species.
     """
+    if pre is not None:
+        return pre, False, 0, None
+    if op in (OPEN, "ADD"):
+        q = int(q)
+        if stock is not None and q > stock:
+            return codes.ABOVE_STOCK, False, 0, None
+        if final:
+            return codes.ORDER_FINALIZED, False, 0, None
+        if cur is not None:
+            return codes.ALREADY_IN_ORDER, False, 0, None
+        if stock is None:
+            return codes.UNKNOWN_SPECIES, False, 0, None
+        return None, False, q, q
+    if op == "CHANGE":
+        if cur is None:
+            return None, True, 0, None
+        d = int(q) - int(cur)
+        if stock is not None and d > stock:
+            return codes.ABOVE_STOCK, False, 0, None
+        if final:
+            return codes.ORDER_FINALIZED, False, 0, None
+        return None, False, d, int(q)
+    if cur is None:  # REMOVE
+        return None, True, 0, None
+    if final:
+        return codes.ORDER_FINALIZED, False, 0, None
+    return None, False, -int(cur), None
+
+
+def stock_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The ledger over each species' requests, streamed in (time, sequence) order."""
     species = object()
     stock = None
     lines: dict = {}
@@ -75,40 +106,8 @@ def stock_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ordine, q, q0, stock0, pre = _none(ordine), _none(q), _none(q0), _none(stock0), _none(pre)
             if sp != species:
                 species, stock, lines = sp, (None if stock0 is None else int(stock0)), {}
-            code, noop, delta, new_qty = None, False, 0, None
             cur = lines.get(ordine, q0) if op != OPEN else None
-            if pre is not None:
-                code = pre
-            elif op in (OPEN, "ADD"):
-                q = int(q)
-                if stock is not None and q > stock:
-                    code = codes.ABOVE_STOCK
-                elif bool(final):
-                    code = codes.ORDER_FINALIZED
-                elif cur is not None:
-                    code = codes.ALREADY_IN_ORDER
-                elif stock is None:
-                    code = codes.UNKNOWN_SPECIES
-                else:
-                    delta, new_qty = q, q
-            elif op == "CHANGE":
-                if cur is None:
-                    noop = True
-                else:
-                    d = int(q) - int(cur)
-                    if stock is not None and d > stock:
-                        code = codes.ABOVE_STOCK
-                    elif bool(final):
-                        code = codes.ORDER_FINALIZED
-                    else:
-                        delta, new_qty = d, int(q)
-            else:  # REMOVE
-                if cur is None:
-                    noop = True
-                elif bool(final):
-                    code = codes.ORDER_FINALIZED
-                else:
-                    delta, new_qty = -int(cur), None
+            code, noop, delta, new_qty = ledger_step(op, q, cur, stock, bool(final), pre)
             accepted = code is None and not noop
             if accepted:
                 stock = stock - delta

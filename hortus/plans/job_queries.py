@@ -192,3 +192,25 @@ def allocate_packs(src):
 def allocate_packs_contents(src):
     """Pack contents after the batch."""
     return PK.allocate_packs(src.tables(), RQ.pack_requests(src)).tables["pack_contents"]
+
+
+# C22 -------------------------------------------------------------------------
+
+@register_source("order_line_stream")
+def order_line_stream(src):
+    """The line events of C13 (without finalizations) replayed as a stream.
+
+    The derived events are written as parquet files into a fresh folder under
+    the session's checkpoint folder, then processed with ``availableNow``; the
+    result is the sink (rows-only; tests compare it with the batch job)."""
+    import os
+    import uuid
+
+    from hortus.session import checkpoint_dir
+    from hortus.streaming.order_lines import EVENT_SCHEMA, run_available
+
+    base = os.path.join(checkpoint_dir(src.spark), f"stream-{uuid.uuid4().hex}")
+    events = RQ.order_line_changes(src).select(*[f.name for f in EVENT_SCHEMA.fields])
+    events.repartitionByRange(4, "ts", "seq").write.parquet(os.path.join(base, "events"))
+    return run_available(src.spark, src.tables(), os.path.join(base, "events"), os.path.join(base, "sink"),
+                         os.path.join(base, "state"))
