@@ -119,5 +119,15 @@ def earliest_unique(df: DataFrame, key_sets: Sequence[Sequence[str]], eligible:
                          .when(first_everywhere, F.lit("a"))
                          .otherwise(F.lit("u")))
         state = s.select("_rid", *{c for ks in key_sets for c in ks}, "ts", "seq", "_st").checkpoint(eager=True)
-    flags = state.select("_rid", (F.col("_st") == "d").alias(flag))
+    # Every request (eligible or not) is flagged when an accepted request
+    # earlier in the batch holds one of its keys, as ``first_in_batch`` does.
+    accepted = state.filter(F.col("_st") == "a")
+    flags = state.select("_rid", *{c for ks in key_sets for c in ks}, "ts", "seq")
+    held = None
+    for i, ks in enumerate(key_sets):
+        first = accepted.groupBy(*ks).agg(F.min(request_order()).alias(f"_fa{i}"))
+        flags = flags.join(first, list(ks), "left")
+        h = true_or_false(F.col(f"_fa{i}") < request_order())
+        held = h if held is None else held | h
+    flags = flags.select("_rid", held.alias(flag))
     return base.join(flags, "_rid", "inner").drop("_rid")
