@@ -90,10 +90,8 @@ def earliest_unique(df: DataFrame, key_sets: Sequence[Sequence[str]], eligible:
     """
     if len(key_sets) == 1:
         return first_in_batch(df, key_sets[0], eligible, flag)
-    spark = df.sparkSession
-    from hortus.session import checkpoint_dir
-    checkpoint_dir(spark)
-    base = df.withColumn("_rid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    from hortus.session import checkpointed
+    base = checkpointed(df.withColumn("_rid", F.monotonically_increasing_id()))
     state = base.select("_rid", *{c for ks in key_sets for c in ks}, "ts", "seq",
                         F.when(true_or_false(eligible), F.lit("u")).otherwise(F.lit("x")).alias("_st"))
     for _ in range(max_rounds):
@@ -118,7 +116,7 @@ def earliest_unique(df: DataFrame, key_sets: Sequence[Sequence[str]], eligible:
                          .when(accepted_before, F.lit("d"))
                          .when(first_everywhere, F.lit("a"))
                          .otherwise(F.lit("u")))
-        state = s.select("_rid", *{c for ks in key_sets for c in ks}, "ts", "seq", "_st").checkpoint(eager=True)
+        state = checkpointed(s.select("_rid", *{c for ks in key_sets for c in ks}, "ts", "seq", "_st"))
     # Every request (eligible or not) is flagged when an accepted request
     # earlier in the batch holds one of its keys, as ``first_in_batch`` does.
     accepted = state.filter(F.col("_st") == "a")

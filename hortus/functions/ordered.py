@@ -18,11 +18,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hortus.session import checkpoint_dir
+from hortus.session import checkpointed
 
 
 def _partitions(df: DataFrame) -> int:
@@ -33,13 +34,17 @@ def sorted_by_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> Da
     """Range partitioned and sorted on (key, order), tagged with its partition and checkpointed.
 
     The checkpoint fixes the partitioning, so the summary and the scan see the
-    same partitions, and it cuts the lineage.
+    same partitions, and it cuts the lineage.  The input is persisted while
+    this runs, so the sampling pass of the range partitioner and the shuffle
+    read it once.
     """
-    checkpoint_dir(df.sparkSession)
     cols = [F.col(c) for c in [*key, *order]]
-    s = (df.repartitionByRange(_partitions(df), *cols).sortWithinPartitions(*cols)
-           .withColumn("_part", F.spark_partition_id()))
-    return s.checkpoint(eager=True)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    s = (kept.repartitionByRange(_partitions(df), *cols).sortWithinPartitions(*cols)
+             .withColumn("_part", F.spark_partition_id()))
+    out = checkpointed(s)
+    kept.unpersist(blocking=False)
+    return out
 
 
 def with_neighbour(df: DataFrame, key: Sequence[str], order: Sequence[str], values: Sequence[str],

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hortus.session import checkpoint_dir
+from hortus.session import checkpointed
 
 
 def number_in_order(df: DataFrame, order_cols: Sequence[str], base: Column | int, out: str,
@@ -28,12 +28,10 @@ def number_in_order(df: DataFrame, order_cols: Sequence[str], base: Column | int
     if partition_cols:
         w = Window.partitionBy(*partition_cols).orderBy(*order_cols)
         return df.withColumn(out, (base if isinstance(base, Column) else F.lit(base)) + F.row_number().over(w))
-    spark = df.sparkSession
-    checkpoint_dir(spark)
     local = (df.orderBy(*order_cols)
                .withColumn("_part", F.spark_partition_id())
                .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
-    local = local.checkpoint(eager=True)
+    local = checkpointed(local)
     counts = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn(
         "_offset", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))

@@ -28,7 +28,7 @@ from hortus.functions.columns import true_or_false
 from hortus.functions.ordered import fold_by_key
 from hortus.functions.sequence import max_key, number_in_order
 from hortus.operators.jobs.base import JobResult, Tables
-from hortus.session import checkpoint_dir
+from hortus.session import checkpointed
 
 OPS = ("ADD", "CHANGE", "REMOVE")
 OPEN = "OPEN"
@@ -143,9 +143,8 @@ def _run_fold(tables: Tables, req: DataFrame) -> DataFrame:
             .withColumn("last_for_key", true_or_false(request_order() == F.col("_last"))).drop("_last")
             .join(sp, "specie_di_pianta", "left"))
     schema = T.StructType([*r.schema.fields, *FOLD_RESULTS])
-    checkpoint_dir(req.sparkSession)
     # Checkpointed: the decisions feed several outputs and must not be re-run.
-    return fold_by_key(r, ["specie_di_pianta"], ["ts", "seq"], stock_fold, schema).checkpoint(eager=True)
+    return checkpointed(fold_by_key(r, ["specie_di_pianta"], ["ts", "seq"], stock_fold, schema))
 
 
 def _line_results(tables: Tables, decided: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -28,7 +28,7 @@ from hortus.functions import codes
 from hortus.functions.checks import with_outcome
 from hortus.functions.ordered import fold_by_key
 from hortus.operators.jobs.base import JobResult, Tables
-from hortus.session import checkpoint_dir
+from hortus.session import checkpointed
 
 REQUEST_COLS = ("ts", "seq", "ordine", "pacco", "new_pack", "specie_di_pianta", "quantita")
 _IN = ["ordine", "pacco", "new_pack", "specie_di_pianta", "quantita", "status", "ordered", "packed0",
@@ -114,8 +114,7 @@ def allocate_packs(tables: Tables, requests: DataFrame) -> JobResult:
           .join(lines, ["ordine", "specie_di_pianta"], "left").join(packed, ["ordine", "specie_di_pianta"], "left")
           .join(pk, ["ordine", "pacco"], "left").join(ck, ["ordine", "pacco", "specie_di_pianta"], "left"))
     schema = T.StructType([*j.schema.fields, *RESULTS])
-    checkpoint_dir(requests.sparkSession)
-    decided = fold_by_key(j, ["ordine"], ["ts", "seq"], pack_fold, schema).checkpoint(eager=True)
+    decided = checkpointed(fold_by_key(j, ["ordine"], ["ts", "seq"], pack_fold, schema))
     ok = decided.filter(F.col("fold_code").isNull())
     created = ok.filter(F.col("new_pack").isNotNull()).select(
         "ordine", F.col("pack_number").alias("numero")).distinct()

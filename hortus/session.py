@@ -75,3 +75,21 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def checkpointed(df):
+    """Materialize ``df`` once into the checkpoint folder and cut its lineage.
+
+    A reliable checkpoint runs its input twice (once for the action, once to
+    write the files); persisting first makes the second run read the cached
+    partitions.  The cache is dropped once the files are written, and the
+    returned DataFrame reads the checkpoint files, so a lost executor costs
+    no recomputation of the upstream plan.
+    """
+    from pyspark import StorageLevel
+
+    checkpoint_dir(df.sparkSession)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = kept.checkpoint(eager=True)
+    kept.unpersist(blocking=False)
+    return out

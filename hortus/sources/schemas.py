@@ -95,3 +95,25 @@ MAX_LENGTH: dict[tuple[str, str], int] = {
 
 # The three contact types.
 CONTACT_TYPES = ("telefono", "cellulare", "email")
+
+
+# Schemas of the generated test tables the engine tables are derived from
+# (read with these, never inferred).
+RAW_TABLES: dict[str, T.StructType] = {
+    "region": _schema(("r_regionkey", INT, True), ("r_name", STR, True)),
+    "nation": _schema(("n_nationkey", INT, True), ("n_name", STR, True), ("n_regionkey", INT, True)),
+    "customer": _schema(("c_custkey", LONG, True), ("c_name", STR, True), ("c_nationkey", INT, True),
+                        ("c_acctbal", T.DoubleType(), True), ("c_mktsegment", STR, True)),
+    "supplier": _schema(("s_suppkey", LONG, True), ("s_name", STR, True), ("s_nationkey", INT, True),
+                        ("s_acctbal", T.DoubleType(), True)),
+    "part": _schema(("p_partkey", LONG, True), ("p_name", STR, True), ("p_brand", STR, True), ("p_type", STR, True),
+                    ("p_size", INT, True), ("p_retailprice", T.DoubleType(), True)),
+    "orders": _schema(("o_orderkey", LONG, True), ("o_custkey", LONG, True), ("o_orderstatus", STR, True),
+                      ("o_totalprice", T.DoubleType(), True), ("o_orderdate", TS, True),
+                      ("o_orderpriority", STR, True)),
+    "lineitem": _schema(("l_orderkey", LONG, True), ("l_partkey", LONG, True), ("l_suppkey", LONG, True),
+                        ("l_linenumber", INT, True), ("l_quantity", T.DoubleType(), True),
+                        ("l_extendedprice", T.DoubleType(), True), ("l_discount", T.DoubleType(), True),
+                        ("l_tax", T.DoubleType(), True), ("l_returnflag", STR, True), ("l_linestatus", STR, True),
+                        ("l_shipdate", TS, True)),
+}

@@ -1,19 +1,20 @@
 """Engine tables derived from the generated test tables.
 
-The mapping follows FIXTURES.md statement by statement, written with the
-DataFrame API.  Every table is a lazy plan over the raw parquet files, so a
-query only scans the raw columns it needs and Catalyst prunes the rest.
+The mapping follows FIXTURES.md statement by statement.  Every table is a
+lazy plan over the raw parquet files, built on first use, so a query only
+scans the raw columns it needs and Catalyst prunes the rest.
 """
 
 from __future__ import annotations
 
-from functools import cached_property
+from collections.abc import Mapping
+import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from hortus.session import ensure_semantics
-from hortus.sources.schemas import PRICE, TABLES
+from hortus.sources.schemas import TABLES
+from hortus.sources.schemas import RAW_TABLES as RAW_SCHEMAS
 
 RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -22,15 +23,85 @@ PRICE_PERIOD_STARTS = ("1994-01-01", "1996-01-01", "1998-07-01", "2000-01-01")
 RETAIL_SEGMENTS_PRIVATE = ("HOUSEHOLD", "FURNITURE")
 
 
-def _key_str(c: Column) -> Column:
-    return c.cast("string")
-
-
-def _shaped_code(prefix: str, key: Column) -> Column:
-    """``prefix`` + 2 digits + A + 2 digits + B + 3 digits + C from a 7-digit key."""
-    digits = F.lpad(_key_str(key), 7, "0")
-    return F.concat(F.lit(prefix), F.substring(digits, 1, 2), F.lit("A"), F.substring(digits, 3, 2),
-                    F.lit("B"), F.substring(digits, 5, 3), F.lit("C"))
+def _code(prefix: str, key: str) -> str:
+    """SQL: ``prefix`` + 2 digits + A + 2 digits + B + 3 digits + C from a 7-digit key."""
+    d = f"lpad(cast({key} as string),7,'0')"
+    return (f"concat('{prefix}',substring({d},1,2),'A',substring({d},3,2),'B',substring({d},5,3),'C')")
+
+
+_STARTS = ", ".join(f"timestamp_ntz '{d} 00:00:00'" for d in PRICE_PERIOD_STARTS)
+_PRIVATE = "c_mktsegment in ({})".format(", ".join(f"'{x}'" for x in RETAIL_SEGMENTS_PRIVATE))
+
+# The FIXTURES.md derivations as Spark SQL over the raw tables ({name} are
+# DataFrame arguments).  One SQL text per table keeps the driver-side cost of
+# building a query to one call per table.
+DERIVATIONS: dict[str, str] = {
+    "species": (
+        "select p_partkey codice, concat(p_brand,' ',p_type,' ',cast(p_partkey as string)) nome_latino, "
+        "p_name nome_comune, p_size%2 interni_or_esterni, case when p_size%3=0 then 1 else 0 end verde_or_fiorita, "
+        "case when p_size%5=0 then 1 else 0 end esotica_si_no, (p_partkey*37)%400 giacenza from {part}"),
+    # 1 to 4 periods per part, generated inside the row: no window, no shuffle.
+    "prices": (
+        "select p_partkey specie_di_pianta, start data_adozione, cast(p_retailprice+k*5 as decimal(7,2)) valore, "
+        "case when k+1<n then element_at(starts, k+2) end data_termine from (select p_partkey, p_retailprice, n, starts, "
+        "posexplode(slice(starts, 1, n)) as (k, start) from (select p_partkey, p_retailprice, "
+        f"cast(p_partkey%4+1 as int) n, array({_STARTS}) starts from {{part}}))"),
+    "customers_with_key": (
+        f"select case when {_PRIVATE} then {_code('ABCDEF', 'c_custkey')} "
+        "else lpad(cast(c_custkey as string),11,'0') end codice, c_name nome, "
+        "concat('Res ',cast(c_custkey as string)) indirizzo_residenza, "
+        "case when c_custkey%2=0 then concat('Bill ',cast(c_custkey as string)) end indirizzo_fatturazione, "
+        f"case when {_PRIVATE} then 1 else 0 end privato_or_rivendita, "
+        "case when c_custkey%3<>0 then concat('c',cast(c_custkey as string),'@example.com') end contatto_preferito, "
+        "c_custkey from {customer}"),
+    "customers": "select * from {customers_with_key}",
+    "referents": (
+        "select codice rivendita, concat('Ref',cast(c_custkey as string)) nome, 'Rossi' cognome, "
+        "case when c_custkey%4=3 then concat('ref',cast(c_custkey as string),'@example.com') end contatto_preferito "
+        "from {customers_with_key} where privato_or_rivendita=0"),
+    "customer_contacts_typed": (
+        "select concat('c',cast(c_custkey as string),'@example.com') contatto, codice cliente, 'email' tipo "
+        "from {customers_with_key} union all select concat('+39',lpad(cast(c_custkey as string),9,'0')), codice, "
+        "'cellulare' from {customers_with_key} where c_custkey%2=0"),
+    "customer_contacts": "select * from {customer_contacts_typed}",
+    "referent_contacts_typed": (
+        "select concat('ref',cast(c_custkey as string),'@example.com') contatto, codice referente, 'email' tipo "
+        "from {customers_with_key} where privato_or_rivendita=0 and c_custkey%4<>1"),
+    "referent_contacts": "select * from {referent_contacts_typed}",
+    "contacts": (
+        "select contatto valore, tipo from {customer_contacts_typed} "
+        "union all select contatto, tipo from {referent_contacts_typed}"),
+    "orders": (
+        "select o_orderkey id, c.codice cliente, o_orderdate data, case when o_orderstatus='O' then 1 else 0 end "
+        "aperto_or_finalizzato, concat('Ship ',cast(o_custkey as string)) indirizzo_spedizione, "
+        "concat('c',cast(c.c_custkey as string),'@example.com') contatto "
+        "from {orders_raw} join {customers_with_key} c on o_custkey=c.c_custkey"),
+    "order_lines": (
+        "select l_orderkey ordine, l_partkey specie_di_pianta, sum(l_quantity) quantita "
+        "from {lineitem} group by l_orderkey, l_partkey"),
+    "pack_contents": (
+        "select l_orderkey ordine, l_linenumber pacco, l_partkey specie_di_pianta, sum(l_quantity) quantita "
+        "from {lineitem} left semi join (select id from {orders} where aperto_or_finalizzato=0) f "
+        "on cast(l_orderkey as int)=f.id where l_returnflag<>'N' group by l_orderkey, l_linenumber, l_partkey"),
+    "packs": "select distinct ordine, pacco numero from {pack_contents}",
+    "suppliers": (
+        f"select s_suppkey codice_fornitore, {_code('SUPPLI', 's_suppkey')} codice_fiscale, s_name nome "
+        "from {supplier}"),
+    "supplier_addresses": (
+        "select concat('Via ',cast(codice_fornitore as string)) indirizzo, codice_fornitore fornitore from {suppliers} "
+        "union all select concat('Depot ',cast(codice_fornitore as string)), codice_fornitore from {suppliers} "
+        "where codice_fornitore%2=0"),
+    "availability": "select distinct l_partkey specie_di_pianta, l_suppkey fornitore from {lineitem}",
+    "supply_requests": (
+        "select l_shipdate data, l_suppkey fornitore_scelto, l_partkey specie_richiesta, sum(l_quantity) quantita, "
+        "case when max(l_linestatus)='O' then 1 else 0 end pendente_si_no from {lineitem} where l_linenumber<=4 "
+        "group by l_shipdate, l_suppkey, l_partkey"),
+    "colourings": (
+        "select codice specie_fiorita, split_part(nome_comune,' ',1) colore from {species} where verde_or_fiorita=0 "
+        "union all select codice, 'white' from {species} where verde_or_fiorita=0 and codice%2=0"),
+}
+
+_HELPERS = ("customers_with_key", "customer_contacts_typed", "referent_contacts_typed")
 
 
 class TestdataTables:
@@ -39,191 +110,66 @@ class TestdataTables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = ensure_semantics(spark)
         self.sf_dir = sf_dir.rstrip("/")
+        self._raw: dict[str, DataFrame] = {}
+        self._built: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-
-    def _typed(self, name: str, df: DataFrame) -> DataFrame:
-        schema = TABLES[name]
-        return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-
-    @cached_property
-    def species(self) -> DataFrame:
-        p = self.raw("part")
-        return self._typed("species", p.select(
-            p.p_partkey.alias("codice"),
-            F.concat_ws(" ", p.p_brand, p.p_type, _key_str(p.p_partkey)).alias("nome_latino"),
-            p.p_name.alias("nome_comune"),
-            (p.p_size % 2).alias("interni_or_esterni"),
-            F.when(p.p_size % 3 == 0, 1).otherwise(0).alias("verde_or_fiorita"),
-            F.when(p.p_size % 5 == 0, 1).otherwise(0).alias("esotica_si_no"),
-            ((p.p_partkey * 37) % 400).alias("giacenza"),
-        ))
-
-    @cached_property
-    def prices(self) -> DataFrame:
-        # 1 to 4 periods per part; each period ends where the next starts.  The
-        # periods are generated inside the row (posexplode), so no window and
-        # no shuffle is needed.
-        p = self.raw("part")
-        starts = F.array(*[F.lit(d).cast("timestamp_ntz") for d in PRICE_PERIOD_STARTS])
-        n_periods = (p.p_partkey % 4 + 1).cast("int")
-        exploded = p.select(
-            p.p_partkey, p.p_retailprice, n_periods.alias("n"),
-            F.posexplode(F.slice(starts, 1, n_periods)).alias("k", "start"),
-            starts.alias("starts"))
-        return self._typed("prices", exploded.select(
-            F.col("p_partkey").alias("specie_di_pianta"),
-            F.col("start").alias("data_adozione"),
-            (F.col("p_retailprice") + F.col("k") * 5).cast(PRICE).alias("valore"),
-            F.when(F.col("k") + 1 < F.col("n"), F.element_at("starts", F.col("k") + 2)).alias("data_termine"),
-        ))
-
-    @cached_property
-    def customers_with_key(self) -> DataFrame:
-        c = self.raw("customer")
-        private = c.c_mktsegment.isin(*RETAIL_SEGMENTS_PRIVATE)
-        key = _key_str(c.c_custkey)
-        return c.select(
-            F.when(private, _shaped_code("ABCDEF", c.c_custkey))
-             .otherwise(F.lpad(key, 11, "0")).alias("codice"),
-            c.c_name.alias("nome"),
-            F.concat(F.lit("Res "), key).alias("indirizzo_residenza"),
-            F.when(c.c_custkey % 2 == 0, F.concat(F.lit("Bill "), key)).alias("indirizzo_fatturazione"),
-            F.when(private, 1).otherwise(0).cast("int").alias("privato_or_rivendita"),
-            F.when(c.c_custkey % 3 != 0, F.concat(F.lit("c"), key, F.lit("@example.com"))).alias("contatto_preferito"),
-            c.c_custkey,
-        )
-
-    @cached_property
-    def customers(self) -> DataFrame:
-        return self._typed("customers", self.customers_with_key)
-
-    @cached_property
-    def referents(self) -> DataFrame:
-        c = self.customers_with_key.filter(F.col("privato_or_rivendita") == 0)
-        key = _key_str(c.c_custkey)
-        return self._typed("referents", c.select(
-            F.col("codice").alias("rivendita"),
-            F.concat(F.lit("Ref"), key).alias("nome"),
-            F.lit("Rossi").alias("cognome"),
-            F.when(c.c_custkey % 4 == 3, F.concat(F.lit("ref"), key, F.lit("@example.com"))).alias("contatto_preferito"),
-        ))
-
-    @cached_property
-    def customer_contacts_typed(self) -> DataFrame:
-        c = self.customers_with_key
-        key = _key_str(c.c_custkey)
-        email = c.select(F.concat(F.lit("c"), key, F.lit("@example.com")).alias("contatto"),
-                         F.col("codice").alias("cliente"), F.lit("email").alias("tipo"))
-        mobile = c.filter(c.c_custkey % 2 == 0).select(
-            F.concat(F.lit("+39"), F.lpad(key, 9, "0")).alias("contatto"),
-            F.col("codice").alias("cliente"), F.lit("cellulare").alias("tipo"))
-        return email.unionAll(mobile)
-
-    @cached_property
-    def customer_contacts(self) -> DataFrame:
-        return self._typed("customer_contacts", self.customer_contacts_typed)
-
-    @cached_property
-    def referent_contacts_typed(self) -> DataFrame:
-        c = self.customers_with_key.filter((F.col("privato_or_rivendita") == 0) & (F.col("c_custkey") % 4 != 1))
-        return c.select(F.concat(F.lit("ref"), _key_str(c.c_custkey), F.lit("@example.com")).alias("contatto"),
-                        F.col("codice").alias("referente"), F.lit("email").alias("tipo"))
-
-    @cached_property
-    def referent_contacts(self) -> DataFrame:
-        return self._typed("referent_contacts", self.referent_contacts_typed)
-
-    @cached_property
-    def contacts(self) -> DataFrame:
-        own = self.customer_contacts_typed.select(F.col("contatto").alias("valore"), "tipo")
-        ref = self.referent_contacts_typed.select(F.col("contatto").alias("valore"), "tipo")
-        return self._typed("contacts", own.unionAll(ref))
-
-    @cached_property
-    def orders(self) -> DataFrame:
-        o = self.raw("orders")
-        c = self.customers_with_key.select("c_custkey", "codice")
-        j = o.join(c, o.o_custkey == c.c_custkey, "inner")
-        return self._typed("orders", j.select(
-            F.col("o_orderkey").alias("id"),
-            F.col("codice").alias("cliente"),
-            F.col("o_orderdate").alias("data"),
-            F.when(F.col("o_orderstatus") == "O", 1).otherwise(0).alias("aperto_or_finalizzato"),
-            F.concat(F.lit("Ship "), _key_str(F.col("o_custkey"))).alias("indirizzo_spedizione"),
-            F.concat(F.lit("c"), _key_str(F.col("c_custkey")), F.lit("@example.com")).alias("contatto"),
-        ))
-
-    @cached_property
-    def order_lines(self) -> DataFrame:
-        li = self.raw("lineitem")
-        agg = li.groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("q"))
-        return self._typed("order_lines", agg.select(
-            F.col("l_orderkey").alias("ordine"), F.col("l_partkey").alias("specie_di_pianta"),
-            F.col("q").alias("quantita")))
-
-    @cached_property
-    def pack_contents(self) -> DataFrame:
-        li = self.raw("lineitem").filter(F.col("l_returnflag") != "N")
-        finalized = self.orders.filter(F.col("aperto_or_finalizzato") == 0).select("id")
-        packed = li.join(finalized, li.l_orderkey.cast("int") == finalized.id, "left_semi")
-        agg = packed.groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.sum("l_quantity").alias("q"))
-        return self._typed("pack_contents", agg.select(
-            F.col("l_orderkey").alias("ordine"), F.col("l_linenumber").alias("pacco"),
-            F.col("l_partkey").alias("specie_di_pianta"), F.col("q").alias("quantita")))
-
-    @cached_property
-    def packs(self) -> DataFrame:
-        return self._typed("packs", self.pack_contents.select(
-            "ordine", F.col("pacco").alias("numero")).distinct())
-
-    @cached_property
-    def suppliers(self) -> DataFrame:
-        s = self.raw("supplier")
-        return self._typed("suppliers", s.select(
-            s.s_suppkey.alias("codice_fornitore"),
-            _shaped_code("SUPPLI", s.s_suppkey).alias("codice_fiscale"),
-            s.s_name.alias("nome")))
-
-    @cached_property
-    def supplier_addresses(self) -> DataFrame:
-        s = self.suppliers
-        code = _key_str(s.codice_fornitore)
-        main = s.select(F.concat(F.lit("Via "), code).alias("indirizzo"), s.codice_fornitore.alias("fornitore"))
-        depot = s.filter(s.codice_fornitore % 2 == 0).select(
-            F.concat(F.lit("Depot "), code).alias("indirizzo"), s.codice_fornitore.alias("fornitore"))
-        return self._typed("supplier_addresses", main.unionAll(depot))
-
-    @cached_property
-    def availability(self) -> DataFrame:
-        li = self.raw("lineitem")
-        return self._typed("availability", li.select(
-            F.col("l_partkey").alias("specie_di_pianta"), F.col("l_suppkey").alias("fornitore")).distinct())
-
-    @cached_property
-    def supply_requests(self) -> DataFrame:
-        li = self.raw("lineitem").filter(F.col("l_linenumber") <= 4)
-        agg = li.groupBy("l_shipdate", "l_suppkey", "l_partkey").agg(
-            F.sum("l_quantity").alias("q"), F.max("l_linestatus").alias("st"))
-        return self._typed("supply_requests", agg.select(
-            F.col("l_shipdate").alias("data"), F.col("l_suppkey").alias("fornitore_scelto"),
-            F.col("l_partkey").alias("specie_richiesta"), F.col("q").alias("quantita"),
-            F.when(F.col("st") == "O", 1).otherwise(0).alias("pendente_si_no")))
-
-    @cached_property
-    def colourings(self) -> DataFrame:
-        s = self.species.filter(F.col("verde_or_fiorita") == 0)
-        first = s.select(F.col("codice").alias("specie_fiorita"),
-                         F.split_part(F.col("nome_comune"), F.lit(" "), F.lit(1)).alias("colore"))
-        white = s.filter(F.col("codice") % 2 == 0).select(
-            F.col("codice").alias("specie_fiorita"), F.lit("white").alias("colore"))
-        return self._typed("colourings", first.unionAll(white))
-
-    def tables(self) -> dict[str, DataFrame]:
-        return {name: getattr(self, name) for name in TABLES}
-
-
-def load_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+        """A generated table, read once with its explicit schema (no inference job)."""
+        if name not in self._raw:
+            reader = self.spark.read
+            if name in RAW_SCHEMAS:
+                reader = reader.schema(RAW_SCHEMAS[name])
+            self._raw[name] = reader.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._raw[name]
+
+    def _frame(self, name: str) -> DataFrame:
+        if name == "orders_raw":
+            return self.raw("orders")
+        if name in DERIVATIONS:
+            return self.table(name)
+        return self.raw(name)
+
+    def table(self, name: str) -> DataFrame:
+        """An engine table (or helper), derived once, typed to its schema."""
+        if name not in self._built:
+            text = DERIVATIONS[name]
+            frames = {n: self._frame(n) for n in set(re.findall(r"\{(\w+)\}", text))}
+            df = self.spark.sql(text, **frames)
+            if name in TABLES:
+                df = df.selectExpr(*[f"cast({f.name} as {f.dataType.simpleString()}) as {f.name}"
+                                     for f in TABLES[name].fields])
+            self._built[name] = df
+        return self._built[name]
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in DERIVATIONS:
+            raise AttributeError(name)
+        return self.table(name)
+
+    def tables(self) -> "LazyTables":
+        """All engine tables; each is built on first use, so a query only plans
+        the tables it reads."""
+        return LazyTables(self)
+
+
+class LazyTables(Mapping):
+    """Read-only mapping of table name -> DataFrame, derived on first access."""
+
+    def __init__(self, src: TestdataTables):
+        self._src = src
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in TABLES:
+            raise KeyError(name)
+        return self._src.table(name)
+
+    def __iter__(self):
+        return iter(TABLES)
+
+    def __len__(self) -> int:
+        return len(TABLES)
+
+
+def load_tables(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
     """All engine tables derived from the test tables at ``sf_dir``."""
     return TestdataTables(spark, sf_dir).tables()
