@@ -36,7 +36,7 @@ LINE_CHANGE_COLS = ("ts", "seq", "op", "cliente", "ordine", "specie_di_pianta",
 NEW_ORDER_COLS = ("ts", "seq", "cliente", "indirizzo_spedizione", "contatto", "specie_di_pianta", "quantita")
 FINALIZE_COLS = ("ts", "seq", "cliente", "ordine")
 
-_FOLD_IN = ["ts", "seq", "op", "ordine", "specie_di_pianta", "quantita", "pre_code", "is_final", "q0", "stock0",
+_FOLD_IN = ["op", "ordine", "specie_di_pianta", "quantita", "pre_code", "is_final", "q0", "stock0",
             "last_for_key"]
 FOLD_RESULTS = [
     T.StructField("fold_code", T.StringType()), T.StructField("noop", T.BooleanType()),
@@ -45,15 +45,17 @@ FOLD_RESULTS = [
 ]
 
 
-def _none(v):
-    if v is None:
-        return None
-    try:
-        if pd.isna(v):
-            return None
-    except (TypeError, ValueError):
-        pass
-    return v
+def column_values(s: pd.Series) -> list:
+    """A column as Python values with None for missing ones, converted once per
+    batch (not per value); integral floats (ints that carried nulls) back to int."""
+    mask = s.isna().to_numpy()
+    if s.dtype.kind == "f":
+        vals = s.to_numpy()
+        return [None if m else int(v) for v, m in zip(vals.tolist(), mask.tolist())]
+    vals = s.tolist()
+    if mask.any():
+        return [None if m else v for v, m in zip(vals, mask.tolist())]
+    return vals
 
 
 def ledger_step(op: str, q, cur, stock, final: bool, pre):
@@ -101,9 +103,8 @@ def stock_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     lines: dict = {}
     for pdf in batches:
         out = {f.name: [] for f in FOLD_RESULTS}
-        cols = [pdf[c].tolist() for c in _FOLD_IN]
-        for ts, seq, op, ordine, sp, q, pre, final, q0, stock0, last in zip(*cols):
-            ordine, q, q0, stock0, pre = _none(ordine), _none(q), _none(q0), _none(stock0), _none(pre)
+        cols = [column_values(pdf[c]) for c in _FOLD_IN]
+        for op, ordine, sp, q, pre, final, q0, stock0, last in zip(*cols):
             if sp != species:
                 species, stock, lines = sp, (None if stock0 is None else int(stock0)), {}
             cur = lines.get(ordine, q0) if op != OPEN else None
@@ -193,6 +194,7 @@ def apply_order_line_changes(tables: Tables, changes: DataFrame, finalizations:
               (~F.col("op").isin(*OPS), codes.INVALID),
               (~true_or_false(F.col("_owner") == F.col("cliente")), codes.NOT_OWNER),
               ((F.col("op") != "REMOVE") & (F.col("quantita").isNull() | (F.col("quantita") < 0)), codes.INVALID)))
+          .select(*LINE_CHANGE_COLS, "is_final", "pre_code")
           .join(q0, ["ordine", "specie_di_pianta"], "left"))
     decided = _run_fold(tables, r)
     new_species, new_lines, emptied = _line_results(tables, decided)
