@@ -1,12 +1,12 @@
 """Ordered scans over (key, time) that do not pin a hot key to one task.
 
 ``with_neighbour`` is ``lag``/``lead`` over ``partition by key order by time``.
-A window would hold every row of a key in one task; here the rows are range
-partitioned on (key, time), so a key with a third of the rows spans several
-partitions.  Each partition computes its neighbours locally; for its first
-(last) row the neighbour comes from the last (first) row of the adjacent
-non-empty partition, taken from a one-row-per-partition summary (a proven
-small size) that is broadcast to the tasks.
+A plain window would hold every row of a key in one task; here the rows are
+range partitioned on (key, time) and tagged with their partition, so a key
+with a third of the rows spans several partitions.  The window runs over
+(partition, key); the first (last) row of a key in a partition takes its
+neighbour from the adjacent non-empty partition, via a one-row-per-partition
+summary (a proven small size) that is broadcast.  All JVM-side.
 
 ``fold_by_key`` is the sequential fold for rules that are inherently ordered
 (a stock ledger): rows of a key are streamed in time order through one
@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,85 +30,66 @@ def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sorted_by_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Range partitioned and sorted on (key, order), tagged with its partition and checkpointed.
+def tag_ranges(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Range partitioned on (key, order), each row tagged with its partition ``_part``,
+    checkpointed.
 
-    The checkpoint fixes the partitioning, so the summary and the scan see the
-    same partitions, and it cuts the lineage.  The input is persisted while
-    this runs, so the sampling pass of the range partitioner and the shuffle
-    read it once.
+    After this, the global (key, order) order is (``_part``, key, order): a key
+    with a third of the rows spans several consecutive ``_part`` values.  The
+    checkpoint fixes the tags (they never change on recomputation) and cuts
+    the lineage.  The input is persisted while this runs, so the range
+    partitioner's sampling pass and the shuffle read it once.
     """
     cols = [F.col(c) for c in [*key, *order]]
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    s = (kept.repartitionByRange(_partitions(df), *cols).sortWithinPartitions(*cols)
-             .withColumn("_part", F.spark_partition_id()))
+    s = kept.repartitionByRange(_partitions(df), *cols).withColumn("_part", F.spark_partition_id())
     out = checkpointed(s)
     kept.unpersist(blocking=False)
     return out
 
 
-def with_neighbour(df: DataFrame, key: Sequence[str], order: Sequence[str], values: Sequence[str],
-                   direction: str = "previous", prefix: str | None = None) -> DataFrame:
-    """Adds ``{prefix}{v}`` for each value column: the value on the previous (or next)
-    row of the same key in ``order``; NULL at the edge of the key."""
+def neighbour(tagged: DataFrame, key: Sequence[str], order: Sequence[str], values: Sequence[str],
+              direction: str = "previous", prefix: str | None = None) -> DataFrame:
+    """``lag``/``lead`` of ``values`` by key in ``order`` over rows tagged by ``tag_ranges``
+    (any filter of them keeps the tags valid).
+
+    Inside a range partition it is a window over (``_part``, key), so a hot key
+    is spread over the tasks of its partitions.  The first (last) row of a
+    key in a partition takes its neighbour from the last (first) row of the
+    nearest non-empty partition before (after) it, when that row has the same
+    key: one summary row per partition, broadcast (a proven small size).
+    """
     if direction not in ("previous", "next"):
         raise ValueError("direction is 'previous' or 'next'")
     prefix = prefix or ("prev_" if direction == "previous" else "next_")
     key, order, values = list(key), list(order), list(values)
-    s = sorted_by_key(df, key, order)
     ordering = F.struct(*[F.col(c) for c in [*key, *order]])
-    carried = F.struct(*[F.col(c) for c in [*key, *values]])
+    carried = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(key)],
+                       *[F.col(c).alias(f"v{i}") for i, c in enumerate(values)])
     pick = F.max_by if direction == "previous" else F.min_by
-    edges = {r["_part"]: tuple(r["edge"]) for r in
-             s.groupBy("_part").agg(pick(carried, ordering).alias("edge")).collect()}  # one row per partition
-    parts = sorted(edges)
-    if direction == "previous":
-        inbound = {p: edges[parts[i - 1]] for i, p in enumerate(parts) if i > 0}
-    else:
-        inbound = {p: edges[parts[i + 1]] for i, p in enumerate(parts) if i + 1 < len(parts)}
-    nk = len(key)
-    out_fields = [*s.schema.fields, *[T.StructField(prefix + v, s.schema[v].dataType, True) for v in values]]
-    out_schema = T.StructType(out_fields)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pending: pd.DataFrame | None = None
-        carry: tuple | None = None  # previous direction: last row seen so far
-
-        def neighbour_cols(pdf: pd.DataFrame, edge: tuple | None, shift: int) -> pd.DataFrame:
-            keys = pdf[key]
-            nb = pdf[values].shift(shift)
-            nb_keys = keys.shift(shift)
-            same = (keys == nb_keys).all(axis=1)
-            edge_row = 0 if shift == 1 else len(pdf) - 1
-            if edge is not None and len(pdf):
-                if all(pdf[key].iloc[edge_row].tolist()[i] == edge[i] for i in range(nk)):
-                    for j, v in enumerate(values):
-                        nb.iat[edge_row, j] = edge[nk + j]
-                    same.iat[edge_row] = True
-            out = pdf.copy()
-            for v in values:
-                out[prefix + v] = nb[v].where(same, None)
-            return out
-
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            part = int(pdf["_part"].iloc[0])
-            if direction == "previous":
-                edge = carry if carry is not None else inbound.get(part)
-                yield neighbour_cols(pdf, edge, 1)
-                last = pdf.iloc[-1]
-                carry = tuple(last[c] for c in [*key, *values])
-            else:
-                if pending is not None:
-                    first = pdf.iloc[0]
-                    yield neighbour_cols(pending, tuple(first[c] for c in [*key, *values]), -1)
-                pending = pdf
-        if pending is not None:
-            part = int(pending["_part"].iloc[0])
-            yield neighbour_cols(pending, inbound.get(part), -1)
-
-    return s.mapInPandas(scan, out_schema).drop("_part")
+    edges = tagged.groupBy("_part").agg(pick(carried, ordering).alias("_edge"))
+    step = F.lag if direction == "previous" else F.lead
+    inbound = edges.select("_part", step("_edge").over(Window.orderBy("_part")).alias("_in"))  # one row per partition
+    j = tagged.join(F.broadcast(inbound), "_part", "left")
+    w = Window.partitionBy("_part", *key).orderBy(*order)
+    wo = Window.partitionBy("_part", *key).orderBy(*[F.col(c).desc() for c in order])
+    at_edge = F.row_number().over(w if direction == "previous" else wo) == 1
+    same_key = None
+    for i, c in enumerate(key):
+        cond = F.col(f"_in.k{i}") == F.col(c)
+        same_key = cond if same_key is None else same_key & cond
+    same_key = F.coalesce(same_key, F.lit(False))
+    for i, v in enumerate(values):
+        j = j.withColumn(prefix + v, F.when(at_edge, F.when(same_key, F.col(f"_in.v{i}")))
+                         .otherwise(step(v).over(w)))
+    return j.drop("_in")
+
+
+def with_neighbour(df: DataFrame, key: Sequence[str], order: Sequence[str], values: Sequence[str],
+                   direction: str = "previous", prefix: str | None = None) -> DataFrame:
+    """Adds ``{prefix}{v}`` for each value column: the value on the previous (or next)
+    row of the same key in ``order``; NULL at the edge of the key."""
+    return neighbour(tag_ranges(df, key, order), key, order, values, direction, prefix).drop("_part")
 
 
 def fold_by_key(df: DataFrame, key: Sequence[str], order: Sequence[str],

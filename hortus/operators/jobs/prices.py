@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hortus.functions import codes
 from hortus.functions.checks import first_failing, with_outcome
-from hortus.functions.ordered import with_neighbour
+from hortus.functions.ordered import neighbour, tag_ranges
 from hortus.operators.jobs.base import JobResult, Tables
 from hortus.sources.schemas import PRICE
 
@@ -48,10 +48,13 @@ def apply_price_changes(tables: Tables, changes: DataFrame) -> JobResult:
         F.col("_open_value").alias("valore"), F.lit(True).alias("_is_open"))
     chain = opened.unionByName(live.select("specie_di_pianta", "ts", F.col("seq").cast("long"), "valore",
                                            F.lit(False).alias("_is_open")))
-    chain = with_neighbour(chain, ["specie_di_pianta"], ["ts", "seq"], ["valore"], "previous")
+    # One range partitioning + checkpoint serves both passes: the kept rows
+    # keep their partition tags, so the second pass needs no new sort.
+    tagged = tag_ranges(chain, ["specie_di_pianta"], ["ts", "seq"])
+    chain = neighbour(tagged, ["specie_di_pianta"], ["ts", "seq"], ["valore"], "previous")
     chain = chain.withColumn("_effective", F.col("_is_open") | ~F.coalesce(F.col("valore") == F.col("prev_valore"), F.lit(False)))
-    kept = chain.filter(F.col("_effective")).select("specie_di_pianta", "ts", "seq", "valore")
-    kept = with_neighbour(kept, ["specie_di_pianta"], ["ts", "seq"], ["ts"], "next")
+    kept = chain.filter(F.col("_effective")).select("_part", "specie_di_pianta", "ts", "seq", "valore")
+    kept = neighbour(kept, ["specie_di_pianta"], ["ts", "seq"], ["ts"], "next")
     rewritten = kept.select("specie_di_pianta", F.col("ts").alias("data_adozione"), "valore",
                             F.col("next_ts").alias("data_termine"))
     touched = kept.select("specie_di_pianta").distinct()
@@ -59,10 +62,10 @@ def apply_price_changes(tables: Tables, changes: DataFrame) -> JobResult:
                   .unionByName(prices.filter(F.col("data_termine").isNull()).join(touched, "specie_di_pianta", "left_anti"))
                   .unionByName(rewritten))
     effective = chain.filter(~F.col("_is_open")).select(
-        "specie_di_pianta", "ts", F.col("seq").alias("_s"), F.col("_effective"))
-    out = (checked.join(effective, (checked.specie_di_pianta == effective.specie_di_pianta)
-                        & (checked.ts == effective.ts) & (checked.seq == effective._s), "left")
-                  .drop(effective.specie_di_pianta).drop(effective.ts).drop("_s"))
+        F.col("specie_di_pianta").alias("_sp"), F.col("ts").alias("_ts"), F.col("seq").alias("_s"), "_effective")
+    out = (checked.join(effective, (F.col("specie_di_pianta") == F.col("_sp")) & (F.col("ts") == F.col("_ts"))
+                        & (F.col("seq") == F.col("_s")), "left")
+                  .drop("_sp", "_ts", "_s"))
     outcomes = with_outcome(out.select(*REQUEST_COLS, "_code", "_effective"), F.col("_code"),
                             noop=~F.coalesce(F.col("_effective"), F.lit(False))).drop("_code", "_effective")
     return JobResult({"prices": new_prices}, outcomes)
