@@ -26,8 +26,8 @@ _ENGINE = {"customers": "customers_with_key", "ordini": "orders"}
 def derive(src: TestdataTables, text: str) -> DataFrame:
     """Run a batch rule on Spark; ``{name}`` placeholders are raw or engine tables."""
     names = set(re.findall(r"\{(\w+)\}", text))
-    frames = {n: (getattr(src, _ENGINE.get(n, n)) if n in _ENGINE or n in ("species", "colourings") else src.raw(n))
-              for n in names}
+    frames = {n: (getattr(src, _ENGINE.get(n, n)) if n in _ENGINE or n in ("species", "colourings", "referents")
+                  else src.raw(n)) for n in names}
     return src.spark.sql(text, **frames)
 
 
@@ -354,3 +354,75 @@ SUPPLY_REQ = (
 def load_supply_requests(src):
     """Outcome per supply request."""
     return SU.load_supply_requests(src.tables(), derive(src, SUPPLY_REQ)).outcomes
+
+
+# C9-C11 for referents ------------------------------------------------------------
+
+ADD_REF_CONTACT_REQ = (
+    "select o_orderdate ts, cast(o_orderkey as bigint) seq, "
+    "case when o_orderpriority='5-LOW' then concat('X',c.codice) else c.codice end owner, "
+    "case o_orderkey%3 when 0 then concat('ref',cast(o_custkey as string),'@example.com') "
+    "when 1 then concat('rn',cast(o_custkey as string),'@example.com') "
+    "else concat('ro',cast(o_orderkey as string),'@example.com') end contatto, "
+    "case when o_orderkey%11=0 then 'pager' else 'telefono' end tipo "
+    "from {orders} join {customers} c on c.c_custkey=o_custkey where c.privato_or_rivendita=0")
+
+_C9R_CTES = (
+    f"r as ({as_sql(ADD_REF_CONTACT_REQ)}), "
+    "c as (select r.*, case when tipo not in ('telefono','cellulare','email') or contatto is null then 'INVALID' "
+    "when contatto in (select valore from contacts) then '45010' when owner not in (select rivendita from referents) "
+    "then 'UNKNOWN_KEY' end s from r), "
+    f"e as (select *, case when s='INVALID' then s when {_earlier('contatto')} then '45010' else s end code from c)")
+
+
+@register_source("add_referent_contacts", W(
+    f"select ts, seq, owner, contatto, tipo, code, {_outcome()} from e", "customers", "referents", "contacts",
+    extra=_C9R_CTES))
+def add_referent_contacts(src):
+    """C9 for referents: one request per retailer order."""
+    return CU.add_contacts(src.tables(), derive(src, ADD_REF_CONTACT_REQ), "referent").outcomes
+
+
+REMOVE_REF_CONTACT_REQ = (
+    "select timestamp '2003-04-02 00:00:00' ts, cast(c_custkey as bigint) seq, codice owner, "
+    "case c_custkey%2 when 0 then concat('ref',cast(c_custkey as string),'@example.com') "
+    "else concat('ref',cast(c_custkey+1 as string),'@example.com') end contatto "
+    "from {customers} where privato_or_rivendita=0")
+
+
+@register_source("remove_referent_contacts", W(
+    "select ts, seq, owner, contatto, code, " + _outcome() + " from (select *, case when not owned or "
+    + _earlier("contatto", "owned and not used") + " then '45009' when used then '45012' end code from "
+    "(select r.*, exists (select 1 from referent_contacts k where k.referente=r.owner and k.contatto=r.contatto) owned, "
+    f"r.contatto in (select contatto from ordini) used from ({as_sql(REMOVE_REF_CONTACT_REQ)}) r) z) y",
+    "customers", "referent_contacts", "ordini"))
+def remove_referent_contacts(src):
+    """C10 for referents: removal requests, own or another retailer's referent contact."""
+    return CU.remove_contacts(src.tables(), derive(src, REMOVE_REF_CONTACT_REQ), "referent").outcomes
+
+
+@register_source("remove_referent_contacts_table", W(
+    "select r.rivendita, r.nome, r.cognome, case when r.contatto_preferito in (select z.contatto from "
+    f"({as_sql(REMOVE_REF_CONTACT_REQ)}) z join referent_contacts k on k.referente=z.owner and k.contatto=z.contatto "
+    "where z.contatto not in (select contatto from ordini)) then null else r.contatto_preferito end contatto_preferito "
+    "from referents r", "customers", "referents", "referent_contacts", "ordini"))
+def remove_referent_contacts_table(src):
+    """C10 for referents: referents after the removals (preferred contact cleared when removed)."""
+    return CU.remove_contacts(src.tables(), derive(src, REMOVE_REF_CONTACT_REQ), "referent").tables["referents"]
+
+
+PREFERRED_REF_REQ = (
+    "select timestamp '2003-05-02 00:00:00' ts, cast(c_custkey as bigint) seq, codice owner, "
+    "case c_custkey%3 when 0 then concat('ref',cast(c_custkey as string),'@example.com') "
+    "when 1 then concat('c',cast(c_custkey as string),'@example.com') else concat('zz',cast(c_custkey as string)) end contatto "
+    "from {customers} where privato_or_rivendita=0")
+
+
+@register_source("set_preferred_referent_contacts", W(
+    "select ts, seq, owner, contatto, code, " + _outcome() + " from (select r.*, case when r.contatto is not null "
+    "and r.contatto not in (select valore from contacts) then '45013' when r.contatto is not null and not exists "
+    "(select 1 from referent_contacts k where k.referente=r.owner and k.contatto=r.contatto) then '45009' end code "
+    f"from ({as_sql(PREFERRED_REF_REQ)}) r) z", "customers", "contacts", "referent_contacts"))
+def set_preferred_referent_contacts(src):
+    """C11 for referents: own referent contact, the retailer's own contact (45009), unknown (45013)."""
+    return CU.set_preferred_contacts(src.tables(), derive(src, PREFERRED_REF_REQ), "referent").outcomes
