@@ -81,7 +81,7 @@ DEPENDS: dict[str, tuple[str, ...]] = {
 }
 
 
-def with_fixtures(body: str, *tables: str, extra: str = "") -> str:
+def with_fixtures(body: str, *tables: str, extra: str = "", recursive: bool = False) -> str:
     """``WITH`` the named engine tables (and what they depend on), then the
     ``extra`` CTEs, then ``body``."""
     ordered: list[str] = []
@@ -98,4 +98,4 @@ def with_fixtures(body: str, *tables: str, extra: str = "") -> str:
     ctes = ",\n".join(f"{name} as ({FIXTURE_SQL[name]})" for name in ordered)
     if extra:
         ctes = f"{ctes},\n{extra}"
-    return f"with {ctes}\n{body}"
+    return f"with {'recursive ' if recursive else ''}{ctes}\n{body}"

@@ -214,3 +214,75 @@ def order_line_stream(src):
     events.repartitionByRange(4, "ts", "seq").write.parquet(os.path.join(base, "events"))
     return run_available(src.spark, src.tables(), os.path.join(base, "events"), os.path.join(base, "sink"),
                          os.path.join(base, "state"))
+
+
+# C13 oracle: the ledger as a recursive walk over each species' requests -------
+
+_C13_CTES = (
+    f"req as ({RQ.ORDER_LINE_CHANGES_SQL}), "
+    f"fin_req as ({RQ.FINALIZATIONS_SQL}), "
+    "fin as (select ordine, ts fts, seq fseq from (select f.*, row_number() over (partition by f.ordine "
+    "order by f.ts, f.seq) k from fin_req f join ordini o on o.id=f.ordine and o.cliente=f.cliente) z where k=1), "
+    "b0 as (select r.*, l.quantita q0, s.giacenza stock0, coalesce(o.aperto_or_finalizzato=0, false) "
+    "or coalesce(fin.fts < r.ts or (fin.fts = r.ts and fin.fseq < r.seq), false) is_final, "
+    "case when r.op not in ('ADD','CHANGE','REMOVE') then 'INVALID' when not coalesce(o.cliente = r.cliente, false) "
+    "then '45005' when r.op <> 'REMOVE' and (r.quantita is null or r.quantita < 0) then 'INVALID' end pre "
+    "from req r left join ordini o on o.id=r.ordine left join order_lines l on l.ordine=r.ordine "
+    "and l.specie_di_pianta=r.specie_di_pianta left join species s on s.codice=r.specie_di_pianta "
+    "left join fin on fin.ordine=r.ordine), "
+    "base as (select *, row_number() over (partition by specie_di_pianta order by ts, seq) rn from b0), "
+    "walk(specie_di_pianta, rn, stock, lines, code, noop) as ("
+    "select specie_di_pianta, 0, any_value(stock0), []::struct(o int, q int)[], null::varchar, false "
+    "from base group by specie_di_pianta "
+    "union all "
+    "select y.specie_di_pianta, y.rn, "
+    "case when y.code is null and not y.noop then y.stock - (case y.op when 'ADD' then y.quantita "
+    "when 'CHANGE' then y.quantita - y.cur else -y.cur end) else y.stock end, "
+    "case when y.code is null and not y.noop then list_append(list_filter(y.lines, lambda x: x.o <> y.ordine), "
+    "{'o': y.ordine, 'q': case when y.op = 'REMOVE' then -1 else y.quantita end}) else y.lines end, y.code, y.noop "
+    "from (select z.*, case when z.pre is not null then z.pre "
+    "when z.op = 'ADD' then case when z.stock is not null and z.quantita > z.stock then '45006' when z.is_final then '45007' "
+    "when z.cur is not null then '45008' when z.stock is null then '45014' end "
+    "when z.op = 'CHANGE' then case when z.cur is null then null when z.quantita - z.cur > z.stock then '45006' "
+    "when z.is_final then '45007' end "
+    "else case when z.cur is null then null when z.is_final then '45007' end end code, "
+    "z.pre is null and z.op in ('CHANGE','REMOVE') and z.cur is null noop "
+    "from (select w.stock, w.lines, b.specie_di_pianta, b.rn, b.op, b.ordine, b.quantita, b.pre, b.is_final, "
+    "case when len(list_filter(w.lines, lambda x: x.o = b.ordine)) > 0 "
+    "then nullif(list_filter(w.lines, lambda x: x.o = b.ordine)[1].q, -1) else b.q0 end cur "
+    "from walk w join base b on b.specie_di_pianta=w.specie_di_pianta and b.rn=w.rn+1) z) y)")
+
+C13_OUTCOMES_SQL = W(
+    "select b.ts, b.seq, b.op, b.cliente, b.ordine, b.specie_di_pianta, b.quantita, w.stock stock_after, w.code, "
+    "case when w.code is not null then 'rejected' when w.noop then 'noop' else 'accepted' end esito, "
+    f"{reason_case('w.code')} reason from walk w join base b on b.specie_di_pianta=w.specie_di_pianta and b.rn=w.rn "
+    "where w.rn > 0", "ordini", "order_lines", "species", extra=_C13_CTES, recursive=True)
+
+_C13_FINAL = (
+    "final as (select w.specie_di_pianta, w.stock, w.lines from walk w join (select specie_di_pianta, max(rn) m "
+    "from walk group by 1) x on x.specie_di_pianta=w.specie_di_pianta and w.rn=x.m), "
+    "touched as (select specie_di_pianta, e.o ordine, e.q quantita from (select specie_di_pianta, unnest(lines) e "
+    "from final) u)")
+
+C13_STOCK_SQL = W(
+    "select s.codice, coalesce(f.stock, s.giacenza) giacenza from species s left join final f "
+    "on f.specie_di_pianta=s.codice", "ordini", "order_lines", "species", extra=f"{_C13_CTES}, {_C13_FINAL}",
+    recursive=True)
+
+C13_LINES_SQL = W(
+    "select l.ordine, l.specie_di_pianta, l.quantita from order_lines l where not exists (select 1 from touched t "
+    "where t.ordine=l.ordine and t.specie_di_pianta=l.specie_di_pianta) union all "
+    "select ordine, specie_di_pianta, quantita from touched where quantita <> -1",
+    "ordini", "order_lines", "species", extra=f"{_C13_CTES}, {_C13_FINAL}", recursive=True)
+
+_ORACLES_LATE = {"apply_order_line_changes": C13_OUTCOMES_SQL,
+                 "apply_order_line_changes_stock": C13_STOCK_SQL,
+                 "apply_order_line_changes_lines": C13_LINES_SQL}
+
+
+def _attach_late_oracles() -> None:
+    from hortus.plans import registry
+    registry._ORACLES.update(_ORACLES_LATE)
+
+
+_attach_late_oracles()
