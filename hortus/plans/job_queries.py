@@ -275,7 +275,33 @@ C13_LINES_SQL = W(
     "select ordine, specie_di_pianta, quantita from touched where quantita <> -1",
     "ordini", "order_lines", "species", extra=f"{_C13_CTES}, {_C13_FINAL}", recursive=True)
 
-_ORACLES_LATE = {"apply_order_line_changes": C13_OUTCOMES_SQL,
+# C12 oracle: the first lines of new orders through the same walk (stock only).
+_C12_CTES = (
+    f"req as ({RQ.NEW_ORDERS_SQL}), "
+    "b0 as (select r.*, s.giacenza stock0, case when r.contatto is null and c.contatto_preferito is null then '45002' "
+    "when r.contatto is not null and not exists (select 1 from customer_contacts k where k.contatto=r.contatto "
+    "and k.cliente=r.cliente) and not exists (select 1 from referent_contacts k where k.contatto=r.contatto "
+    "and k.referente=r.cliente) then '45009' when r.quantita is null or r.quantita < 0 then 'INVALID' end pre "
+    "from req r left join customers c on c.codice=r.cliente left join species s on s.codice=r.specie_di_pianta), "
+    "base as (select *, row_number() over (partition by specie_di_pianta order by ts, seq) rn from b0), "
+    "walk(specie_di_pianta, rn, stock, code) as ("
+    "select specie_di_pianta, 0, any_value(stock0), null::varchar from base group by specie_di_pianta "
+    "union all select y.specie_di_pianta, y.rn, case when y.code is null then y.stock - y.quantita else y.stock end, "
+    "y.code from (select w.stock, b.specie_di_pianta, b.rn, b.quantita, case when b.pre is not null then b.pre "
+    "when w.stock is not null and b.quantita > w.stock then '45006' when w.stock is null then '45014' end code "
+    "from walk w join base b on b.specie_di_pianta=w.specie_di_pianta and b.rn=w.rn+1) y), "
+    "decided as (select b.*, w.stock stock_after, w.code from walk w join base b "
+    "on b.specie_di_pianta=w.specie_di_pianta and b.rn=w.rn where w.rn > 0)")
+
+C12_OUTCOMES_SQL = W(
+    "select ts, seq, cliente, indirizzo_spedizione, contatto, specie_di_pianta, quantita, stock_after, "
+    "case when code is null then cast((select max(id) from ordini) + row_number() over (partition by code is null "
+    "order by ts, seq) as int) end id, code, case when code is null then 'accepted' else 'rejected' end esito, "
+    f"{reason_case('code')} reason from decided", "customers", "customer_contacts", "referent_contacts", "species",
+    "ordini", extra=_C12_CTES, recursive=True)
+
+_ORACLES_LATE = {"open_orders": C12_OUTCOMES_SQL,
+                 "apply_order_line_changes": C13_OUTCOMES_SQL,
                  "apply_order_line_changes_stock": C13_STOCK_SQL,
                  "apply_order_line_changes_lines": C13_LINES_SQL}
 

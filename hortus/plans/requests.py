@@ -145,3 +145,12 @@ def pack_requests(src: TestdataTables) -> DataFrame:
          .alias("new_pack"),
         F.col("l_partkey").cast("int").alias("specie_di_pianta"),
         F.col("l_quantity").cast("int").alias("quantita"))
+
+
+NEW_ORDERS_SQL = (
+    "select timestamp '2002-01-01 00:00:00' + to_seconds(c.c_custkey) ts, cast(c.c_custkey as bigint) seq, "
+    "c.codice cliente, case when c.c_custkey%2=0 then null else concat('Ship new ',cast(c.c_custkey as string)) end "
+    "indirizzo_spedizione, case when c.c_custkey%5=0 then null when c.c_custkey%7=0 then "
+    "concat('c',cast(c.c_custkey+1 as string),'@example.com') else concat('c',cast(c.c_custkey as string),'@example.com') "
+    "end contatto, cast(k.c_nationkey as int) specie_di_pianta, cast(c.c_custkey%20+1 as int) quantita "
+    "from customers c join customer k on k.c_custkey=c.c_custkey")
