@@ -300,7 +300,59 @@ C12_OUTCOMES_SQL = W(
     f"{reason_case('code')} reason from decided", "customers", "customer_contacts", "referent_contacts", "species",
     "ordini", extra=_C12_CTES, recursive=True)
 
-_ORACLES_LATE = {"open_orders": C12_OUTCOMES_SQL,
+# C19 oracle: each order's pack requests walked in order with the packed amounts,
+# new-pack handles, placed (pack, species) pairs and the next pack number as state.
+_C19_CTES = (
+    f"req as ({RQ.PACK_REQUESTS_SQL}), "
+    "b0 as (select r.*, o.aperto_or_finalizzato status, l.quantita ordered, pc.q packed0, "
+    "p.numero is not null pack_exists, c.ordine is not null content_exists, coalesce(m.mx, 0) max_pack0 "
+    "from req r left join ordini o on o.id=r.ordine "
+    "left join order_lines l on l.ordine=r.ordine and l.specie_di_pianta=r.specie_di_pianta "
+    "left join (select ordine, specie_di_pianta, sum(quantita) q from pack_contents group by 1,2) pc "
+    "on pc.ordine=r.ordine and pc.specie_di_pianta=r.specie_di_pianta "
+    "left join packs p on p.ordine=r.ordine and p.numero=r.pacco "
+    "left join pack_contents c on c.ordine=r.ordine and c.pacco=r.pacco and c.specie_di_pianta=r.specie_di_pianta "
+    "left join (select ordine, max(numero) mx from packs group by 1) m on m.ordine=r.ordine), "
+    "base as (select *, row_number() over (partition by ordine order by ts, seq) rn from b0), "
+    "walk(ordine, rn, top, packed, handles, placed, code, num) as ("
+    "select ordine, 0, any_value(max_pack0), []::struct(sp int, q int)[], []::struct(h varchar, n int)[], "
+    "[]::varchar[], null::varchar, null::int from base group by ordine "
+    "union all select y.ordine, y.rn, case when y.creating and y.code is null then y.top + 1 else y.top end, "
+    "case when y.code is null then list_append(list_filter(y.packed, lambda x: x.sp <> y.specie_di_pianta), "
+    "{'sp': y.specie_di_pianta, 'q': y.batch_packed + y.quantita}) else y.packed end, "
+    "case when y.creating then list_append(y.handles, {'h': y.new_pack, 'n': case when y.code is null then y.top + 1 end}) "
+    "else y.handles end, "
+    "case when y.code is null then list_append(y.placed, y.pkey) else y.placed end, y.code, "
+    "case when y.code is null then case when y.creating then y.top + 1 else y.number0 end end "
+    "from (select z.*, case when z.quantita is null or z.quantita < 0 then 'INVALID' "
+    "when z.creating and z.status = 1 then '45034' when z.creating and z.status is null then '45027' "
+    "when z.ordered is null then '45020' when z.quantita > z.ordered - (coalesce(z.packed0, 0) + z.batch_packed) then '45015' "
+    "when not z.creating and z.number0 is null then '45026' "
+    "when not z.creating and (list_contains(z.placed, z.pkey) or (z.new_pack is null and z.content_exists)) then 'DUPLICATE' "
+    "end code from (select w.top, w.packed, w.handles, w.placed, b.*, "
+    "b.new_pack is not null and len(list_filter(w.handles, lambda x: x.h = b.new_pack)) = 0 creating, "
+    "case when b.new_pack is not null then list_filter(w.handles, lambda x: x.h = b.new_pack)[1].n "
+    "when b.pack_exists then b.pacco end number0, "
+    "case when b.new_pack is not null then 'n:' || b.new_pack else 'o:' || cast(b.pacco as varchar) end "
+    "|| ':' || cast(b.specie_di_pianta as varchar) pkey, "
+    "coalesce(list_filter(w.packed, lambda x: x.sp = b.specie_di_pianta)[1].q, 0) batch_packed "
+    "from walk w join base b on b.ordine=w.ordine and b.rn=w.rn+1) z) y)")
+
+C19_OUTCOMES_SQL = W(
+    "select b.ts, b.seq, b.ordine, b.pacco, b.new_pack, b.specie_di_pianta, b.quantita, w.num pack_number, w.code, "
+    "case when w.code is null then 'accepted' else 'rejected' end esito, "
+    f"{reason_case('w.code')} reason from walk w join base b on b.ordine=w.ordine and b.rn=w.rn where w.rn > 0",
+    "ordini", "order_lines", "pack_contents", "packs", extra=_C19_CTES, recursive=True)
+
+C19_CONTENTS_SQL = W(
+    "select ordine, pacco, specie_di_pianta, quantita from pack_contents union all "
+    "select b.ordine, w.num, b.specie_di_pianta, b.quantita from walk w join base b on b.ordine=w.ordine "
+    "and b.rn=w.rn where w.rn > 0 and w.code is null",
+    "ordini", "order_lines", "pack_contents", "packs", extra=_C19_CTES, recursive=True)
+
+_ORACLES_LATE = {"allocate_packs": C19_OUTCOMES_SQL,
+                 "allocate_packs_contents": C19_CONTENTS_SQL,
+                 "open_orders": C12_OUTCOMES_SQL,
                  "apply_order_line_changes": C13_OUTCOMES_SQL,
                  "apply_order_line_changes_stock": C13_STOCK_SQL,
                  "apply_order_line_changes_lines": C13_LINES_SQL}

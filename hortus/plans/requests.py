@@ -154,3 +154,10 @@ NEW_ORDERS_SQL = (
     "concat('c',cast(c.c_custkey+1 as string),'@example.com') else concat('c',cast(c.c_custkey as string),'@example.com') "
     "end contatto, cast(k.c_nationkey as int) specie_di_pianta, cast(c.c_custkey%20+1 as int) quantita "
     "from customers c join customer k on k.c_custkey=c.c_custkey")
+
+
+PACK_REQUESTS_SQL = (
+    "select cast(l_shipdate + interval 1 day as timestamp) ts, cast(l_orderkey*8+l_linenumber as bigint) seq, "
+    "cast(l_orderkey as int) ordine, cast(case when l_linenumber>3 then 1 end as int) pacco, "
+    "case when l_linenumber<=3 then concat('P',cast(l_linenumber%2 as string)) end new_pack, "
+    "cast(l_partkey as int) specie_di_pianta, cast(l_quantity as int) quantita from lineitem where l_returnflag='N'")
