@@ -298,10 +298,31 @@ SUPPLIER_REQ = (
     "else concat('New ',cast(s_suppkey%30 as string)) end indirizzo from {supplier}")
 
 
-@register_source("load_suppliers")
+_C15_CTES = (
+    f"r0 as ({as_sql(SUPPLIER_REQ)}), "
+    "r as (select r0.* replace (upper(codice_fiscale) as codice_fiscale), "
+    f"coalesce(regexp_matches(r0.codice_fiscale, '{SU.FISCAL_CODE}'), false) shape_ok from r0), "
+    "c as (select r.*, case when not shape_ok then '45023' when codice_fiscale in (select codice_fiscale from suppliers) "
+    "then '45035' when specie_di_pianta not in (select codice from species) then 'UNKNOWN_KEY' "
+    "when indirizzo is null or indirizzo in (select indirizzo from supplier_addresses) then '45035' end s, "
+    "row_number() over (order by ts, seq) rn from r), "
+    "walk(rn, codes, addrs, code) as (select 0, []::varchar[], []::varchar[], null::varchar "
+    "union all select y.rn, case when y.code is null then list_append(y.codes, y.codice_fiscale) else y.codes end, "
+    "case when y.code is null then list_append(y.addrs, y.indirizzo) else y.addrs end, y.code from "
+    "(select c.rn, c.codice_fiscale, c.indirizzo, w.codes, w.addrs, coalesce(c.s, case when "
+    "list_contains(w.codes, c.codice_fiscale) or list_contains(w.addrs, c.indirizzo) then '45035' end) code "
+    "from walk w join c on c.rn=w.rn+1) y)")
+
+
+@register_source("load_suppliers", W(
+    "select c.ts, c.seq, c.codice_fiscale, c.nome, c.specie_di_pianta, c.indirizzo, w.code, "
+    f"{_outcome('w.code')}, case when w.code is null then cast((select max(codice_fornitore) from suppliers) + "
+    "row_number() over (partition by w.code is null order by c.ts, c.seq) as int) end codice_fornitore "
+    "from walk w join c on c.rn=w.rn where w.rn > 0", "suppliers", "species", "supplier_addresses",
+    extra=_C15_CTES, recursive=True))
 def load_suppliers(src):
-    """Outcome and new code per supplier request (rows-only: the two-key
-    in-batch rule is checked against a sequential replay in tests)."""
+    """Outcome and new code per supplier request (the oracle walks the batch
+    in order with the codes and addresses taken so far)."""
     return SU.load_suppliers(src.tables(), derive(src, SUPPLIER_REQ)).outcomes
 
 

@@ -350,7 +350,17 @@ C19_CONTENTS_SQL = W(
     "and b.rn=w.rn where w.rn > 0 and w.code is null",
     "ordini", "order_lines", "pack_contents", "packs", extra=_C19_CTES, recursive=True)
 
-_ORACLES_LATE = {"allocate_packs": C19_OUTCOMES_SQL,
+# The stream applies the same ledger to the same events, without finalizations.
+C22_SQL = W(
+    "select b.ts, b.seq, b.op, b.cliente, b.ordine, b.specie_di_pianta, b.quantita, w.code, "
+    "case when w.code is not null then 'rejected' when w.noop then 'noop' else 'accepted' end esito, "
+    "w.stock stock_after from walk w join base b on b.specie_di_pianta=w.specie_di_pianta and b.rn=w.rn "
+    "where w.rn > 0", "ordini", "order_lines", "species",
+    extra=_C13_CTES.replace(f"fin_req as ({RQ.FINALIZATIONS_SQL})",
+                            f"fin_req as (select * from ({RQ.FINALIZATIONS_SQL}) q where false)"), recursive=True)
+
+_ORACLES_LATE = {"order_line_stream": C22_SQL,
+                 "allocate_packs": C19_OUTCOMES_SQL,
                  "allocate_packs_contents": C19_CONTENTS_SQL,
                  "open_orders": C12_OUTCOMES_SQL,
                  "apply_order_line_changes": C13_OUTCOMES_SQL,
