@@ -48,17 +48,21 @@ def with_outcome(df: DataFrame, code: Column, noop: Column | None = None) -> Dat
 def exists_in(df: DataFrame, table: DataFrame, on: Sequence[tuple[str, str]], flag: str) -> DataFrame:
     """Adds boolean ``flag``: a row of ``table`` matches on the (request col, table col) pairs.
 
-    The table side is reduced to its distinct keys before the join, so the
+    The table is first cut to the keys the batch asks about (a left-semi join
+    with the batch's distinct keys, which AQE broadcasts when they are small),
+    so a large table is scanned but never shuffled or de-duplicated whole.  The
     flag never multiplies request rows.
     """
-    keys = table.select(*[F.col(t).alias(f"_k{i}") for i, (_, t) in enumerate(on)]).distinct() \
-        .withColumn(flag, F.lit(True))
+    names = [f"_k{i}" for i in range(len(on))]
+    asked = df.select(*[F.col(r).alias(n) for (r, _), n in zip(on, names)]).distinct()
+    held = table.select(*[F.col(t).alias(n) for (_, t), n in zip(on, names)])
+    hits = held.join(asked, names, "left_semi").distinct().withColumn(flag, F.lit(True))
     cond = None
-    for i, (r, _) in enumerate(on):
-        c = df[r] == keys[f"_k{i}"]
+    for (r, _), n in zip(on, names):
+        c = df[r] == hits[n]
         cond = c if cond is None else cond & c
-    j = df.join(keys, cond, "left")
-    return j.drop(*[f"_k{i}" for i in range(len(on))]).withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    j = df.join(hits, cond, "left")
+    return j.drop(*names).withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
 def first_in_batch(df: DataFrame, key: Sequence[str], eligible: Column, flag: str) -> DataFrame:
