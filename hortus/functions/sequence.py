@@ -18,16 +18,8 @@ from pyspark.sql import functions as F
 from hortus.session import checkpointed
 
 
-def number_in_order(df: DataFrame, order_cols: Sequence[str], base: Column | int, out: str,
-                    partition_cols: Sequence[str] = ()) -> DataFrame:
-    """Adds ``out`` = ``base`` + 1, 2, 3 ... following ``order_cols``.
-
-    With ``partition_cols`` the numbering restarts per group (pack numbers per
-    order): a plain window partitioned by the group, since groups are keyed.
-    """
-    if partition_cols:
-        w = Window.partitionBy(*partition_cols).orderBy(*order_cols)
-        return df.withColumn(out, (base if isinstance(base, Column) else F.lit(base)) + F.row_number().over(w))
+def number_in_order(df: DataFrame, order_cols: Sequence[str], base: Column | int, out: str) -> DataFrame:
+    """Adds ``out`` = ``base`` + 1, 2, 3 ... following ``order_cols``."""
     local = (df.orderBy(*order_cols)
                .withColumn("_part", F.spark_partition_id())
                .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))

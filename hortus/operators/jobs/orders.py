@@ -28,6 +28,7 @@ from hortus.functions.columns import true_or_false
 from hortus.functions.ordered import fold_by_key
 from hortus.functions.sequence import max_key, number_in_order
 from hortus.operators.jobs.base import JobResult, Tables
+from hortus.operators.orders import owner_check
 from hortus.session import checkpointed
 
 OPS = ("ADD", "CHANGE", "REMOVE")
@@ -254,9 +255,8 @@ def open_orders(tables: Tables, requests: DataFrame) -> JobResult:
 
 
 def finalize_checks(tables: Tables, requests: DataFrame) -> DataFrame:
-    o = tables["orders"].select(F.col("id").alias("ordine"), F.col("cliente").alias("_owner"))
-    r = requests.select(*FINALIZE_COLS).join(o, "ordine", "left")
-    return r.withColumn("_code", first_failing((~true_or_false(F.col("_owner") == F.col("cliente")), codes.NOT_OWNER)))
+    r = owner_check(tables, requests.select(*FINALIZE_COLS))
+    return r.withColumn("_code", first_failing((~F.col("is_owner"), codes.NOT_OWNER))).drop("is_owner")
 
 
 def finalize_orders(tables: Tables, requests: DataFrame) -> JobResult:
