@@ -92,15 +92,23 @@ def with_neighbour(df: DataFrame, key: Sequence[str], order: Sequence[str], valu
     return neighbour(tag_ranges(df, key, order), key, order, values, direction, prefix).drop("_part")
 
 
+def cluster_by_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Hash partition by key.  Joins on the key placed after this keep every key
+    inside one partition (a broadcast join keeps this side's partitioning, a
+    sort-merge join needs it), so they add no second shuffle of ``df``."""
+    return df.repartition(_partitions(df), *[F.col(c) for c in key])
+
+
 def fold_by_key(df: DataFrame, key: Sequence[str], order: Sequence[str],
                 fold: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
-                schema: T.StructType | str) -> DataFrame:
+                schema: T.StructType | str, clustered: bool = False) -> DataFrame:
     """Streams each key's rows in ``order`` through ``fold`` (state carried by the fold).
 
-    Rows are hash partitioned by key and sorted by (key, order) inside the
+    Rows are hash partitioned by key (unless ``clustered``: already done by
+    ``cluster_by_key`` upstream) and sorted by (key, order) inside the
     partition, so every key is one contiguous, ordered run.  The fold sees
     Arrow batches of bounded size and keeps only the state of the key it is on.
     """
     cols = [F.col(c) for c in [*key, *order]]
-    s = df.repartition(_partitions(df), *[F.col(c) for c in key]).sortWithinPartitions(*cols)
-    return s.mapInPandas(fold, schema)
+    s = df if clustered else cluster_by_key(df, key)
+    return s.sortWithinPartitions(*cols).mapInPandas(fold, schema)

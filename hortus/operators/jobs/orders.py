@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from hortus.functions import codes
 from hortus.functions.checks import first_failing, request_order, with_outcome
 from hortus.functions.columns import true_or_false
-from hortus.functions.ordered import fold_by_key
+from hortus.functions.ordered import cluster_by_key, fold_by_key
 from hortus.functions.sequence import max_key, number_in_order
 from hortus.operators.jobs.base import JobResult, Tables
 from hortus.operators.orders import owner_check
