@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hortus.functions import codes
+from hortus.functions.checks import first_failing, with_outcome
 from hortus.functions.columns import flag_text, keep_keys, search_pattern
 
 Tables = Mapping[str, DataFrame]
@@ -51,3 +53,10 @@ def species_info(tables: Tables, species=None) -> DataFrame:
     """Code, common and latin name of each species."""
     s = keep_keys(tables["species"], "codice", species)
     return s.select("codice", "nome_comune", "nome_latino")
+
+
+def species_report_requests(tables: Tables, requests: DataFrame) -> DataFrame:
+    """R9 as requested: species code -> the species row, or 45014 when unknown."""
+    s = tables["species"].select("codice", "nome_comune", "nome_latino")
+    r = requests.select("codice").join(s, "codice", "left")
+    return with_outcome(r, first_failing((F.col("nome_comune").isNull(), codes.UNKNOWN_SPECIES)))

@@ -11,6 +11,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hortus.functions import codes
+from hortus.functions.checks import first_failing, with_outcome
 from hortus.functions.columns import LINE_TOTAL, display_name, flag_text, keep_keys, true_or_false
 
 Tables = Mapping[str, DataFrame]
@@ -148,3 +150,17 @@ def owner_check(tables: Tables, requests: DataFrame, order_col: str = "ordine",
     o = tables["orders"].select(F.col("id").alias("_oid"), F.col("cliente").alias("_owner"))
     j = requests.join(o, requests[order_col] == o._oid, "left")
     return j.withColumn("is_owner", true_or_false(F.col("_owner") == F.col(customer_col))).drop("_oid", "_owner")
+
+
+def order_report_requests(tables: Tables, requests: DataFrame) -> DataFrame:
+    """R4 as requested by customers: (cliente, ordine) -> outcome of the report request.
+
+    The order system checks the owner first, where an unknown order gives NULL
+    and passes, then existence: another customer's order 45005, unknown order
+    45016.  Accepted requests read ``order_report`` for their orders.
+    """
+    o = tables["orders"].select(F.col("id").alias("ordine"), F.col("cliente").alias("_owner"))
+    r = requests.select("cliente", "ordine").join(o, "ordine", "left")
+    code = first_failing((F.col("_owner").isNotNull() & (F.col("_owner") != F.col("cliente")), codes.NOT_OWNER),
+                         (F.col("_owner").isNull(), codes.UNKNOWN_ORDER))
+    return with_outcome(r, code).select("cliente", "ordine", "code", "esito", "reason")

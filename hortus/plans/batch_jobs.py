@@ -13,6 +13,8 @@ import re
 from pyspark.sql import DataFrame
 
 from hortus.functions import codes
+from hortus.operators import catalog as RC
+from hortus.operators import orders as RO
 from hortus.operators.jobs import catalog as CA
 from hortus.operators.jobs import customers as CU
 from hortus.operators.jobs import suppliers as SU
@@ -447,3 +449,37 @@ PREFERRED_REF_REQ = (
 def set_preferred_referent_contacts(src):
     """C11 for referents: own referent contact, the retailer's own contact (45009), unknown (45013)."""
     return CU.set_preferred_contacts(src.tables(), derive(src, PREFERRED_REF_REQ), "referent").outcomes
+
+
+# R4 / R9 request checks -----------------------------------------------------------
+
+REPORT_REQ = (
+    "select case when o_orderpriority='2-HIGH' then lpad(cast(o_custkey+1 as string),11,'0') else c.codice end cliente, "
+    "cast(case when o_orderpriority='3-MEDIUM' then o_orderkey+1000000000 else o_orderkey end as int) ordine "
+    "from {orders} join {customers} c on c.c_custkey=o_custkey")
+
+
+@register_source("order_report_requests", W(
+    "select r.cliente, r.ordine, case when o.cliente is not null and o.cliente <> r.cliente then '45005' "
+    "when o.cliente is null then '45016' end code, "
+    "case when o.cliente is not null and o.cliente <> r.cliente then 'rejected' when o.cliente is null then 'rejected' "
+    "else 'accepted' end esito, case when o.cliente is not null and o.cliente <> r.cliente then "
+    f"'{codes.REASONS[codes.NOT_OWNER]}' when o.cliente is null then '{codes.REASONS[codes.UNKNOWN_ORDER]}' end reason "
+    f"from ({as_sql(REPORT_REQ)}) r left join ordini o on o.id=r.ordine", "customers", "ordini"))
+def order_report_requests(src):
+    """R4 request checks: one report request per order (some by another customer, some for unknown orders)."""
+    return RO.order_report_requests(src.tables(), derive(src, REPORT_REQ))
+
+
+SPECIES_REPORT_REQ = (
+    "select cast(case when p_size>45 then p_partkey+1000000000 else p_partkey end as int) codice from {part}")
+
+
+@register_source("species_report_requests", W(
+    "select r.codice, s.nome_comune, s.nome_latino, case when s.codice is null then '45014' end code, "
+    "case when s.codice is null then 'rejected' else 'accepted' end esito, "
+    f"case when s.codice is null then '{codes.REASONS[codes.UNKNOWN_SPECIES]}' end reason "
+    f"from ({as_sql(SPECIES_REPORT_REQ)}) r left join species s on s.codice=r.codice", "species"))
+def species_report_requests(src):
+    """R9a request checks: one report request per part (unknown codes 45014)."""
+    return RC.species_report_requests(src.tables(), derive(src, SPECIES_REPORT_REQ))
