@@ -18,14 +18,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hortus.functions import codes
 from hortus.functions.checks import first_failing, request_order, with_outcome
 from hortus.functions.columns import true_or_false
-from hortus.functions.ordered import cluster_by_key, fold_by_key
+from hortus.functions.ordered import cluster_by_key, fold_by_key, tag_ranges
 from hortus.functions.sequence import max_key, number_in_order
 from hortus.operators.jobs.base import JobResult, Tables
 from hortus.operators.orders import owner_check
@@ -133,20 +134,130 @@ def _finalized_at(tables: Tables, finalizations: DataFrame | None) -> DataFrame
     return f.groupBy("ordine").agg(F.min(request_order()).alias("_finalized_at"))
 
 
-def _run_fold(tables: Tables, req: DataFrame) -> DataFrame:
+HOT_SPECIES_ROWS = 1_000_000
+_INF = float("inf")
+U_RESULTS = [
+    T.StructField("u_code", T.StringType()), T.StructField("u_noop", T.BooleanType()),
+    T.StructField("u_delta", T.IntegerType()), T.StructField("u_new_qty", T.IntegerType()),
+    T.StructField("cur_before", T.IntegerType()),
+]
+_U_IN = ["op", "_line_key", "specie_di_pianta", "quantita", "pre_code", "is_final", "q0", "stock0"]
+
+
+def unlimited_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The ledger of one order line (order, species) with unlimited stock: what each
+    request would do if the stock never ran out, and the line before it."""
+    line_key = object()
+    cur = None
+    for pdf in batches:
+        out = {f.name: [] for f in U_RESULTS}
+        for op, lk, sp, q, pre, final, q0, stock0 in zip(*[column_values(pdf[c]) for c in _U_IN]):
+            if (lk, sp) != line_key:
+                line_key, cur = (lk, sp), q0
+            if op == OPEN:  # a new order's first line: no line before it
+                cur = None
+            code, noop, delta, new_qty = ledger_step(op, q, cur, None if stock0 is None else _INF, bool(final), pre)
+            out["cur_before"].append(cur)
+            accepted = code is None and not noop
+            if accepted and op != OPEN:
+                cur = new_qty
+            out["u_code"].append(code)
+            out["u_noop"].append(noop)
+            out["u_delta"].append(delta if accepted else 0)
+            out["u_new_qty"].append(new_qty if accepted else None)
+        yield pdf.assign(**out)
+
+
+def _speculative(r: DataFrame, schema: T.StructType) -> DataFrame:
+    """The ledger for hot species without one task per species where the stock lasts.
+
+    1. Each order line's requests with unlimited stock (a fold per (order,
+       species): a hot species is spread over many tasks).
+    2. Stock before each request = initial stock - accepted deltas so far: a
+       prefix sum per species over range-tagged rows (a hot species spans
+       several partitions; per-partition totals give the offsets).
+    3. Up to the first request that unlimited stock accepts but the real stock
+       refuses, the real ledger makes the same state changes; requests there
+       whose stock need exceeds the stock get 45006 (the stock check comes
+       first), the rest keep their decision.
+    4. From that request on, the species goes through the sequential fold,
+       starting from the stock and order lines reached just before it.
+    """
+    # An order line is (order, species); each new order's first line is its own line.
+    r = r.withColumn("_line_key", F.when(F.col("op") == OPEN, -F.col("seq") - 1)
+                     .otherwise(F.col("ordine").cast("long")))
+    u_schema = T.StructType([*r.schema.fields, *U_RESULTS])
+    u = fold_by_key(r, ["_line_key", "specie_di_pianta"], ["ts", "seq"], unlimited_fold, u_schema)
+    u = u.withColumn("_u_acc", F.col("u_code").isNull() & ~F.col("u_noop")).withColumn(
+        "_need", F.when(F.col("pre_code").isNull() & F.col("op").isin(OPEN, "ADD"), F.col("quantita"))
+                  .when(F.col("pre_code").isNull() & (F.col("op") == "CHANGE") & F.col("cur_before").isNotNull(),
+                        F.col("quantita") - F.col("cur_before")))
+    tagged = tag_ranges(u, ["specie_di_pianta"], ["ts", "seq"])
+    w_in = Window.partitionBy("_part", "specie_di_pianta").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    totals = tagged.groupBy("_part", "specie_di_pianta").agg(F.sum("u_delta").alias("_tot"))
+    offsets = totals.select("_part", "specie_di_pianta", F.coalesce(F.sum("_tot").over(
+        Window.partitionBy("specie_di_pianta").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("_off"))
+    t = (tagged.join(F.broadcast(offsets), ["_part", "specie_di_pianta"], "left")  # one row per (partition, species)
+               .withColumn("_stock", F.col("stock0") - F.col("_off") - F.coalesce(F.sum("u_delta").over(w_in), F.lit(0)))
+               .withColumn("_short", true_or_false(F.col("_need") > F.col("_stock"))))
+    first = (t.filter(F.col("_short") & F.col("_u_acc")).groupBy("specie_di_pianta")
+              .agg(F.min(request_order()).alias("_diverge")))
+    t = t.join(F.broadcast(first), "specie_di_pianta", "left")  # one row per hot species
+    before = F.col("_diverge").isNull() | (request_order() < F.col("_diverge"))
+    base_cols = [f.name for f in schema.fields if f.name not in {x.name for x in FOLD_RESULTS}]
+    prefix = t.filter(before)
+    prefix_out = prefix.select(
+        *base_cols,
+        F.when(F.col("_short"), F.lit(codes.ABOVE_STOCK)).otherwise(F.col("u_code")).alias("fold_code"),
+        (F.col("u_noop") & ~F.col("_short")).alias("noop"),
+        F.when(F.col("_u_acc"), F.col("u_delta")).otherwise(F.lit(0)).cast("int").alias("stock_delta"),
+        F.col("u_new_qty").alias("new_qty"),
+        (F.col("_stock") - F.when(F.col("_u_acc"), F.col("u_delta")).otherwise(F.lit(0))).cast("int").alias("stock_after"))
+    # Where the real ledger parts from the unlimited one: restart the sequential fold
+    # from the stock and the order lines reached just before that request.
+    start = t.filter(request_order() == F.col("_diverge")).select("specie_di_pianta", F.col("_stock").alias("_start"))
+    lines_before = (prefix.filter(F.col("_u_acc")).groupBy("ordine", "specie_di_pianta")
+                    .agg(F.max_by(F.struct(F.col("u_new_qty").alias("q")), request_order()).alias("_line")))
+    suffix = (t.filter(~before).select(*base_cols)
+               .join(F.broadcast(start), "specie_di_pianta", "left")
+               .join(lines_before, ["ordine", "specie_di_pianta"], "left")
+               .withColumn("stock0", F.col("_start").cast("int"))
+               .withColumn("q0", F.when(F.col("_line").isNotNull(), F.col("_line.q")).otherwise(F.col("q0")))
+               .select(*base_cols))
+    suffix_out = fold_by_key(suffix, ["specie_di_pianta"], ["ts", "seq"], stock_fold, schema)
+    return prefix_out.unionByName(suffix_out)
+
+
+def _run_fold(tables: Tables, req: DataFrame, hot_rows: int = HOT_SPECIES_ROWS) -> DataFrame:
     """``req`` has the fold inputs except stock0 / last_for_key; returns req + fold results.
 
     Every request column passes through the fold, so no join back is needed.
+    Species with more than ``hot_rows`` requests in the batch take the
+    speculative path (``_speculative``); the others are folded per species.
     """
     sp = tables["species"].select(F.col("codice").alias("specie_di_pianta"), F.col("giacenza").alias("stock0"))
     last = (req.filter(F.col("ordine").isNotNull()).groupBy("ordine", "specie_di_pianta")
                .agg(F.max(request_order()).alias("_last")))
     r = (req.join(last, ["ordine", "specie_di_pianta"], "left")
-            .withColumn("last_for_key", true_or_false(request_order() == F.col("_last"))).drop("_last")
-            .join(sp, "specie_di_pianta", "left"))
+            .withColumn("last_for_key", true_or_false(request_order() == F.col("_last"))).drop("_last"))
+    # One shuffle by species serves both the stock join and the fold.
+    r = cluster_by_key(r, ["specie_di_pianta"]).join(sp, "specie_di_pianta", "left")
     schema = T.StructType([*r.schema.fields, *FOLD_RESULTS])
-    # Checkpointed: the decisions feed several outputs and must not be re-run.
-    return checkpointed(fold_by_key(r, ["specie_di_pianta"], ["ts", "seq"], stock_fold, schema))
+    # Persisted while the species are counted, so the batch is computed once.
+    r = r.persist(StorageLevel.MEMORY_AND_DISK)
+    hot = [row[0] for row in r.groupBy("specie_di_pianta").count()
+           .filter(F.col("count") > hot_rows).select("specie_di_pianta").collect()]  # at most rows / hot_rows
+    if not hot:
+        # Checkpointed: the decisions feed several outputs and must not be re-run.
+        out = checkpointed(fold_by_key(r, ["specie_di_pianta"], ["ts", "seq"], stock_fold, schema, clustered=True))
+    else:
+        is_hot = F.col("specie_di_pianta").isin(hot)
+        normal = fold_by_key(r.filter(~is_hot), ["specie_di_pianta"], ["ts", "seq"], stock_fold, schema,
+                             clustered=True)
+        out = checkpointed(normal.unionByName(_speculative(r.filter(is_hot), schema)))
+    r.unpersist(blocking=False)
+    return out
 
 
 def _line_results(tables: Tables, decided: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -170,7 +281,8 @@ def _line_results(tables: Tables, decided: DataFrame) -> tuple[DataFrame, DataFr
     return new_species, new_lines, emptied
 
 
-def apply_order_line_changes(tables: Tables, changes: DataFrame, finalizations: DataFrame | None = None) -> JobResult:
+def apply_order_line_changes(tables: Tables, changes: DataFrame, finalizations: DataFrame | None = None,
+                             hot_rows: int = HOT_SPECIES_ROWS) -> JobResult:
     """Add / change / remove order lines in time order against the stock.
 
     ``changes``: ts, seq, op (ADD, CHANGE, REMOVE), cliente, ordine,
@@ -197,7 +309,7 @@ def apply_order_line_changes(tables: Tables, changes: DataFrame, finalizations:
               ((F.col("op") != "REMOVE") & (F.col("quantita").isNull() | (F.col("quantita") < 0)), codes.INVALID)))
           .select(*LINE_CHANGE_COLS, "is_final", "pre_code")
           .join(q0, ["ordine", "specie_di_pianta"], "left"))
-    decided = _run_fold(tables, r)
+    decided = _run_fold(tables, r, hot_rows)
     new_species, new_lines, emptied = _line_results(tables, decided)
     new_orders = tables["orders"].join(emptied.withColumnRenamed("ordine", "id"), "id", "left_anti")
     outcomes = with_outcome(decided.select(*LINE_CHANGE_COLS, "fold_code", "noop", "stock_after"),
@@ -206,7 +318,7 @@ def apply_order_line_changes(tables: Tables, changes: DataFrame, finalizations:
                      {"emptied_orders": emptied})
 
 
-def open_orders(tables: Tables, requests: DataFrame) -> JobResult:
+def open_orders(tables: Tables, requests: DataFrame, hot_rows: int = HOT_SPECIES_ROWS) -> JobResult:
     """New orders, each with its first line, all or nothing.
 
     Shipping defaults to the residence; the contact defaults to the preferred
@@ -231,7 +343,7 @@ def open_orders(tables: Tables, requests: DataFrame) -> JobResult:
     fold_in = r.select(*NEW_ORDER_COLS, "_ship", "_contact", F.lit(OPEN).alias("op"),
                        F.lit(None).cast("int").alias("ordine"), "pre_code", F.lit(False).alias("is_final"),
                        F.lit(None).cast("int").alias("q0"))
-    full = _run_fold(tables, fold_in)
+    full = _run_fold(tables, fold_in, hot_rows)
     accepted = full.filter(F.col("fold_code").isNull())
     numbered = number_in_order(accepted.select("ts", "seq", "cliente", "_ship", "_contact", "specie_di_pianta",
                                                "quantita", "stock_delta"),

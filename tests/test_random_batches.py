@@ -30,14 +30,15 @@ def _random_ledger(seed):
     return species, orders, lines, reqs
 
 
-@pytest.mark.parametrize("seed,partitions", [(1, 3), (2, 11), (3, 1)])
-def test_ledger_random_batches(spark, seed, partitions):
+@pytest.mark.parametrize("seed,partitions,hot_rows", [(1, 3, 10**6), (2, 11, 10**6), (3, 1, 10**6),
+                                                      (6, 4, 10), (7, 7, 1), (8, 2, 30)])
+def test_ledger_random_batches(spark, seed, partitions, hot_rows):
     species, orders, lines, reqs = _random_ledger(seed)
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     try:
         t = build(spark, species=species, orders=orders, order_lines=[(o, k, q) for (o, k), q in lines.items()])
-        res = OR.apply_order_line_changes(t, spark.createDataFrame(reqs, LINE_SCHEMA))
+        res = OR.apply_order_line_changes(t, spark.createDataFrame(reqs, LINE_SCHEMA), hot_rows=hot_rows)
         got = {(r["ts"], r["seq"]): (r["esito"], r["code"], r["stock_after"]) for r in res.outcomes.collect()}
         stock_rows = {r["codice"]: r["giacenza"] for r in res.tables["species"].collect()}
     finally:
@@ -97,3 +98,27 @@ def test_price_history_invariants(src, tables):
     assert gaps.count() == 0
     # accepted + no-op + rejected = requests
     assert res.outcomes.count() == RQ.price_changes(src).count()
+
+
+@pytest.mark.parametrize("stock", [100000, 60])
+def test_hot_species_third_of_the_batch(spark, stock):
+    """One species holds a third of the requests: with ample stock the speculative
+    path decides it without a sequential pass; with little stock it falls back from
+    the first stock-out.  Both must equal the sequential replay."""
+    rnd = random.Random(stock)
+    species = [sp(1, stock)] + [sp(k, 50) for k in range(2, 8)]
+    orders = [order(i, "A", open_=1 if i % 5 else 0) for i in range(1, 60)]
+    reqs = []
+    for n in range(900):
+        k = 1 if n % 3 == 0 else rnd.randint(2, 7)
+        op = rnd.choice(["ADD", "ADD", "ADD", "CHANGE", "REMOVE"])
+        reqs.append((ts(n), n, op, "A", rnd.randint(1, 59), k, None if op == "REMOVE" else rnd.randint(1, 9)))
+    t = build(spark, species=species, orders=orders)
+    res = OR.apply_order_line_changes(t, spark.createDataFrame(reqs, LINE_SCHEMA), hot_rows=200)
+    got = {(r["ts"], r["seq"]): (r["esito"], r["code"], r["stock_after"]) for r in res.outcomes.collect()}
+    cols = ["ts", "seq", "op", "cliente", "ordine", "specie_di_pianta", "quantita"]
+    want, want_stock, _, _ = SEQ.replay_line_changes(
+        {s[0]: s[6] for s in species}, {o[0]: [o[1], o[3]] for o in orders}, {}, [dict(zip(cols, r)) for r in reqs])
+    assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()}
+    assert all(got[k][2] == want[k][2] for k in want if want[k][0] == "accepted")
+    assert {r["codice"]: r["giacenza"] for r in res.tables["species"].collect()} == want_stock
