@@ -117,3 +117,34 @@ RAW_TABLES: dict[str, T.StructType] = {
                         ("l_tax", T.DoubleType(), True), ("l_returnflag", STR, True), ("l_linestatus", STR, True),
                         ("l_shipdate", TS, True)),
 }
+
+
+# Request batches of the change jobs (read with these schemas, never inferred).
+_TS_SEQ = (("ts", TS, False), ("seq", LONG, False))
+REQUESTS: dict[str, T.StructType] = {
+    "price_changes": _schema(*_TS_SEQ, ("specie_di_pianta", INT, False), ("valore", PRICE, True)),
+    "new_species": _schema(*_TS_SEQ, ("nome_comune", STR, False), ("nome_latino", STR, False),
+                           ("interni_or_esterni", INT, False), ("colore", STR, True), ("esotica_si_no", INT, False),
+                           ("giacenza", INT, False), ("prezzo", PRICE, True)),
+    "species_removals": _schema(*_TS_SEQ, ("codice", INT, False)),
+    "colours": _schema(*_TS_SEQ, ("specie_fiorita", INT, False), ("colore", STR, False)),
+    "private_customers": _schema(*_TS_SEQ, ("codice", STR, False), ("nome", STR, True), ("residenza", STR, True),
+                                 ("fatturazione", STR, True)),
+    "retail_customers": _schema(*_TS_SEQ, ("codice", STR, False), ("nome", STR, True), ("residenza", STR, True),
+                                ("fatturazione", STR, True), ("nome_ref", STR, True), ("cognome_ref", STR, True)),
+    "addresses": _schema(*_TS_SEQ, ("cliente", STR, False), ("tipo", STR, False), ("indirizzo", STR, True)),
+    "contacts": _schema(*_TS_SEQ, ("owner", STR, False), ("contatto", STR, True), ("tipo", STR, True)),
+    "new_orders": _schema(*_TS_SEQ, ("cliente", STR, False), ("indirizzo_spedizione", STR, True),
+                          ("contatto", STR, True), ("specie_di_pianta", INT, False), ("quantita", INT, True)),
+    "line_changes": _schema(*_TS_SEQ, ("op", STR, False), ("cliente", STR, False), ("ordine", INT, False),
+                            ("specie_di_pianta", INT, False), ("quantita", INT, True)),
+    "finalizations": _schema(*_TS_SEQ, ("cliente", STR, False), ("ordine", INT, False)),
+    "suppliers": _schema(*_TS_SEQ, ("codice_fiscale", STR, False), ("nome", STR, True),
+                         ("specie_di_pianta", INT, False), ("indirizzo", STR, True)),
+    "supplier_addresses": _schema(*_TS_SEQ, ("fornitore", INT, False), ("indirizzo", STR, True)),
+    "availability": _schema(*_TS_SEQ, ("fornitore", INT, False), ("specie_di_pianta", INT, False)),
+    "supply_requests": _schema(*_TS_SEQ, ("fornitore", INT, False), ("specie_di_pianta", INT, False),
+                               ("quantita", INT, True)),
+    "packing": _schema(*_TS_SEQ, ("ordine", INT, False), ("pacco", INT, True), ("new_pack", STR, True),
+                       ("specie_di_pianta", INT, False), ("quantita", INT, True)),
+}

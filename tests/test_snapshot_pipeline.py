@@ -29,3 +29,19 @@ def test_jobs_chain_over_snapshots(spark, src, tables, tmp_path):
     assert priced == t["order_lines"].join(t["orders"].withColumnRenamed("id", "ordine"), "ordine").count()
     # version 1 is untouched
     assert read_snapshot(spark, root, 1)["order_lines"].count() == tables["order_lines"].count()
+
+
+def test_runner_applies_a_request_file(spark, src, tables, tmp_path):
+    from hortus.run import run_job
+    from hortus.sources.requests import write_requests
+
+    root = str(tmp_path / "store")
+    write_snapshot(tables, root, 1)
+    write_requests(RQ.order_line_changes(src), str(tmp_path / "req"), "line_changes")
+    v = run_job(spark, "line_changes", root, str(tmp_path / "outcomes"), requests=str(tmp_path / "req"))
+    assert v == 2
+    out = spark.read.parquet(str(tmp_path / "outcomes"))
+    assert out.count() == RQ.order_line_changes(src).count()
+    want = OR.apply_order_line_changes(tables, RQ.order_line_changes(src)).tables["species"]
+    got = read_snapshot(spark, root)["species"]
+    assert {r["codice"]: r["giacenza"] for r in got.collect()} == {r["codice"]: r["giacenza"] for r in want.collect()}
