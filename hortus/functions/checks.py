@@ -133,3 +133,17 @@ def earliest_unique(df: DataFrame, key_sets: Sequence[Sequence[str]], eligible:
         held = h if held is None else held | h
     flags = flags.select("_rid", held.alias(flag))
     return base.join(flags, "_rid", "inner").drop("_rid")
+
+
+def too_long(*pairs: tuple[str, str, str]) -> Column:
+    """True when a request value is longer than the column it is stored in.
+
+    ``pairs`` are (request column, table, table column); the widths are the
+    order system's (``schemas.MAX_LENGTH``).  DataFrames do not enforce them.
+    """
+    from hortus.sources.schemas import MAX_LENGTH
+
+    cond = F.lit(False)
+    for col, table, tcol in pairs:
+        cond = cond | true_or_false(F.length(F.col(col)) > F.lit(MAX_LENGTH[(table, tcol)]))
+    return cond

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hortus.functions import codes
-from hortus.functions.checks import first_failing, request_order, with_outcome
+from hortus.functions.checks import first_failing, request_order, too_long, with_outcome
 from hortus.functions.columns import true_or_false
 from hortus.functions.ordered import cluster_by_key, fold_by_key, tag_ranges
 from hortus.functions.sequence import max_key, number_in_order
@@ -337,7 +337,8 @@ def open_orders(tables: Tables, requests: DataFrame, hot_rows: int = HOT_SPECIES
     r = r.withColumn("pre_code", first_failing(
         (F.col("contatto").isNull() & F.col("_pref").isNull(), codes.NO_PREFERRED_CONTACT),
         (F.col("contatto").isNotNull() & ~true_or_false(owned), codes.CONTACT_NOT_OWNED),
-        (F.col("quantita").isNull() | (F.col("quantita") < 0), codes.INVALID),
+        (F.col("quantita").isNull() | (F.col("quantita") < 0)
+         | too_long(("indirizzo_spedizione", "orders", "indirizzo_spedizione")), codes.INVALID),
     )).withColumn("_ship", F.coalesce(F.col("indirizzo_spedizione"), F.col("_res"))) \
       .withColumn("_contact", F.coalesce(F.col("contatto"), F.col("_pref")))
     fold_in = r.select(*NEW_ORDER_COLS, "_ship", "_contact", F.lit(OPEN).alias("op"),

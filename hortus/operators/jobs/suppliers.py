@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hortus.functions import codes
-from hortus.functions.checks import earliest_unique, exists_in, first_failing, first_in_batch, with_outcome
+from hortus.functions.checks import earliest_unique, exists_in, first_failing, first_in_batch, too_long, with_outcome
 from hortus.functions.sequence import max_key, number_in_order
 from hortus.operators.jobs.base import JobResult, Tables
 
@@ -31,7 +31,9 @@ def load_suppliers(tables: Tables, requests: DataFrame) -> JobResult:
     r = exists_in(r, tables["suppliers"], [("codice_fiscale", "codice_fiscale")], "_code_stored")
     r = exists_in(r, tables["species"], [("specie_di_pianta", "codice")], "_species_known")
     r = exists_in(r, tables["supplier_addresses"], [("indirizzo", "indirizzo")], "_addr_stored")
-    static = first_failing((~F.col("_shape_ok"), codes.BAD_FISCAL_CODE),
+    static = first_failing((too_long(("codice_fiscale", "suppliers", "codice_fiscale"), ("nome", "suppliers", "nome"),
+                                    ("indirizzo", "supplier_addresses", "indirizzo")), codes.INVALID),
+                           (~F.col("_shape_ok"), codes.BAD_FISCAL_CODE),
                            (F.col("_code_stored"), codes.SUPPLIER_EXISTS),
                            (~F.col("_species_known"), codes.UNKNOWN_KEY),
                            (F.col("_addr_stored") | F.col("indirizzo").isNull(), codes.SUPPLIER_EXISTS))
@@ -57,7 +59,8 @@ def add_supplier_addresses(tables: Tables, requests: DataFrame) -> JobResult:
     r = requests.select("ts", "seq", "fornitore", "indirizzo")
     r = exists_in(r, tables["suppliers"], [("fornitore", "codice_fornitore")], "_known")
     r = exists_in(r, tables["supplier_addresses"], [("indirizzo", "indirizzo")], "_stored")
-    static = first_failing((~F.col("_known"), codes.UNKNOWN_SUPPLIER), (F.col("_stored"), codes.ADDRESS_EXISTS),
+    static = first_failing((too_long(("indirizzo", "supplier_addresses", "indirizzo")), codes.INVALID),
+                           (~F.col("_known"), codes.UNKNOWN_SUPPLIER), (F.col("_stored"), codes.ADDRESS_EXISTS),
                            (F.col("indirizzo").isNull(), codes.INVALID))
     r = first_in_batch(r.withColumn("_static", static), ["indirizzo"], F.col("_static").isNull(), "_taken")
     decided = with_outcome(r, F.coalesce(F.col("_static"), F.when(F.col("_taken"), F.lit(codes.ADDRESS_EXISTS))))

@@ -249,10 +249,11 @@ def test_customer_jobs(spark):
     sch = "ts timestamp_ntz, seq long, codice string, nome string, residenza string, fatturazione string"
     res = CU.load_private_customers(t, req(spark, [(ts(1), 1, "aaaaaa00a00a000a", "x", "r", None),
                                                    (ts(2), 2, "12345678901", "x", "r", None),
-                                                   (ts(3), 3, "XAAAAAA00A00A000A", "x", "r", None),
+                                                   (ts(3), 3, "XAAAAAA00A00A000A", "x", "r", None),  # 17 > 16
                                                    (ts(4), 4, "bbbbbb11b11b111b", "x", "r", None),
-                                                   (ts(5), 5, "BBBBBB11B11B111B", "x", "r", None)], sch))
-    assert outcome_codes(res) == ["45011", "45000", "45001", None, "45011"]
+                                                   (ts(5), 5, "BBBBBB11B11B111B", "x", "r", None),
+                                                   (ts(6), 6, "AAAAAA00A00A00AA", "x", "r", None)], sch))
+    assert outcome_codes(res) == ["45011", "45000", "INVALID", None, "45011", "45001"]
     pref = CU.set_preferred_contacts(t, req(spark, [(ts(1), 1, "AAAAAA00A00A000A", "zz@x"),
                                                     (ts(2), 2, "AAAAAA00A00A000A", "b@x"),
                                                     (ts(3), 3, "AAAAAA00A00A000A", "a@x")],
@@ -298,3 +299,14 @@ def test_earliest_unique_matches_greedy(spark, n):
             held_a.add(a)
             held_b.add(b)
     assert got == want
+
+
+def test_values_longer_than_their_column(spark):
+    t = build(spark, species=[sp(1, 0)], suppliers=[(1, "AAAAAA00A00A000A", "s")])
+    sch = "ts timestamp_ntz, seq long, codice string, nome string, residenza string, fatturazione string"
+    res = CU.load_private_customers(t, req(spark, [(ts(1), 1, "bbbbbb11b11b111b", "x" * 33, "r", None),
+                                                   (ts(2), 2, "cccccc11c11c111c", "x" * 32, "r", None)], sch))
+    assert outcome_codes(res) == ["INVALID", None]
+    addr = SU.add_supplier_addresses(t, req(spark, [(ts(1), 1, 1, "v" * 65), (ts(2), 2, 1, "v" * 64)],
+                                            "ts timestamp_ntz, seq long, fornitore int, indirizzo string"))
+    assert outcome_codes(addr) == ["INVALID", None]
