@@ -122,3 +122,13 @@ def test_hot_species_third_of_the_batch(spark, stock):
     assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()}
     assert all(got[k][2] == want[k][2] for k in want if want[k][0] == "accepted")
     assert {r["codice"]: r["giacenza"] for r in res.tables["species"].collect()} == want_stock
+
+
+def test_price_changes_hot_path_equals_window_path(src, tables):
+    """Every species forced onto the range-tagged path gives the same prices and outcomes."""
+    a = PR.apply_price_changes(tables, RQ.price_changes(src))
+    b = PR.apply_price_changes(tables, RQ.price_changes(src), hot_rows=3)
+    key = ["specie_di_pianta", "data_adozione"]
+    assert sorted(map(tuple, a.tables["prices"].orderBy(*key).collect())) == \
+        sorted(map(tuple, b.tables["prices"].orderBy(*key).collect()))
+    assert sorted(map(tuple, a.outcomes.collect())) == sorted(map(tuple, b.outcomes.collect()))
