@@ -79,8 +79,11 @@ def apply_price_changes(tables: Tables, changes: DataFrame, hot_rows: int = HOT_
         F.col("_open_value").alias("valore"), F.lit(True).alias("_is_open"))
     chain = opened.unionByName(live.select("specie_di_pianta", "ts", F.col("seq").cast("long"), "valore",
                                            F.lit(False).alias("_is_open")))
-    hot = [r[0] for r in chain.groupBy("specie_di_pianta").count().filter(F.col("count") > hot_rows)
-           .select("specie_di_pianta").collect()]  # at most rows / hot_rows species
+    # Hot species, counted on the checkpointed batch (a species' chain has at most
+    # its valid requests + 1 rows): at most rows / hot_rows species.
+    hot = [r[0] for r in checked.filter(F.col("_code").isNull()).groupBy("specie_di_pianta").count()
+           .filter(F.col("count") >= hot_rows)
+           .select("specie_di_pianta").collect()]
     is_hot = F.col("specie_di_pianta").isin(hot) if hot else F.lit(False)
     flagged, kept = _windowed(chain.filter(~is_hot))
     if hot:
