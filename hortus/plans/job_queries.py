@@ -13,7 +13,7 @@ from hortus.operators.jobs import packs as PK
 from hortus.operators.jobs import prices as PR
 from hortus.plans import requests as RQ
 from hortus.plans.fixture_sql import with_fixtures as W
-from hortus.plans.registry import register_source
+from hortus.plans.registry import register_source, set_oracle
 
 RESTOCK_NOW = dt.datetime(1998, 1, 1)
 RETENTION_NOW = dt.datetime(2000, 1, 1)
@@ -367,10 +367,5 @@ _ORACLES_LATE = {"order_line_stream": C22_SQL,
                  "apply_order_line_changes_stock": C13_STOCK_SQL,
                  "apply_order_line_changes_lines": C13_LINES_SQL}
 
-
-def _attach_late_oracles() -> None:
-    from hortus.plans import registry
-    registry._ORACLES.update(_ORACLES_LATE)
-
-
-_attach_late_oracles()
+for _name, _sql in _ORACLES_LATE.items():
+    set_oracle(_name, _sql)

@@ -47,6 +47,13 @@ def register_source(name: str, oracle: str | None = None):
     return deco
 
 
+def set_oracle(name: str, sql: str) -> None:
+    """Attach an oracle to an already registered query (for oracles built after it)."""
+    if name not in _QUERIES:
+        raise KeyError(name)
+    _ORACLES[name] = sql
+
+
 def queries() -> dict[str, Query]:
     _load_all()
     return dict(_QUERIES)
