@@ -57,3 +57,12 @@ def test_snapshot_round_trip_and_pushdown(spark, tables, tmp_path):
     write_snapshot(res.merged(t1), root, 2)
     assert versions(spark, root) == [1, 2]
     assert read_snapshot(spark, root)["species"].count() == tables["species"].count()
+
+
+def test_check_lengths_finds_overlong_strings(spark):
+    from hortus.sources.schemas import TABLES
+    from hortus.sources.snapshots import check_lengths
+    df = spark.createDataFrame([("x" * 16, "n", "r", None, 1, None), ("y" * 17, "n", "r", None, 1, None)],
+                               TABLES["customers"])
+    assert [r["codice"] for r in check_lengths("customers", df).collect()] == ["y" * 17]
+    assert check_lengths("packs", spark.createDataFrame([(1, 1)], TABLES["packs"])).count() == 0
