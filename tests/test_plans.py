@@ -66,3 +66,16 @@ def test_check_lengths_finds_overlong_strings(spark):
                                TABLES["customers"])
     assert [r["codice"] for r in check_lengths("customers", df).collect()] == ["y" * 17]
     assert check_lengths("packs", spark.createDataFrame([(1, 1)], TABLES["packs"])).count() == 0
+
+
+def test_as_of_join_is_an_equi_join_without_broadcasts(spark, tables):
+    """At cluster scale (nothing broadcast) the as-of price stays a sort-merge join on
+    species with the range as a join condition, never a nested-loop or cartesian join."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = physical_plan(RO.order_report_lines(tables))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    assert "SortMergeJoin [specie_di_pianta" in plan and "data_adozione" in plan
