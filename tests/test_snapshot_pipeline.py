@@ -45,3 +45,13 @@ def test_runner_applies_a_request_file(spark, src, tables, tmp_path):
     want = OR.apply_order_line_changes(tables, RQ.order_line_changes(src)).tables["species"]
     got = read_snapshot(spark, root)["species"]
     assert {r["codice"]: r["giacenza"] for r in got.collect()} == {r["codice"]: r["giacenza"] for r in want.collect()}
+
+
+def test_runner_report(spark, tables, tmp_path):
+    from hortus.run import main
+    root = str(tmp_path / "store")
+    write_snapshot(tables, root, 1)
+    main(["report", "order_status", "--store", root, "--out", str(tmp_path / "status")])
+    assert spark.read.parquet(str(tmp_path / "status")).count() == tables["orders"].count()
+    main(["report", "species_monthly_sales", "--store", root, "--year", "2000", "--out", str(tmp_path / "sales")])
+    assert spark.read.parquet(str(tmp_path / "sales")).count() == 12 * tables["species"].count()
