@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from hortus.functions import codes
 from hortus.operators.jobs import maintenance as M
