@@ -42,7 +42,9 @@ def tag_ranges(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataF
     """
     cols = [F.col(c) for c in [*key, *order]]
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    s = kept.repartitionByRange(_partitions(df), *cols).withColumn("_part", F.spark_partition_id())
+    # No explicit count: spark.sql.shuffle.partitions ranges, which AQE may merge
+    # (adjacent ranges, so the order holds) when they are small.
+    s = kept.repartitionByRange(*cols).withColumn("_part", F.spark_partition_id())
     out = checkpointed(s)
     kept.unpersist(blocking=False)
     return out
@@ -96,7 +98,9 @@ def cluster_by_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Hash partition by key.  Joins on the key placed after this keep every key
     inside one partition (a broadcast join keeps this side's partitioning, a
     sort-merge join needs it), so they add no second shuffle of ``df``."""
-    return df.repartition(_partitions(df), *[F.col(c) for c in key])
+    # No explicit count: AQE may merge small hash partitions (whole buckets, so a
+    # key never splits), which keeps tiny batches from starting hundreds of tasks.
+    return df.repartition(*[F.col(c) for c in key])
 
 
 def fold_by_key(df: DataFrame, key: Sequence[str], order: Sequence[str],
