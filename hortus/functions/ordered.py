@@ -26,10 +26,6 @@ from pyspark.sql import types as T
 from hortus.session import checkpointed
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def tag_ranges(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Range partitioned on (key, order), each row tagged with its partition ``_part``,
     checkpointed.
