@@ -7,7 +7,8 @@ are a sequential fold per species in (time, sequence) order
 keeps the stock plus the current quantity of the lines touched in the batch.
 A line's entry is dropped after its last request in the batch, so the state
 holds only lines with requests still to come.  Different species run in
-parallel; one species is inherently sequential.
+parallel; a species with very many requests takes the speculative path
+(``_speculative``), parallel up to its first stock-out.
 
 Everything that does not depend on the stock (owner, order status, existing
 line, contact rules) is decided set-wise with joins before the fold.
@@ -49,7 +50,8 @@ FOLD_RESULTS = [
 
 def column_values(s: pd.Series) -> list:
     """A column as Python values with None for missing ones, converted once per
-    batch (not per value); integral floats (ints that carried nulls) back to int."""
+    batch (not per value).  Float columns here are integer columns that carried
+    nulls through pandas, so they go back to int."""
     mask = s.isna().to_numpy()
     if s.dtype.kind == "f":
         vals = s.to_numpy()
