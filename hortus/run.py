@@ -70,9 +70,17 @@ REPORTS = {
 }
 
 
+HOT_ROWS_JOBS = ("price_changes", "new_orders", "line_changes")
+
+
 def run_job(spark: SparkSession, name: str, store: str, outcomes_path: str, requests: str | None = None,
-            now: dt.datetime | None = None, finalizations: str | None = None) -> int:
-    """Apply one job to the latest version of ``store``; returns the new version number."""
+            now: dt.datetime | None = None, finalizations: str | None = None,
+            hot_rows: int | None = None) -> int:
+    """Apply one job to the latest version of ``store``; returns the new version number.
+
+    ``hot_rows`` (price changes, new orders, line changes): requests of one species
+    above which it takes the parallel path for hot species.
+    """
     tables = read_snapshot(spark, store)
     if name == "restock":
         result = jmain.apply_restock(tables, now)
@@ -81,10 +89,11 @@ def run_job(spark: SparkSession, name: str, store: str, outcomes_path: str, requ
     else:
         kind, fn = JOBS[name]
         batch = read_requests(spark, requests, kind)
+        extra = {"hot_rows": hot_rows} if hot_rows is not None and name in HOT_ROWS_JOBS else {}
         if name == "line_changes" and finalizations:
-            result = fn(tables, batch, read_requests(spark, finalizations, "finalizations"))
+            result = fn(tables, batch, read_requests(spark, finalizations, "finalizations"), **extra)
         else:
-            result = fn(tables, batch)
+            result = fn(tables, batch, **extra)
     version = (versions(spark, store) or [0])[-1] + 1
     write_snapshot(result.merged(tables), store, version)
     result.outcomes.write.mode("errorifexists").parquet(outcomes_path)
@@ -102,10 +111,11 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--out")
     p.add_argument("--now", type=dt.datetime.fromisoformat)
     p.add_argument("--year", type=int)
+    p.add_argument("--hot-rows", type=int, dest="hot_rows")
     a = p.parse_args(argv)
     spark = ensure_semantics(SparkSession.builder.appName(f"hortus-{a.name}").getOrCreate())
     if a.what == "job":
-        run_job(spark, a.name, a.store, a.outcomes, a.requests, a.now, a.finalizations)
+        run_job(spark, a.name, a.store, a.outcomes, a.requests, a.now, a.finalizations, a.hot_rows)
     else:
         tables = read_snapshot(spark, a.store)
         if a.name == "species_monthly_sales":
