@@ -23,7 +23,7 @@ def main() -> int:
     spark = local_session(8, 8)
     con = duck(sf_dir)
     qs, oracles = E.queries(), E.oracle_sql()
-    bad = 0
+    bad = ok_count = rows_only = 0
     for name, fn in qs.items():
         if names and name not in names:
             continue
@@ -31,11 +31,14 @@ def main() -> int:
         df = fn(spark, sf_dir)
         if name not in oracles:
             n = df.count()
+            rows_only += 1
             print(f"{name:40s} rows-only {n} rows ({time.time() - t0:.1f}s)")
             continue
         ok, msg = compare(df, con, oracles[name])
         bad += not ok
+        ok_count += ok
         print(f"{name:40s} {'OK ' if ok else 'BAD'} {msg} ({time.time() - t0:.1f}s)")
+    print(f"{ok_count} match, {bad} differ, {rows_only} without oracle")
     return 1 if bad else 0
 
 
