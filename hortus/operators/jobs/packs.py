@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from hortus.functions import codes
 from hortus.functions.checks import with_outcome
-from hortus.functions.ordered import fold_by_key
+from hortus.functions.ordered import cluster_by_key, fold_by_key
 from hortus.operators.jobs.base import JobResult, Tables
 from hortus.session import checkpointed
 
@@ -110,11 +110,12 @@ def allocate_packs(tables: Tables, requests: DataFrame) -> JobResult:
     top = packs.groupBy("ordine").agg(F.max("numero").alias("max_pack0"))
     pk = packs.select("ordine", F.col("numero").alias("pacco"), F.lit(True).alias("pack_exists"))
     ck = contents.select("ordine", "pacco", "specie_di_pianta", F.lit(True).alias("content_exists"))
-    j = (r.join(o, "ordine", "left").join(top, "ordine", "left")
-          .join(lines, ["ordine", "specie_di_pianta"], "left").join(packed, ["ordine", "specie_di_pianta"], "left")
+    j = (r.join(lines, ["ordine", "specie_di_pianta"], "left").join(packed, ["ordine", "specie_di_pianta"], "left")
           .join(pk, ["ordine", "pacco"], "left").join(ck, ["ordine", "pacco", "specie_di_pianta"], "left"))
+    # One shuffle by order serves the order-level joins and the fold.
+    j = cluster_by_key(j, ["ordine"]).join(o, "ordine", "left").join(top, "ordine", "left")
     schema = T.StructType([*j.schema.fields, *RESULTS])
-    decided = checkpointed(fold_by_key(j, ["ordine"], ["ts", "seq"], pack_fold, schema))
+    decided = checkpointed(fold_by_key(j, ["ordine"], ["ts", "seq"], pack_fold, schema, clustered=True))
     ok = decided.filter(F.col("fold_code").isNull())
     created = ok.filter(F.col("new_pack").isNotNull()).select(
         "ordine", F.col("pack_number").alias("numero")).distinct()
