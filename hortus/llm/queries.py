@@ -5,14 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hortus.llm import decontaminate, exact_dedup, minhash, mixing, toxicity
+from hortus.llm import chat, decontaminate, exact_dedup, line_dedup, minhash, mixing, suffixes, token_counts, toxicity, warc
 from hortus.llm.common import table
 
 
+def op1_warc(spark, sf_dir: str) -> DataFrame:
+    return warc.read_records(warc.write_archives(table(spark, sf_dir, "pages")))
+
+
+def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_repeated(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -29,13 +43,27 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op9_chat(spark, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.read_back(chat.format_windows(turns.unionByName(extra)))
+
+
+def op10_suffixes(spark, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_decontamination, op6_toxicity, op7_minhash, op8_mixing, pipeline)}
+QUERIES = {f.__name__: f for f in (
+    op1_warc, op2_line_dedup, op3_exact_dedup, op4_token_counts, op5_decontamination, op6_toxicity, op7_minhash, op8_mixing,
+    op9_chat, op10_suffixes, pipeline)}
 
 ORACLES = {
     "op3_exact_dedup": r"""

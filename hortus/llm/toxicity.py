@@ -85,14 +85,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_words: i
 
     sample = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
                          .mapInPandas(split, "doc_id long, grade int, w array<string>"), "sample")
-    sizes = sample.agg(F.count_if("grade > 0"), F.count_if("grade = 0")).first()
+    sizes = sample.agg(F.count_if(F.col("grade") > 0), F.count_if(F.col("grade") == 0)).first()
     n1, n0 = int(sizes[0]), int(sizes[1])
     if not n1 or not n0:
         return OrdinalModel({}, [50.0, 60.0])
     share = F.col("c") / F.lit(n1 + n0)
     z = (F.col("c1") / n1 - F.col("c0") / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
     seen = (sample.select("grade", F.explode("w").alias("word")).groupBy("word")
-            .agg(F.count("*").alias("c"), F.count_if("grade > 0").alias("c1"), F.count_if("grade = 0").alias("c0"))
+            .agg(F.count("*").alias("c"), F.count_if(F.col("grade") > 0).alias("c1"), F.count_if(F.col("grade") == 0).alias("c0"))
             .where(f"c >= 5 and c < {n1 + n0}").withColumn("z", F.abs(z)).where(F.col("z") >= least_z)
             .orderBy(F.desc("z"), "word").limit(max_words).select("word"))
     names = [r[0] for r in seen.collect()]  # max_words rows at most
