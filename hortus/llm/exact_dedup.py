@@ -33,7 +33,8 @@ def heavy_digests(digests: DataFrame, column: str, k: int) -> DataFrame:
             for d, c in batch[column].value_counts().items():
                 counts[d] = counts.get(d, 0) + int(c)
             counts = _cut(counts, k)
-        yield pd.DataFrame({column: list(counts), "c": list(counts.values())})
+        if counts:
+            yield pd.DataFrame({column: list(counts), "c": list(counts.values())})
 
     merged = digests.select(column).mapInPandas(summarise, f"{column} string, c long").groupBy(column).agg(F.sum("c").alias("c"))
     top = merged.orderBy(F.desc("c")).limit(k + 1).collect()  # k + 1 rows at most
