@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from hortus.llm.common import ALNUM, word_hashes
 
-FEATURES, RANK, PASSAGE, BLOCK = 8192, 32, 32, 16
+FEATURES, RANK, PASSAGE, BLOCK = 8192, 40, 32, 16
+#: The first directions tell languages and common words apart, not passages; the search leaves them out.
+COMMON = 8
 #: Words handled at once in a task; a longer text goes through in several pieces.
 PIECE = 1 << 16
 
@@ -86,16 +88,23 @@ def _gram_times(texts: DataFrame, idf: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def latent_space(texts: DataFrame, seed: int = 7) -> np.ndarray:
-    """FEATURES x RANK map from word counts to whitened latent coordinates.
+    """FEATURES x (RANK - COMMON) map from word counts to whitened latent coordinates.
 
-    Randomised SVD over all passages: A'A on a random block gives the range,
-    a second pass the singular values inside it (Rayleigh-Ritz)."""
+    Randomised SVD over all passages in one pass: A'A on a random block, and
+    from it the Nystrom form of A'A, whose eigenvectors and values are the
+    right singular vectors and squared singular values."""
     df, n = passage_frequencies(texts)
     idf = np.log((n + 1) / (df + 1.0)) + 1e-3
-    q, _ = np.linalg.qr(_gram_times(texts, idf, np.random.default_rng(seed).standard_normal((FEATURES, RANK))))
-    squares, turn = np.linalg.eigh(q.T @ _gram_times(texts, idf, q))
-    scale = np.sqrt(np.maximum(squares, squares.max() * 1e-9 + 1e-12))
-    return (idf[:, None] * (q @ turn) / scale).astype(np.float32)
+    block, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((FEATURES, RANK)))
+    return whitened(idf, block, _gram_times(texts, idf, block))
+
+
+def whitened(idf: np.ndarray, block: np.ndarray, image: np.ndarray) -> np.ndarray:
+    shift = 1e-7 * float(np.linalg.norm(image)) + 1e-12
+    image = image + shift * block
+    values, turn = np.linalg.eigh((block.T @ image + image.T @ block) / 2)
+    vectors, scale, _ = np.linalg.svd(image @ (turn / np.sqrt(np.maximum(values, shift / 2))), full_matrices=False)
+    return (idf[:, None] * vectors / np.maximum(scale, scale.max() * 1e-4))[:, COMMON:].astype(np.float32)
 
 
 class Item:
@@ -162,18 +171,21 @@ def _search(items: list[Item], space: np.ndarray, cosine: float, answer: float):
         start = np.arange(owner.size)
         first = np.diff(owner, prepend=-1) != 0
         at0 = np.flatnonzero(first)[owner]
-        flat = np.append(f, np.full(BLOCK * max(g[0] for g in groups), FEATURES))
+        flat = np.append(f, np.full(BLOCK * max(g[0] for g in groups), FEATURES)).astype(np.int32)
         for q, members, vectors, has, need in groups:
             use = start[first | (start + q <= last)]
+            runs = np.lib.stride_tricks.sliding_window_view(flat, q * BLOCK)[::BLOCK]
             end = np.minimum(use + q, last[use])
             w = (sums[end] - sums[use]).astype(np.float32)
             w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
             c, j = np.nonzero(w @ vectors >= cosine)
             for lo in range(0, c.size, 8192):
                 cc, jj = c[lo:lo + 8192], j[lo:lo + 8192]
-                words = flat[use[cc][:, None] * BLOCK + np.arange(q * BLOCK)]
-                words[np.arange(q * BLOCK) >= ((end - use)[cc] * BLOCK)[:, None]] = FEATURES
-                enough = has[jj[:, None], words].sum(axis=1) >= need[jj]
+                words = runs[use[cc]]
+                short = (end - use)[cc] < q  # a text of fewer blocks
+                if short.any():
+                    words = np.where(np.arange(q * BLOCK) < ((end - use)[cc] * BLOCK)[:, None], words, FEATURES)
+                enough = np.take(has, words + (jj * (FEATURES + 1)).astype(np.int32)[:, None]).sum(axis=1) >= need[jj]
                 for a, b in zip(cc[enough], jj[enough]):
                     item, d = members[b], owner[use[a]]
                     i = int(use[a] - at0[use[a]]) * BLOCK
@@ -229,7 +241,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.7, answ
             passes.append(search(held))
             held = []
     if held or not passes:
-        space = np.zeros((FEATURES, RANK), np.float32) if space is None else space
+        space = np.zeros((FEATURES, RANK - COMMON), np.float32) if space is None else space
         passes.append(search(held))
     found = passes[0]
     for p in passes[1:]:

@@ -51,13 +51,13 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, steps: int = 400, rat
 
     for step in range(1, steps + 1):
         edges = np.concatenate([[-np.inf], thresholds(), [np.inf]])
-        eta = x @ p[:f]
+        eta = (x @ p[:f].astype(x.dtype)).astype(float)
         upper, lower = sigmoid(eta - edges[y]), sigmoid(eta - edges[y + 1])
         gap = np.maximum(upper - lower, 1e-12)
         du, dl = upper * (1 - upper) / gap, lower * (1 - lower) / gap
         du[y == 0], dl[y == grades - 1] = 0, 0
         g = np.zeros_like(p)
-        g[:f] = -(x.T @ (du - dl)) / n + ridge * p[:f]
+        g[:f] = -((du - dl).astype(x.dtype) @ x) / n + ridge * p[:f]
         at = np.array([(du * (y == k)).sum() - (dl * (y == k - 1)).sum() for k in range(1, grades)]) / n
         g[f] = at.sum()
         g[f + 1:] = [at[j + 1:].sum() * np.exp(p[f + 1 + j]) for j in range(grades - 2)]
