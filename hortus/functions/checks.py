@@ -78,8 +78,7 @@ def first_in_batch(df: DataFrame, key: Sequence[str], eligible: Column, flag: st
     return j.withColumn(flag, true_or_false(request_order() > F.col("_first"))).drop("_first")
 
 
-def earliest_unique(df: DataFrame, key_sets: Sequence[Sequence[str]], eligible: Column, flag: str,
-                    max_rounds: int = 64) -> DataFrame:
+def earliest_unique(df: DataFrame, key_sets: Sequence[Sequence[str]], eligible: Column, flag: str) -> DataFrame:
     """Adds boolean ``flag``: an earlier accepted request already holds one of this
     request's unique keys (so the insert would hit a duplicate key).
 
@@ -98,7 +97,7 @@ def earliest_unique(df: DataFrame, key_sets: Sequence[Sequence[str]], eligible:
     base = checkpointed(df.withColumn("_rid", F.monotonically_increasing_id()))
     state = base.select("_rid", *{c for ks in key_sets for c in ks}, "ts", "seq",
                         F.when(true_or_false(eligible), F.lit("u")).otherwise(F.lit("x")).alias("_st"))
-    for _ in range(max_rounds):
+    while True:  # every round decides at least the earliest undecided request
         undecided = state.filter(F.col("_st") == "u")
         if undecided.limit(1).count() == 0:
             break

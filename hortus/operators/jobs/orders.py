@@ -254,7 +254,8 @@ def _run_fold(tables: Tables, req: DataFrame, hot_rows: int = HOT_SPECIES_ROWS)
         # Checkpointed: the decisions feed several outputs and must not be re-run.
         out = checkpointed(fold_by_key(r, ["specie_di_pianta"], ["ts", "seq"], stock_fold, schema, clustered=True))
     else:
-        is_hot = F.col("specie_di_pianta").isin(hot)
+        # A null species is never hot: it is refused before the ledger matters.
+        is_hot = true_or_false(F.col("specie_di_pianta").isin([h for h in hot if h is not None]))
         normal = fold_by_key(r.filter(~is_hot), ["specie_di_pianta"], ["ts", "seq"], stock_fold, schema,
                              clustered=True)
         out = checkpointed(normal.unionByName(_speculative(r.filter(is_hot), schema)))
