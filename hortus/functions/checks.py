@@ -134,6 +134,19 @@ def earliest_unique(df: DataFrame, key_sets: Sequence[Sequence[str]], eligible:
     return base.join(flags, "_rid", "inner").drop("_rid")
 
 
+def missing(*cols: str) -> Column:
+    """True when a required request column is NULL (never NULL itself).
+
+    A Parquet read does not enforce ``nullable=False``, and a NULL makes most
+    check conditions NULL, which ``first_failing`` reads as passed; so every
+    chain of checks tests its required columns by name, first of all.
+    """
+    cond = F.lit(False)
+    for c in ("ts", "seq", *cols):
+        cond = cond | F.col(c).isNull()
+    return cond
+
+
 def too_long(*pairs: tuple[str, str, str]) -> Column:
     """True when a request value is longer than the column it is stored in.
 

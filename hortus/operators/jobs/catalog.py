@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hortus.functions import codes
-from hortus.functions.checks import exists_in, first_failing, first_in_batch, too_long, with_outcome
+from hortus.functions.checks import exists_in, first_failing, first_in_batch, missing, too_long, with_outcome
 from hortus.functions.sequence import max_key, number_in_order
 from hortus.operators.jobs.base import JobResult, Tables
 from hortus.sources.schemas import PRICE
@@ -32,7 +32,7 @@ def load_species(tables: Tables, requests: DataFrame) -> JobResult:
     # Order of checks: stock value, the flags trigger, the unique latin name
     # (stored, then taken earlier in the batch), then the opening price row.
     pre = first_failing(
-        (F.col("giacenza").isNull() | (F.col("giacenza") < 0)
+        (missing("nome_comune", "nome_latino", "interni_or_esterni", "esotica_si_no", "giacenza") | (F.col("giacenza") < 0)
          | too_long(("nome_comune", "species", "nome_comune"), ("nome_latino", "species", "nome_latino"),
                     ("colore", "colourings", "colore")), codes.INVALID),
         (~_flag_ok("interni_or_esterni") | ~_flag_ok("esotica_si_no"), codes.BAD_FLAG),
@@ -98,7 +98,7 @@ def add_colourings(tables: Tables, requests: DataFrame) -> JobResult:
     s = tables["species"].select(F.col("codice").alias("specie_fiorita"), F.col("verde_or_fiorita").alias("_green"))
     r = r.join(s, "specie_fiorita", "left")
     r = exists_in(r, tables["colourings"], [("specie_fiorita", "specie_fiorita"), ("colore", "colore")], "_present")
-    static = first_failing((too_long(("colore", "colourings", "colore")), codes.INVALID),
+    static = first_failing((missing("specie_fiorita", "colore") | too_long(("colore", "colourings", "colore")), codes.INVALID),
                            (F.col("_green") == 1, codes.GREEN_NO_COLOUR),
                            (F.col("_green").isNull(), codes.UNKNOWN_SPECIES),
                            (F.col("_present"), codes.COLOUR_EXISTS))

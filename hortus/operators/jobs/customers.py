@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hortus.functions import codes
-from hortus.functions.checks import exists_in, first_failing, first_in_batch, request_order, too_long, with_outcome
+from hortus.functions.checks import exists_in, first_failing, first_in_batch, missing, request_order, too_long, with_outcome
 from hortus.operators.jobs.base import JobResult, Tables
 from hortus.sources.schemas import CONTACT_TYPES
 
@@ -32,11 +32,11 @@ def _register(tables: Tables, r: DataFrame, private: int) -> tuple[DataFrame, Da
                        *([("nome_ref", "referents", "nome"), ("cognome_ref", "referents", "cognome")]
                          if "nome_ref" in r.columns else []))
     static = first_failing(
-        (lengths, codes.INVALID),
+        (missing("codice") | lengths, codes.INVALID),
         (mismatch, codes.MISMATCH_TYPE),
         (~shape_private & ~shape_retail, codes.BAD_CUSTOMER_CODE),
         (F.col("_stored"), codes.CUSTOMER_EXISTS),
-        (F.col("residenza").isNull() | F.col("nome").isNull(), codes.INVALID))
+        (missing("residenza", "nome", *[c for c in ("nome_ref", "cognome_ref") if c in r.columns]), codes.INVALID))
     r = r.withColumn("_static", static)
     r = first_in_batch(r, ["codice"], F.col("_static").isNull(), "_taken")
     decided = with_outcome(r, F.coalesce(F.col("_static"), F.when(F.col("_taken"), F.lit(codes.CUSTOMER_EXISTS))))
@@ -79,7 +79,7 @@ def update_addresses(tables: Tables, requests: DataFrame) -> JobResult:
     """
     r = requests.select("ts", "seq", "cliente", "tipo", "indirizzo")
     r = exists_in(r, tables["customers"], [("cliente", "codice")], "_known")
-    code = first_failing((~F.col("tipo").isin("residenza", "fatturazione")
+    code = first_failing((missing("cliente", "tipo") | ~F.col("tipo").isin("residenza", "fatturazione")
                           | too_long(("indirizzo", "customers", "indirizzo_residenza")), codes.INVALID),
                          ((F.col("tipo") == "residenza") & F.col("indirizzo").isNull(), codes.INVALID))
     decided = with_outcome(r, code, noop=~F.col("_known"))
@@ -117,7 +117,7 @@ def add_contacts(tables: Tables, requests: DataFrame, kind: str = "customer") ->
     r = requests.select("ts", "seq", "owner", "contatto", "tipo")
     r = exists_in(r, tables["contacts"], [("contatto", "valore")], "_stored")
     r = exists_in(r, tables[owner_table], [("owner", owner_key)], "_owner_known")
-    static = first_failing((~F.col("tipo").isin(*CONTACT_TYPES) | F.col("contatto").isNull()
+    static = first_failing((missing("owner", "contatto", "tipo") | ~F.col("tipo").isin(*CONTACT_TYPES)
                             | too_long(("contatto", "contacts", "valore")), codes.INVALID),
                            (F.col("_stored"), codes.CONTACT_EXISTS),
                            (~F.col("_owner_known"), codes.UNKNOWN_KEY))

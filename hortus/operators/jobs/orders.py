@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hortus.functions import codes
-from hortus.functions.checks import first_failing, request_order, too_long, with_outcome
+from hortus.functions.checks import first_failing, missing, request_order, too_long, with_outcome
 from hortus.functions.columns import true_or_false
 from hortus.functions.ordered import cluster_by_key, fold_by_key, tag_ranges
 from hortus.functions.sequence import max_key, number_in_order
@@ -93,7 +93,9 @@ def ledger_step(op: str, q, cur, stock, final: bool, pre):
         if final:
             return codes.ORDER_FINALIZED, False, 0, None
         return None, False, d, int(q)
-    if cur is None:  # REMOVE
+    if op != "REMOVE":
+        return codes.INVALID, False, 0, None
+    if cur is None:
         return None, True, 0, None
     if final:
         return codes.ORDER_FINALIZED, False, 0, None
@@ -290,7 +292,9 @@ def apply_order_line_changes(tables: Tables, changes: DataFrame, finalizations:
 
     ``changes``: ts, seq, op (ADD, CHANGE, REMOVE), cliente, ordine,
     specie_di_pianta, quantita (NULL for REMOVE).  ``finalizations`` (C14
-    requests of the same batch) make an order finalized from their time on.
+    requests of the same batch) make an order finalized from their time on;
+    the new ``orders`` carry that status and ``extra["finalizations"]`` their
+    outcomes.  A NULL in a required column is ``INVALID`` and changes nothing.
 
     Returns the new ``species`` (stock), ``order_lines`` and ``orders`` (an
     order whose last line is removed is deleted at the end of the batch), and
@@ -307,18 +311,21 @@ def apply_order_line_changes(tables: Tables, changes: DataFrame, finalizations:
     q0 = tables["order_lines"].select("ordine", "specie_di_pianta", F.col("quantita").alias("q0"))
     r = (r.withColumn("is_final", true_or_false(is_final))
           .withColumn("pre_code", first_failing(
-              (~F.col("op").isin(*OPS), codes.INVALID),
+              (missing("op", "cliente", "ordine", "specie_di_pianta") | ~F.col("op").isin(*OPS), codes.INVALID),
               (~true_or_false(F.col("_owner") == F.col("cliente")), codes.NOT_OWNER),
               ((F.col("op") != "REMOVE") & (F.col("quantita").isNull() | (F.col("quantita") < 0)), codes.INVALID)))
           .select(*LINE_CHANGE_COLS, "is_final", "pre_code")
           .join(q0, ["ordine", "specie_di_pianta"], "left"))
     decided = _run_fold(tables, r, hot_rows)
     new_species, new_lines, emptied = _line_results(tables, decided)
-    new_orders = tables["orders"].join(emptied.withColumnRenamed("ordine", "id"), "id", "left_anti")
+    orders, extra = tables["orders"], {"emptied_orders": emptied}
+    if finalizations is not None:
+        finalized = finalize_orders(tables, finalizations)
+        orders, extra["finalizations"] = finalized.tables["orders"], finalized.outcomes
+    new_orders = orders.join(emptied.withColumnRenamed("ordine", "id"), "id", "left_anti")
     outcomes = with_outcome(decided.select(*LINE_CHANGE_COLS, "fold_code", "noop", "stock_after"),
                             F.col("fold_code"), noop=F.col("noop")).drop("fold_code", "noop")
-    return JobResult({"species": new_species, "order_lines": new_lines, "orders": new_orders}, outcomes,
-                     {"emptied_orders": emptied})
+    return JobResult({"species": new_species, "order_lines": new_lines, "orders": new_orders}, outcomes, extra)
 
 
 def open_orders(tables: Tables, requests: DataFrame, hot_rows: int = HOT_SPECIES_ROWS) -> JobResult:
@@ -338,6 +345,7 @@ def open_orders(tables: Tables, requests: DataFrame, hot_rows: int = HOT_SPECIES
                  .join(cc, "contatto", "left").join(rc, "contatto", "left"))
     owned = (F.col("_cc_owner") == F.col("cliente")) | (F.col("_rc_owner") == F.col("cliente"))
     r = r.withColumn("pre_code", first_failing(
+        (missing("cliente", "specie_di_pianta"), codes.INVALID),
         (F.col("contatto").isNull() & F.col("_pref").isNull(), codes.NO_PREFERRED_CONTACT),
         (F.col("contatto").isNotNull() & ~true_or_false(owned), codes.CONTACT_NOT_OWNED),
         (F.col("quantita").isNull() | (F.col("quantita") < 0)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hortus.functions import codes
-from hortus.functions.checks import first_failing, with_outcome
+from hortus.functions.checks import first_failing, missing, with_outcome
 from hortus.functions.ordered import neighbour, tag_ranges
 from hortus.operators.jobs.base import JobResult, Tables
 from hortus.session import checkpointed
@@ -63,7 +63,7 @@ def apply_price_changes(tables: Tables, changes: DataFrame, hot_rows: int = HOT_
     j = req.join(open_, "specie_di_pianta", "left")
     code = first_failing(
         (F.col("_open_since").isNull(), codes.UNKNOWN_SPECIES),
-        (F.col("valore").isNull() | (F.col("valore") < 0), codes.INVALID),
+        (missing("valore") | (F.col("valore") < 0), codes.INVALID),
         (F.col("ts") <= F.col("_open_since"), codes.OUT_OF_ORDER),
     )
     # Checked once and checkpointed: the dedup, the chain and the outcomes all read it.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hortus.functions import codes
-from hortus.functions.checks import earliest_unique, exists_in, first_failing, first_in_batch, too_long, with_outcome
+from hortus.functions.checks import earliest_unique, exists_in, first_failing, first_in_batch, missing, too_long, with_outcome
 from hortus.functions.sequence import max_key, number_in_order
 from hortus.operators.jobs.base import JobResult, Tables
 
@@ -31,8 +31,9 @@ def load_suppliers(tables: Tables, requests: DataFrame) -> JobResult:
     r = exists_in(r, tables["suppliers"], [("codice_fiscale", "codice_fiscale")], "_code_stored")
     r = exists_in(r, tables["species"], [("specie_di_pianta", "codice")], "_species_known")
     r = exists_in(r, tables["supplier_addresses"], [("indirizzo", "indirizzo")], "_addr_stored")
-    static = first_failing((too_long(("codice_fiscale", "suppliers", "codice_fiscale"), ("nome", "suppliers", "nome"),
-                                    ("indirizzo", "supplier_addresses", "indirizzo")), codes.INVALID),
+    static = first_failing((missing("nome") | too_long(
+                                ("codice_fiscale", "suppliers", "codice_fiscale"), ("nome", "suppliers", "nome"),
+                                ("indirizzo", "supplier_addresses", "indirizzo")), codes.INVALID),
                            (~F.col("_shape_ok"), codes.BAD_FISCAL_CODE),
                            (F.col("_code_stored"), codes.SUPPLIER_EXISTS),
                            (~F.col("_species_known"), codes.UNKNOWN_KEY),

@@ -80,15 +80,17 @@ def order_report_lines(tables: Tables, orders=None) -> DataFrame:
     lines = keep_keys(tables["order_lines"], "ordine", orders)
     o = keep_keys(tables["orders"], "id", orders).select("id", "data")
     dated = lines.join(o, lines.ordine == o.id, "inner").drop("id")
+    # Names meet the price periods first, both small next to the lines, so the lines
+    # go through one join on species and no operator after it needs that partitioning.
+    s = tables["species"].select("codice", "nome_comune", "nome_latino")
     periods = price_periods(tables["prices"])
-    priced = dated.join(
+    periods = periods.join(s, periods.specie_di_pianta == s.codice, "inner")
+    out = dated.join(
         periods,
         (dated.specie_di_pianta == periods.specie_di_pianta)
         & (periods.data_adozione <= dated.data)
         & (periods.valido_fino.isNull() | (dated.data < periods.valido_fino)),
-        "inner").drop(periods.specie_di_pianta)
-    s = tables["species"].select("codice", "nome_comune", "nome_latino")
-    out = priced.join(s, priced.specie_di_pianta == s.codice, "inner")
+        "inner")
     return out.select(
         "ordine", "codice", display_name(F.col("nome_comune"), F.col("nome_latino")).alias("nome"),
         F.col("valore").alias("unit_price"), "quantita",

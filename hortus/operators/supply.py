@@ -26,9 +26,12 @@ def low_stock_species(tables: Tables, n: int) -> DataFrame:
              .select("codice", display_name(F.col("nome_comune"), F.col("nome_latino")).alias("nome"), "giacenza"))
 
 
-def requests_per_offer(tables: Tables) -> DataFrame:
-    """Requests made per (species, supplier), partially aggregated before the shuffle."""
+def requests_per_offer(tables: Tables, species: DataFrame | None = None) -> DataFrame:
+    """Requests made per (species, supplier), partially aggregated before the shuffle;
+    with ``species`` (specie_di_pianta) only theirs, cut before the aggregation."""
     r = tables["supply_requests"]
+    if species is not None:
+        r = r.join(species.withColumnRenamed("specie_di_pianta", "specie_richiesta"), "specie_richiesta", "left_semi")
     return r.groupBy(F.col("specie_richiesta").alias("specie_di_pianta"),
                      F.col("fornitore_scelto").alias("fornitore")).agg(F.count("data").alias("n_richieste"))
 
@@ -49,10 +52,11 @@ def low_stock_top_suppliers(tables: Tables, n: int | None = None, semantics: str
     if semantics not in SEMANTICS:
         raise ValueError(f"semantics must be one of {SEMANTICS}")
     offers = tables["availability"]
+    low = None
     if n is not None:
         low = low_stock_species(tables, n).select(F.col("codice").alias("specie_di_pianta"))
-        offers = offers.join(F.broadcast(low), "specie_di_pianta", "left_semi")  # n rows: bounded by n
-    counts = requests_per_offer(tables)
+        offers = offers.join(low, "specie_di_pianta", "left_semi")
+    counts = requests_per_offer(tables, low)
     j = offers.join(counts, ["specie_di_pianta", "fornitore"], "left")
     if semantics == "reference":
         active = tables["supply_requests"].select(F.col("fornitore_scelto").alias("fornitore")).distinct()

@@ -3,10 +3,13 @@
     python -m hortus.run job line_changes --store ROOT --requests PATH --outcomes PATH [--finalizations PATH]
     python -m hortus.run job restock --store ROOT --now "2024-01-01 00:00:00" --outcomes PATH
     python -m hortus.run report order_status --store ROOT --out PATH
+    python -m hortus.run report customer_orders --store ROOT --out PATH --set open_only=true --set 'customers=["A"]'
 
 A job reads the latest complete version of the store, writes the changed and
 unchanged tables as the next version and its per-request outcomes to
-``--outcomes``.  A report writes its rows to ``--out``.  The session comes from
+``--outcomes``; its further outputs (emptied orders, outcomes of the
+finalizations) go to folders beside it, ``<outcomes>-<name>``.  A report writes
+its rows to ``--out``; its keys, fragments, flags and n are given by ``--set``.  The session comes from
 the environment (``spark-submit`` configuration); the checkpoint folder is the
 session's ``spark.checkpoint.dir``.
 """
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import argparse
 import datetime as dt
+import json
 
 from pyspark.sql import SparkSession
 
@@ -63,6 +67,7 @@ REPORTS = {
     "order_report_lines": orders.order_report_lines, "order_report_totals": orders.order_report_totals,
     "order_species": orders.order_species, "order_status": orders.order_status,
     "packing_remaining": packing.packing_remaining, "pack_contents_report": packing.pack_contents_report,
+    "low_stock_species": supply.low_stock_species,  # n is the caller's: --set n=10
     "low_stock_top_suppliers": supply.low_stock_top_suppliers, "supplier_search": supply.supplier_search,
     "supplier_species": supply.supplier_species, "pending_supply_requests": supply.pending_supply_requests,
     "supplier_address_list": supply.supplier_address_list, "customer_contact_list": contacts.customer_contact_list,
@@ -97,9 +102,23 @@ def run_job(spark: SparkSession, name: str, store: str, outcomes_path: str, requ
     version = (versions(spark, store) or [0])[-1] + 1
     write_snapshot(result.merged(tables), store, version)
     result.outcomes.write.mode("errorifexists").parquet(outcomes_path)
+    for output, rows in result.extra.items():
+        rows.write.mode("errorifexists").parquet(f"{outcomes_path}-{output}")
     return version
 
 
+def report_args(settings: list[str]) -> dict:
+    """NAME=VALUE pairs as keyword arguments of a report; a value is JSON where it parses as such."""
+    out = {}
+    for s in settings:
+        name, _, value = s.partition("=")
+        try:
+            out[name] = json.loads(value)
+        except json.JSONDecodeError:
+            out[name] = value
+    return out
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="hortus.run")
     p.add_argument("what", choices=["job", "report"])
@@ -111,6 +130,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--out")
     p.add_argument("--now", type=dt.datetime.fromisoformat)
     p.add_argument("--year", type=int)
+    p.add_argument("--set", action="append", default=[], metavar="NAME=VALUE")
     p.add_argument("--hot-rows", type=int, dest="hot_rows")
     a = p.parse_args(argv)
     spark = ensure_semantics(SparkSession.builder.appName(f"hortus-{a.name}").getOrCreate())
@@ -120,10 +140,8 @@ def main(argv: list[str] | None = None) -> None:
         tables = read_snapshot(spark, a.store)
         if a.name == "species_monthly_sales":
             df = sales.species_monthly_sales(tables, a.year)
-        elif a.name == "low_stock_species":
-            df = supply.low_stock_species(tables, 10)
         else:
-            df = REPORTS[a.name](tables)
+            df = REPORTS[a.name](tables, **report_args(a.set))
         df.write.mode("errorifexists").parquet(a.out)
 
 

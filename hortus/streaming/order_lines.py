@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from hortus.functions import codes
-from hortus.functions.checks import first_failing
+from hortus.functions.checks import first_failing, missing
 from hortus.functions.columns import true_or_false
 from hortus.operators.jobs.orders import LINE_CHANGE_COLS, OPS, ledger_step
 
@@ -106,7 +106,7 @@ def enrich(tables: Mapping[str, DataFrame], events: DataFrame) -> DataFrame:
         *LINE_CHANGE_COLS, "q0", "stock0",
         true_or_false(F.col("_status") == 0).alias("is_final"),
         first_failing(
-            (~F.col("op").isin(*OPS), codes.INVALID),
+            (missing("op", "cliente", "ordine", "specie_di_pianta") | ~F.col("op").isin(*OPS), codes.INVALID),
             (~true_or_false(F.col("_owner") == F.col("cliente")), codes.NOT_OWNER),
             ((F.col("op") != "REMOVE") & (F.col("quantita").isNull() | (F.col("quantita") < 0)), codes.INVALID),
         ).alias("pre_code"))
