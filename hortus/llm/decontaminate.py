@@ -1,4 +1,4 @@
-"""Benchmark passages in documents: latent retrieval, then longest common subsequences."""
+"""Benchmark passages in documents: an exact bound from word counts, then longest common subsequences."""
 
 from __future__ import annotations
 
@@ -11,112 +11,19 @@ from pyspark.sql import functions as F
 
 from hortus.llm.common import ALNUM, word_hashes
 
-FEATURES, RANK, PASSAGE, BLOCK = 8192, 40, 32, 16
-#: The first directions tell languages and common words apart, not passages; the search leaves them out.
-COMMON = 8
+BLOCK = 16
 #: Words handled at once in a task; a longer text goes through in several pieces.
 PIECE = 1 << 16
 
 
-def features(words: np.ndarray) -> np.ndarray:
-    return (words >> np.uint64(51)).astype(np.int64)  # 13 bits: FEATURES
-
-
-def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(features, passage number) of the words, for bounded runs of whole passages."""
-    held, count = [], 0
-
-    def joined():
-        f = np.concatenate(held)
-        p = np.concatenate([np.arange(h.size) // PASSAGE for h in held])
-        first = np.zeros(f.size, bool)
-        first[np.cumsum([0] + [h.size for h in held[:-1]])] = True
-        return f, np.cumsum(first | (np.diff(p, prepend=-1) != 0)) - 1
-
-    for batch in batches:
-        for text in batch["text"]:
-            f = features(word_hashes(text, ALNUM)[0])
-            for i in range(0, f.size, PIECE):
-                held.append(f[i:i + PIECE])
-                count += held[-1].size
-                if count >= PIECE:
-                    yield joined()
-                    held, count = [], 0
-    if held:
-        yield joined()
-
-
-def passage_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many passages each feature occurs, and the number of passages."""
-    def run(batches):
-        df, n = np.zeros(FEATURES + 1, np.int64), 0
-        for f, p in _pieces(batches):
-            df[:FEATURES] += np.bincount(np.unique(p * FEATURES + f) % FEATURES, minlength=FEATURES)
-            n += int(p[-1]) + 1
-        df[FEATURES] = n
-        at = np.flatnonzero(df)
-        yield pd.DataFrame({"f": at, "c": df[at]})
-
-    out = np.zeros(FEATURES + 1, np.int64)
-    for r in texts.mapInPandas(run, "f long, c long").groupBy("f").agg(F.sum("c").alias("c")).collect():  # FEATURES + 1 rows
-        out[r["f"]] = r["c"]
-    return out[:FEATURES], int(out[FEATURES])
-
-
-def _gram_times(texts: DataFrame, idf: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """A'A v, where A holds the TF-IDF passages as rows: one distributed pass."""
-    def run(batches):
-        total = np.zeros(v.shape)
-        weighted = (v * idf[:, None]).astype(np.float32)
-        for f, p in _pieces(batches):
-            y = np.add.reduceat(weighted[f], np.flatnonzero(np.diff(p, prepend=-1)), axis=0)
-            order = np.argsort(f.astype(np.uint16), kind="stable")
-            sorted_f = f[order]
-            starts = np.flatnonzero(np.diff(sorted_f, prepend=-1))
-            total[sorted_f[starts]] += np.add.reduceat(y[p[order]], starts, axis=0)
-        at = np.flatnonzero(np.abs(total).sum(axis=1))
-        total = total[at] * idf[at, None]
-        yield pd.DataFrame({"f": at} | {f"g{i}": total[:, i] for i in range(v.shape[1])})
-
-    names = [f"g{i}" for i in range(v.shape[1])]
-    sums = (texts.mapInPandas(run, "f long, " + ", ".join(f"{c} double" for c in names)).groupBy("f")
-            .agg(*[F.sum(c).alias(c) for c in names]))
-    out = np.zeros(v.shape)
-    for r in sums.collect():  # FEATURES rows at most
-        out[r["f"]] = r[1:]
-    return out
-
-
-def latent_space(texts: DataFrame, seed: int = 7) -> np.ndarray:
-    """FEATURES x (RANK - COMMON) map from word counts to whitened latent coordinates.
-
-    Randomised SVD over all passages in one pass: A'A on a random block, and
-    from it the Nystrom form of A'A, whose eigenvectors and values are the
-    right singular vectors and squared singular values."""
-    df, n = passage_frequencies(texts)
-    idf = np.log((n + 1) / (df + 1.0)) + 1e-3
-    block, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((FEATURES, RANK)))
-    return whitened(idf, block, _gram_times(texts, idf, block))
-
-
-def whitened(idf: np.ndarray, block: np.ndarray, image: np.ndarray) -> np.ndarray:
-    shift = 1e-7 * float(np.linalg.norm(image)) + 1e-12
-    image = image + shift * block
-    values, turn = np.linalg.eigh((block.T @ image + image.T @ block) / 2)
-    vectors, scale, _ = np.linalg.svd(image @ (turn / np.sqrt(np.maximum(values, shift / 2))), full_matrices=False)
-    return (idf[:, None] * vectors / np.maximum(scale, scale.max() * 1e-4))[:, COMMON:].astype(np.float32)
-
-
 class Item:
     """One benchmark text; its last quarter is the answer."""
 
-    def __init__(self, item_id, text, space, least):
+    def __init__(self, item_id, text, least):
         self.id, h = item_id, word_hashes(text, ALNUM)[0]
-        self.n, self.f = int(h.size), features(h)
+        self.n, self.words = int(h.size), h
         self.need = max(int(np.ceil(least * self.n)), min(self.n, 5))
-        self.blocks = -(-self.n // BLOCK) + 1
-        vector = space[self.f].sum(axis=0) if self.n else np.zeros(space.shape[1], np.float32)
-        self.vector = vector / max(float(np.linalg.norm(vector)), 1e-12)
+        self.blocks = -(-self.n // BLOCK) + 1  # holds every run of n words, wherever it starts in its first block
         self.masks = self._masks(h.tolist())
         tail = h[self.n - max(1, self.n // 4):].tolist() if self.n else []
         self.answer_n, self.answer = len(tail), self._masks(tail)
@@ -141,53 +48,92 @@ def common_length(masks: dict[int, int], n: int, words: list[int]) -> int:
     return n - v.bit_count()
 
 
-def _search(items: list[Item], space: np.ndarray, cosine: float, answer: float):
+class Group:
+    """The items whose windows have the same number of blocks."""
+
+    def __init__(self, blocks: int, members: list[Item], vocabulary: np.ndarray):
+        self.blocks, self.members = blocks, members
+        own = np.unique(np.concatenate([m.words for m in members]))
+        #: Number of each word of the vocabulary in this group; 0 for other words.
+        self.number = np.zeros(vocabulary.size + 1, np.int32)
+        self.number[np.searchsorted(vocabulary, own) + 1] = np.arange(1, own.size + 1)
+        self.has = np.zeros((own.size + 1, len(members)), np.uint8)
+        keys, masks = [], []
+        for j, m in enumerate(members):
+            w = np.searchsorted(own, np.array(list(m.masks), np.uint64)) + 1
+            self.has[w, j] = 1
+            if m.n < 64:
+                keys.append(w * len(members) + j)
+                masks.append(np.array(list(m.masks.values()), np.uint64))
+        order = np.argsort(np.concatenate(keys)) if keys else []
+        self.keys = np.concatenate(keys)[order] if keys else np.zeros(0, np.int64)
+        self.masks = np.concatenate(masks)[order] if keys else np.zeros(0, np.uint64)
+        self.need = np.array([m.need for m in members])
+        self.full = np.array([(1 << m.n) - 1 if m.n < 64 else 0 for m in members], np.uint64)
+        self.counts = np.uint8 if blocks * BLOCK < 256 else np.uint32
+
+    def candidates(self, words: np.ndarray, use: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) wherever enough words of the window are words of the item: no common subsequence is longer."""
+        at = words.reshape(-1, BLOCK)
+        held = np.zeros((len(at) + self.blocks, len(self.members)), self.counts)
+        for i in range(BLOCK):
+            held[:len(at)] += self.has[at[:, i]]
+        count = held[use]
+        for i in range(1, self.blocks):
+            count += np.where((use + i < end)[:, None], held[use + i], 0)
+        return np.nonzero(count >= self.need)
+
+    def common(self, words: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Longest common subsequences of windows (rows of ``words``) and items of fewer than 64 words (bit parallel)."""
+        full = self.full[j]
+        v = full.copy()
+        masks = np.zeros(words.shape, np.uint64)
+        r, c = np.nonzero(self.has[words, j[:, None]] * (full > 0)[:, None])
+        masks[r, c] = self.masks[np.searchsorted(self.keys, words[r, c].astype(np.int64) * len(self.members) + j[r])]
+        for m in masks.T:
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+        return np.bitwise_count(full).astype(np.int64) - np.bitwise_count(v)
+
+
+def _search(items: list[Item], answer: float):
     sizes = {}
     for item in items:
         if item.n:
             sizes.setdefault(item.blocks, []).append(item)
-    groups = []
-    for q, members in sizes.items():
-        has = np.zeros((len(members), FEATURES + 1), np.uint8)
-        for i, item in enumerate(members):
-            has[i, item.f] = 1
-        groups.append((q, members, np.stack([m.vector for m in members]).T.astype(np.float32), has,
-                       np.array([m.need for m in members])))
+    vocabulary = np.unique(np.concatenate([i.words for i in items if i.n])) if sizes else np.zeros(0, np.uint64)
+    groups = [Group(q, members, vocabulary) for q, members in sizes.items()]
 
     def hits(texts: list[np.ndarray], ids: list):
         """texts: word hashes of whole texts, or of overlapping pieces of a long one."""
         padded, owner, last = [], [], []
         for d, h in enumerate(texts):
             blocks = -(-h.size // BLOCK)
-            pad = np.full(blocks * BLOCK, FEATURES, np.int64)
-            pad[:h.size] = features(h)
+            near = np.minimum(np.searchsorted(vocabulary, h), vocabulary.size - 1)
+            pad = np.zeros(blocks * BLOCK, np.int32)
+            pad[:h.size] = np.where(vocabulary[near] == h, near + 1, 0)
             padded.append(pad)
             last += [len(owner) + blocks] * blocks
             owner += [d] * blocks
+        if not owner:
+            return
         f, owner, last = np.concatenate(padded), np.array(owner), np.array(last)
-        wide = np.concatenate([space, np.zeros((1, space.shape[1]), np.float32)])
-        sums = np.zeros((owner.size + 1, space.shape[1]), np.float64)
-        np.cumsum(np.add.reduceat(wide[f], np.arange(0, f.size, BLOCK), axis=0), axis=0, out=sums[1:])
         start = np.arange(owner.size)
         first = np.diff(owner, prepend=-1) != 0
-        at0 = np.flatnonzero(first)[owner]
-        flat = np.append(f, np.full(BLOCK * max(g[0] for g in groups), FEATURES)).astype(np.int32)
-        for q, members, vectors, has, need in groups:
+        at0 = np.flatnonzero(first)[np.cumsum(first) - 1]
+        for g in groups:
+            q = g.blocks
             use = start[first | (start + q <= last)]
-            runs = np.lib.stride_tricks.sliding_window_view(flat, q * BLOCK)[::BLOCK]
             end = np.minimum(use + q, last[use])
-            w = (sums[end] - sums[use]).astype(np.float32)
-            w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
-            c, j = np.nonzero(w @ vectors >= cosine)
+            words = g.number[f]
+            runs = np.lib.stride_tricks.sliding_window_view(np.append(words, np.zeros(BLOCK * q, np.int32)), q * BLOCK)[::BLOCK]
+            c, j = g.candidates(words, use, end)
             for lo in range(0, c.size, 8192):
                 cc, jj = c[lo:lo + 8192], j[lo:lo + 8192]
-                words = runs[use[cc]]
-                short = (end - use)[cc] < q  # a text of fewer blocks
-                if short.any():
-                    words = np.where(np.arange(q * BLOCK) < ((end - use)[cc] * BLOCK)[:, None], words, FEATURES)
-                enough = np.take(has, words + (jj * (FEATURES + 1)).astype(np.int32)[:, None]).sum(axis=1) >= need[jj]
+                inside = np.where(np.arange(q * BLOCK) < ((end - use)[cc] * BLOCK)[:, None], runs[use[cc]], 0)
+                enough = (g.full[jj] == 0) | (g.common(inside, jj) >= g.need[jj])
                 for a, b in zip(cc[enough], jj[enough]):
-                    item, d = members[b], owner[use[a]]
+                    item, d = g.members[b], owner[use[a]]
                     i = int(use[a] - at0[use[a]]) * BLOCK
                     window = texts[d][i:i + int(end[a] - use[a]) * BLOCK].tolist()
                     common = common_length(item.masks, item.n, window)
@@ -195,7 +141,7 @@ def _search(items: list[Item], space: np.ndarray, cosine: float, answer: float):
                         yield ids[d], item.id, i, common, item.n
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        overlap = max((g[0] for g in groups), default=0) * BLOCK
+        overlap = max((g.blocks for g in groups), default=0) * BLOCK
         for batch in batches:
             out, held, ids, count = [], [], [], 0
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
@@ -213,35 +159,35 @@ def _search(items: list[Item], space: np.ndarray, cosine: float, answer: float):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.7, answer: float = 0.5, cosine: float = 0.4,
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.7, answer: float = 0.5,
                  items_per_pass: int = 2048) -> DataFrame:
     """doc_id, item_id, common, n_words: one row per document and benchmark item found in it.
 
-    Every window of every whole text is compared with every item by cosine in
-    the latent space; a window above ``cosine`` is confirmed when a longest
-    common subsequence covers ``least`` of the item's words and ``answer`` of
-    its last quarter.  Items go through in passes of ``items_per_pass``, so
-    what a task holds does not grow with the benchmark.  Null and empty texts
-    on either side match nothing; rows without an id are not reported;
-    repeated rows and items count once; empty tables give no rows."""
+    Every window of every whole text is compared with every item.  The number
+    of its words that are words of the item bounds their longest common
+    subsequence, so no window is lost where that is too small; the others are
+    confirmed when a longest common subsequence covers ``least`` of the item's
+    words and ``answer`` of its last quarter.  Windows start at every
+    ``BLOCK``-th word and are long enough that every run of as many words as
+    the item has lies in one.  Items go through in passes of
+    ``items_per_pass``, so what a task holds does not grow with the benchmark.
+    Null and empty texts on either side match nothing; rows without an id are
+    not reported; repeated rows and items count once; empty tables give no
+    rows."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     known = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
     passes, held = [], []
-    space = None
 
     def search(rows):
-        items = [Item(r["item_id"], r["text"], space, least) for r in rows]
-        return texts.mapInPandas(_search(items, space, cosine, answer), "doc_id long, item_id long, at long, common long, n_words long")
+        items = [Item(r["item_id"], r["text"], least) for r in rows]
+        return texts.mapInPandas(_search(items, answer), "doc_id long, item_id long, at long, common long, n_words long")
 
     for row in known.toLocalIterator():
-        if space is None:
-            space = latent_space(texts)
         held.append(row)
         if len(held) == items_per_pass:
             passes.append(search(held))
             held = []
     if held or not passes:
-        space = np.zeros((FEATURES, RANK - COMMON), np.float32) if space is None else space
         passes.append(search(held))
     found = passes[0]
     for p in passes[1:]:

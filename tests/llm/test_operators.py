@@ -205,6 +205,40 @@ def test_contaminated_finds_planted_passages(spark, small, edge, empty):
     assert decontaminate.keep_uncontaminated(edge, bench).columns == edge.columns
 
 
+def test_contaminated_misses_no_window(spark):
+    """Verbatim and 30 % changed items in foreign text at every offset, against brute-force LCS over all runs of the item's length."""
+    import random
+
+    from hortus.llm.common import ALNUM, word_hashes
+    rng = random.Random(5)
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    items[-1] = " ".join(f"long{i}" for i in range(150))  # more words than a machine word has bits
+    hashes = {i: word_hashes(s, ALNUM)[0].tolist() for i, s in items.items()}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    pool = [w for _, t in rows_of(docs.where("lang = 'en'")) for w in (t or "").split()]
+    rows, want = [], set()
+    for i, s in items.items():
+        for changed in (False, True) * 3:
+            words = s.split()
+            for x in rng.sample(range(len(words)), int(0.3 * len(words)) if changed else 0):
+                words[x] = f"other{x}"
+            at, lead = -len(rows) - 1, rng.randrange(100, 200)
+            rows.append((at, " ".join(rng.choices(pool, k=lead) + words + rng.choices(pool, k=rng.randrange(60, 160)))))
+            doc, item = word_hashes(rows[-1][1], ALNUM)[0].tolist(), hashes[i]
+            n = len(item)
+            need, tail = max(-(-7 * n // 10), min(n, 5)), item[n - max(1, n // 4):]
+            for p in range(lead - 8, lead + 9):
+                window = doc[p:p + n]
+                if (decontaminate.common_length(decontaminate.Item._masks(item), n, window) >= need
+                        and decontaminate.common_length(decontaminate.Item._masks(tail), len(tail), window) >= 0.5 * len(tail)):
+                    want.add((at, i))
+                    break
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs.drop("lang").unionByName(spark.createDataFrame(rows, "doc_id long, text string")), bench).collect()}
+    assert len(want) > 5 * len(items)
+    assert want <= got
+
+
 # ---- 6 toxicity
 
 
