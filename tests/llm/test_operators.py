@@ -342,3 +342,15 @@ def test_repeated_passages_on_the_documents(small):
     got = {r.doc_id: {x for s in r.spans for x in range(s.start, s.stop)} for r in suffixes.repeated_passages(small).collect()}
     assert set(got) == set(want)
     assert all(want[d] == got[d] for d in want)
+
+
+def test_repeated_passages_behind_a_hot_tail(spark):
+    """The true pairs share 52 words that end in a tail which many others have behind other words."""
+    tail = " ".join(f"t{j}" for j in range(45))
+    rows = [(i, f"{' '.join(f'x{i}_{j}' for j in range(40))} {tail} {' '.join(f'y{i}_{j}' for j in range(20))}") for i in range(300)]
+    for i in range(40):
+        lead = " ".join(f"lead{i}_{j}" for j in range(7))
+        rows += [(1000 + 2 * i + k, f"{' '.join(f'u{i}_{k}_{j}' for j in range(30))} {lead} {tail} {' '.join(f'v{i}_{k}_{j}' for j in range(20))}") for k in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: {x for s in r.spans for x in range(s.start, s.stop)} for r in suffixes.repeated_passages(df).collect()}
+    assert got == dict(covered(rows)) and len(got) == 80
