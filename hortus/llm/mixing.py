@@ -54,8 +54,19 @@ def _inline(df: DataFrame, rows: list[dict], schema: str) -> DataFrame:
     return df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
+def _key():
+    """Rows with the same key are interchangeable."""
+    return F.xxhash64("doc_id", "source", "text", F.isnull("doc_id"), F.isnull("source"), F.isnull("text"))
+
+
+def _words():
+    return F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), shards: int = 16, seed: int = 11) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, shards for every row.
+    """The plan: doc_id, source, size, source_size, target, taken, shards, key, row for every row.
+
+    ``row`` tells rows apart and ``key`` finds their text for ``shard_rows``.
 
     ``size``: words of the whole text (null: 0).  Sources in code point order,
     null last, take ``weights`` in turn; see ``targets``.  A source is taken
@@ -69,8 +80,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), shards: int = 1
     One row per source reaches the driver.  A hot source is split over its
     blocks.  Repeated rows are mixed one by one, null ids like others, an
     empty table gives no rows, a source of size 0 takes 0."""
-    rows = materialise(docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-                                   F.xxhash64(F.lit(seed), "doc_id", "source").alias("h")), "sizes")
+    rows = materialise(docs.select("doc_id", "source", _words().alias("size"), F.xxhash64(F.lit(seed), "doc_id", "source").alias("h"),
+                                   _key().alias("key"), F.monotonically_increasing_id().alias("row")), "sizes")
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     found = sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))
     goal = targets([r["size"] for r in found], [weights[i % len(weights)] for i in range(len(found))])
@@ -107,11 +118,36 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), shards: int = 1
     place = F.expr("transform(if(copies > 0, sequence(0, copies - 1), array()), "
                    "c -> size(filter(bounds, b -> b <= c * filled + rank)))")
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"),
-                      place.alias("shards"))
+                      place.alias("shards"), "key", "row")
 
 
 def shard_rows(docs: DataFrame, mixed: DataFrame, seed: int = 11) -> DataFrame:
-    """The mixture itself: one row per copy, clustered by shard and shuffled inside it."""
-    copies = mixed.select("doc_id", F.explode("shards").alias("shard"))
-    return (docs.join(copies, "doc_id").repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
+    """The mixture itself: one row per copy, clustered by shard and shuffled inside it.
+
+    Columns of ``docs``, ``row`` and the number ``copy`` within it, ``shard``.
+    Texts of repeated rows are taken once and joined to each of their rows."""
+    copies = mixed.select("key", "row", F.posexplode("shards").alias("copy", "shard"))
+    keyed = docs.withColumn("key", _key())
+    repeated = materialise(mixed.groupBy("key").count().where("count > 1").select("key"), "repeated")
+    texts = keyed.join(repeated, "key", "left_anti").unionByName(keyed.join(repeated, "key", "left_semi").dropDuplicates(["key"]))
+    return (texts.join(copies, "key").drop("key").repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
             .sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "doc_id", "shard")))
+
+
+def draw(docs: DataFrame, texts: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, shards for every row of ``docs``.
+
+    The mixture is written to the shared folder shard by shard; ``taken`` (0
+    without a copy) and ``shards`` are those of the copies read back.  With
+    ``texts``, ``text`` is the text of the copies, null where none was taken."""
+    mixed = materialise(mix(docs), "mixed")
+    copies = materialise(shard_rows(docs, mixed), "mixture")
+    back = copies.groupBy("row").agg(F.sum(_words()).alias("taken"), F.array_sort(F.collect_list(F.struct("copy", "shard")))["shard"].alias("shards"))
+    rows = (mixed.drop("taken", "shards").join(back, "row", "left")
+            .select("row", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"),
+                    F.coalesce("shards", F.array().cast("array<int>")).alias("shards")))
+    if not texts:
+        return rows.drop("row")
+    rows = materialise(rows, "rows")
+    held = rows.join(copies.where("copy = 0").select("row", "text"), "row")
+    return held.unionByName(rows.where("cardinality(shards) = 0").withColumn("text", F.lit(None).cast("string"))).drop("row")

@@ -40,7 +40,7 @@ def op7_minhash(spark, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+    return mixing.draw(table(spark, sf_dir, "documents")).drop("source")
 
 
 def op9_chat(spark, sf_dir: str) -> DataFrame:

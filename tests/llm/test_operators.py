@@ -285,6 +285,20 @@ def test_mix(spark, edge, empty):
     assert copies.count() == sum(len(r.shards) for r in out)
 
 
+def test_drawn_copies_hold_the_texts(edge, small, empty):
+    for df in (edge, small):
+        mixed = mixing.mix(df)
+        planned = Counter((r.doc_id, r.source, r.taken, tuple(r.shards)) for r in mixed.collect())
+        copies = mixing.shard_rows(df, mixed).collect()
+        assert len(copies) == sum(len(k[3]) * n for k, n in planned.items())
+        rows = mixing.draw(df, texts=True).collect()
+        assert Counter((r.doc_id, r.source, r.taken, tuple(r.shards)) for r in rows) == planned
+        texts = {(r.doc_id, r.source, r.text) for r in df.collect()}
+        assert all(r.text is None if not r.shards else (r.doc_id, r.source, r.text) in texts for r in rows)
+        assert all(r.taken == len(r.shards) * len(WORD.findall(r.text or "")) for r in rows)
+    assert mixing.draw(empty, texts=True).count() == 0
+
+
 # ---- 9 chat
 
 
