@@ -368,3 +368,11 @@ def test_repeated_passages_behind_a_hot_tail(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = {r.doc_id: {x for s in r.spans for x in range(s.start, s.stop)} for r in suffixes.repeated_passages(df).collect()}
     assert got == dict(covered(rows)) and len(got) == 80
+
+
+def test_repeated_passages_of_more_words(spark):
+    shared = " ".join(f"s{j}" for j in range(150))
+    rows = [(i, f"{' '.join(f'a{i}_{j}' for j in range(20))} {shared} {' '.join(f'b{i}_{j}' for j in range(20))}") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: {x for s in r.spans for x in range(s.start, s.stop)} for r in suffixes.repeated_passages(df, least=100).collect()}
+    assert got == dict(covered(rows, 100)) and len(got) == 2
