@@ -22,7 +22,9 @@ def format_windows(turns: DataFrame, budget: int = 512, history: int = 2) -> Dat
 
     Turns are ordered by (turn, role, text), a null turn first; null roles and
     texts are empty.  Prefix sums of the turns' words assign each turn to a
-    span of ``budget`` words (a longer turn is a span of its own start).  Each
+    span of ``budget`` words (a longer turn is a span of its own start).  The
+    budget is a stride: the last turn of a window may go beyond it, and the
+    repeated turns are not counted.  Each
     later window repeats the system turn that opens the conversation and up to
     ``history`` turns before its span; ``n_repeated`` counts these leading
     turns.  ``loss`` lists (start, length) in code points, from 1, of the
