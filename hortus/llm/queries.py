@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hortus.llm import chat, decontaminate, exact_dedup, line_dedup, minhash, mixing, suffixes, token_counts, toxicity, warc
+from hortus.llm import (chat, decontaminate, divergence, exact_dedup, hard_negatives, line_dedup, minhash, mixing, simhash, suffixes,
+                        token_counts, toxicity, warc)
 from hortus.llm.common import table
 
 
@@ -55,6 +56,20 @@ def op10_suffixes(spark, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", moved))
+
+
+def op12_simhash(spark, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -63,7 +78,7 @@ def pipeline(spark, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_line_dedup, op3_exact_dedup, op4_token_counts, op5_decontamination, op6_toxicity, op7_minhash, op8_mixing,
-    op9_chat, op10_suffixes, pipeline)}
+    op9_chat, op10_suffixes, op11_hard_negatives, op12_simhash, op13_divergence, pipeline)}
 
 ORACLES = {
     "op3_exact_dedup": r"""
@@ -72,4 +87,6 @@ ORACLES = {
              r as (select *, first_value(doc_id) over (partition by text_sha256 order by n desc, doc_id) keep_id,
                           count(*) over (partition by text_sha256) group_size from t)
         select doc_id, keep_id, group_size, doc_id = keep_id kept, text_sha256 from r""",
+    "op11_hard_negatives": hard_negatives.SQL,
+    "op13_divergence": divergence.SQL,
 }
