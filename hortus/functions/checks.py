@@ -65,6 +65,23 @@ def exists_in(df: DataFrame, table: DataFrame, on: Sequence[tuple[str, str]], fl
     return j.drop(*names).withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
+def one_per_time(df: DataFrame, flag: str) -> DataFrame:
+    """Adds boolean ``flag``: true for all but one of the requests that share (ts, seq).
+
+    The least request by its columns stays, whatever becomes of it; of equal
+    copies of it, one.  Copies are counted, not ordered in a window, so any number of
+    them may share one time."""
+    cols = df.columns
+    whole = F.struct(*[F.col(c) for c in cols])
+    timed = F.col("ts").isNotNull() & F.col("seq").isNotNull()
+    shared = (df.filter(timed).groupBy("ts", "seq").agg(F.count(F.lit(1)).alias("_n"), F.min(whole).alias("_one"))
+              .filter("_n > 1").drop("_n"))
+    alone = df.join(shared, ["ts", "seq"], "left_anti").withColumn(flag, F.lit(False))
+    copies = (df.join(shared, ["ts", "seq"]).groupBy(*cols, "_one").agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))))
+    return alone.unionByName(copies.select(*cols, ((whole != F.col("_one")) | (F.col("_i") > 1)).alias(flag)))
+
+
 def first_in_batch(df: DataFrame, key: Sequence[str], eligible: Column, flag: str) -> DataFrame:
     """Adds boolean ``flag``: an eligible request on the same key comes earlier in the batch.
 
@@ -78,6 +95,10 @@ def first_in_batch(df: DataFrame, key: Sequence[str], eligible: Column, flag: st
     return j.withColumn(flag, true_or_false(request_order() > F.col("_first"))).drop("_first")
 
 
+#: Of the undecided requests a round must decide one in so many, else the rest goes by components.
+ROUND_SHARE = 4
+
+
 def earliest_unique(df: DataFrame, key_sets: Sequence[Sequence[str]], eligible: Column, flag: str) -> DataFrame:
     """Adds boolean ``flag``: an earlier accepted request already holds one of this
     request's unique keys (so the insert would hit a duplicate key).
@@ -85,55 +106,85 @@ def earliest_unique(df: DataFrame, key_sets: Sequence[Sequence[str]], eligible:
     Requests are accepted greedily in request order: a request is accepted when
     it is ``eligible`` and no earlier accepted request shares any key of
     ``key_sets``.  With one key this is one aggregate.  With several keys a
-    request can depend on a chain of earlier ones, so it is resolved in rounds:
-    each round decides every request that is the earliest undecided one in all
-    of its key groups (at least the earliest request overall), and rejects
-    every request that has an earlier accepted one in a group.  Each round is a
-    few aggregates and joins, checkpointed; rounds = longest conflict chain.
+    request can depend on a chain of earlier ones.  Set-wise rounds decide
+    every request that is the earliest undecided one in all of its key groups and
+    refuse those with an earlier accepted one in a group; a key that very many
+    requests ask for is done after two.  As soon as a round decides too few, which is
+    what long chains do, the rest is cut into the components of its conflicts
+    (O(log n) rounds) and each is walked in order.
     """
     if len(key_sets) == 1:
         return first_in_batch(df, key_sets[0], eligible, flag)
     from hortus.session import checkpointed
+    keys = list(dict.fromkeys(c for ks in key_sets for c in ks))
     base = checkpointed(df.withColumn("_rid", F.monotonically_increasing_id()))
-    state = base.select("_rid", *{c for ks in key_sets for c in ks}, "ts", "seq",
-                        F.when(true_or_false(eligible), F.lit("u")).otherwise(F.lit("x")).alias("_st"))
-    while True:  # every round decides at least the earliest undecided request
-        undecided = state.filter(F.col("_st") == "u")
-        if undecided.limit(1).count() == 0:
-            break
-        s = state
+    open_ = base.filter(true_or_false(eligible)).select("_rid", *keys, "ts", "seq")
+    accepted, left = open_.limit(0), None
+    while True:
+        s = open_
         for i, ks in enumerate(key_sets):
-            ks = list(ks)
-            agg = s.filter(F.col("_st").isin("u", "a")).groupBy(*ks).agg(
-                F.min(F.when(F.col("_st") == "u", request_order())).alias(f"_fu{i}"),
-                F.min(F.when(F.col("_st") == "a", request_order())).alias(f"_fa{i}"))
-            s = s.join(agg, ks, "left")
-        first_everywhere = None
-        accepted_before = None
-        for i, _ in enumerate(key_sets):
-            fe = true_or_false(F.col(f"_fu{i}") == request_order())
-            ab = true_or_false(F.col(f"_fa{i}") < request_order())
-            first_everywhere = fe if first_everywhere is None else first_everywhere & fe
-            accepted_before = ab if accepted_before is None else accepted_before | ab
-        s = s.withColumn("_st", F.when(F.col("_st") != "u", F.col("_st"))
-                         .when(accepted_before, F.lit("d"))
-                         .when(first_everywhere, F.lit("a"))
-                         .otherwise(F.lit("u")))
-        state = checkpointed(s.select("_rid", *{c for ks in key_sets for c in ks}, "ts", "seq", "_st"))
+            s = s.join(open_.groupBy(*ks).agg(F.min(request_order()).alias(f"_first{i}")), list(ks), "left")
+        # A key with a NULL in it is in no group and meets nothing.
+        leads = [F.coalesce(F.col(f"_first{i}") == request_order(), F.lit(True)) for i, _ in enumerate(key_sets)]
+        first = leads[0]
+        for x in leads[1:]:
+            first = first & x
+        won = checkpointed(s.filter(first).select(*open_.columns))
+        accepted = accepted.unionByName(won)
+        rest = open_.join(won.select("_rid"), "_rid", "left_anti")
+        for ks in key_sets:  # whoever shares a key with a winner comes after it
+            rest = rest.join(won.select(*ks).distinct(), list(ks), "left_anti")
+        open_, before = checkpointed(rest.select(*open_.columns)), left
+        left = open_.count()
+        if not left:
+            break
+        if before is not None and before - left < before // ROUND_SHARE:
+            accepted = accepted.unionByName(_walk_components(open_, key_sets))
+            break
     # Every request (eligible or not) is flagged when an accepted request
     # earlier in the batch holds one of its keys, as ``first_in_batch`` does.
-    accepted = state.filter(F.col("_st") == "a")
-    flags = state.select("_rid", *{c for ks in key_sets for c in ks}, "ts", "seq")
-    held = None
+    accepted = checkpointed(accepted)
+    flags, held = base.select("_rid", *keys, "ts", "seq"), F.lit(False)
     for i, ks in enumerate(key_sets):
         first = accepted.groupBy(*ks).agg(F.min(request_order()).alias(f"_fa{i}"))
         flags = flags.join(first, list(ks), "left")
-        h = true_or_false(F.col(f"_fa{i}") < request_order())
-        held = h if held is None else held | h
+        held = held | true_or_false(F.col(f"_fa{i}") < request_order())
     flags = flags.select("_rid", held.alias(flag))
     return base.join(flags, "_rid", "inner").drop("_rid")
 
 
+def _walk_components(open_: DataFrame, key_sets: Sequence[Sequence[str]]) -> DataFrame:
+    """The accepted of ``open_``, by one walk in request order through each component of its conflicts."""
+    from hortus.functions.graph import components
+    from hortus.functions.ordered import fold_by_key
+
+    edges = None
+    for ks in key_sets:  # a star for each key: all that share it are connected through its first request
+        least = open_.groupBy(*ks).agg(F.min("_rid").alias("_to"))
+        star = open_.join(least, list(ks)).select(F.col("_rid").alias("a"), F.col("_to").alias("b"))
+        edges = star if edges is None else edges.unionAll(star)
+    found, _ = components(edges)
+    placed = open_.join(found.withColumnRenamed("id", "_rid"), "_rid", "left").withColumn("_comp", F.coalesce("component", "_rid")).drop("component")
+
+    def walk(batches):
+        comp, taken = None, []
+        for pdf in batches:
+            rows = [list(zip(*[pdf[c].tolist() for c in ks])) for ks in key_sets]
+            keep = []
+            for c, *own in zip(pdf["_comp"].tolist(), *rows):
+                if c != comp:
+                    comp, taken = c, [set() for _ in key_sets]
+                free = all(k not in t for k, t in zip(own, taken))
+                keep.append(free)
+                if free:
+                    for k, t in zip(own, taken):
+                        if not any(v is None or v != v for v in k):
+                            t.add(k)
+            yield pdf[keep]
+
+    return fold_by_key(placed, ["_comp"], ["ts", "seq"], walk, placed.schema).drop("_comp")
+
+
 def missing(*cols: str) -> Column:
     """True when a required request column is NULL (never NULL itself).
 

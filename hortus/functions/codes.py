@@ -49,6 +49,10 @@ REASONS: dict[str, str] = {
     "INVALID": "Value outside its domain",
 }
 
+# Shapes of a personal fiscal code and of a VAT number, anchored at both ends.
+FISCAL_CODE = r"^[A-Za-z]{6}[0-9]{2}[A-Za-z][0-9]{2}[A-Za-z][0-9]{3}[A-Za-z]$"
+VAT_NUMBER = r"^[0-9]{11}$"
+
 NOT_OWNER = "45005"
 MISMATCH_TYPE = "45000"
 BAD_CUSTOMER_CODE = "45001"

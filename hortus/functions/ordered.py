@@ -1,12 +1,8 @@
 """Ordered scans over (key, time) that do not pin a hot key to one task.
 
-``with_neighbour`` is ``lag``/``lead`` over ``partition by key order by time``.
-A plain window would hold every row of a key in one task; here the rows are
-range partitioned on (key, time) and tagged with their partition, so a key
-with a third of the rows spans several partitions.  The window runs over
-(partition, key); the first (last) row of a key in a partition takes its
-neighbour from the adjacent non-empty partition, via a one-row-per-partition
-summary (a proven small size) that is broadcast.  All JVM-side.
+``neighbour`` is ``lag``/``lead`` over ``partition by key order by time``, dealt
+by (key, period) with the edges of the periods stitched from an aggregate.
+``rank_in_key`` counts rows along time within a key over range partitions.
 
 ``fold_by_key`` is the sequential fold for rules that are inherently ordered
 (a stock ledger): rows of a key are streamed in time order through one
@@ -26,7 +22,7 @@ from pyspark.sql import types as T
 from hortus.session import checkpointed
 
 
-def tag_ranges(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+def tag_ranges(df: DataFrame, key: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
     """Range partitioned on (key, order), each row tagged with its partition ``_part``,
     checkpointed.
 
@@ -38,56 +34,53 @@ def tag_ranges(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataF
     """
     cols = [F.col(c) for c in [*key, *order]]
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    # No explicit count: spark.sql.shuffle.partitions ranges, which AQE may merge
+    # Without a count: spark.sql.shuffle.partitions ranges, which AQE may merge
     # (adjacent ranges, so the order holds) when they are small.
-    s = kept.repartitionByRange(*cols).withColumn("_part", F.spark_partition_id())
+    s = (kept.repartitionByRange(parts, *cols) if parts else kept.repartitionByRange(*cols)).withColumn("_part", F.spark_partition_id())
     out = checkpointed(s)
     kept.unpersist(blocking=False)
     return out
 
 
-def neighbour(tagged: DataFrame, key: Sequence[str], order: Sequence[str], values: Sequence[str],
+def neighbour(df: DataFrame, key: str, bucket: str, order: Sequence[str], values: Sequence[str],
               direction: str = "previous", prefix: str | None = None) -> DataFrame:
-    """``lag``/``lead`` of ``values`` by key in ``order`` over rows tagged by ``tag_ranges``
-    (any filter of them keeps the tags valid).
-
-    Inside a range partition it is a window over (``_part``, key), so a hot key
-    is spread over the tasks of its partitions.  The first (last) row of a
-    key in a partition takes its neighbour from the last (first) row of the
-    nearest non-empty partition before (after) it, when that row has the same
-    key: one summary row per partition, broadcast (a proven small size).
+    """Adds ``{prefix}{v}`` for each value column: its value on the previous (or next)
+    row of the same ``key`` in ``order``; NULL at the edge of the key.
+
+    ``bucket`` is any cut of the order (a period of time, say) that every key is
+    dealt by: the window runs over (key, bucket), so a key with a third of the
+    rows spans as many tasks as it has buckets.  The first (last) row of a bucket
+    takes its neighbour from the nearest bucket of the key before (after) it, out of
+    an aggregate with a row for each bucket.  No sampling, no counting, one path for all keys.
     """
     if direction not in ("previous", "next"):
         raise ValueError("direction is 'previous' or 'next'")
-    prefix = prefix or ("prev_" if direction == "previous" else "next_")
-    key, order, values = list(key), list(order), list(values)
-    ordering = F.struct(*[F.col(c) for c in [*key, *order]])
-    carried = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(key)],
-                       *[F.col(c).alias(f"v{i}") for i, c in enumerate(values)])
-    pick = F.max_by if direction == "previous" else F.min_by
-    edges = tagged.groupBy("_part").agg(pick(carried, ordering).alias("_edge"))
-    step = F.lag if direction == "previous" else F.lead
-    inbound = edges.select("_part", step("_edge").over(Window.orderBy("_part")).alias("_in"))  # one row per partition
-    j = tagged.join(F.broadcast(inbound), "_part", "left")
-    w = Window.partitionBy("_part", *key).orderBy(*order)
-    wo = Window.partitionBy("_part", *key).orderBy(*[F.col(c).desc() for c in order])
-    at_edge = F.row_number().over(w if direction == "previous" else wo) == 1
-    same_key = None
-    for i, c in enumerate(key):
-        cond = F.col(f"_in.k{i}") == F.col(c)
-        same_key = cond if same_key is None else same_key & cond
-    same_key = F.coalesce(same_key, F.lit(False))
-    for i, v in enumerate(values):
-        j = j.withColumn(prefix + v, F.when(at_edge, F.when(same_key, F.col(f"_in.v{i}")))
-                         .otherwise(step(v).over(w)))
-    return j.drop("_in")
-
-
-def with_neighbour(df: DataFrame, key: Sequence[str], order: Sequence[str], values: Sequence[str],
-                   direction: str = "previous", prefix: str | None = None) -> DataFrame:
-    """Adds ``{prefix}{v}`` for each value column: the value on the previous (or next)
-    row of the same key in ``order``; NULL at the edge of the key."""
-    return neighbour(tag_ranges(df, key, order), key, order, values, direction, prefix).drop("_part")
+    back = direction == "previous"
+    prefix = prefix or ("prev_" if back else "next_")
+    step, pick = (F.lag, F.max_by) if back else (F.lead, F.min_by)
+    place = F.struct(*[F.col(c) for c in order])
+    edges = df.groupBy(key, bucket).agg(pick(F.struct(*[F.col(v).alias(v) for v in values]), place).alias("_edge"))
+    edges = edges.select(key, bucket, step("_edge").over(Window.partitionBy(key).orderBy(bucket)).alias("_in"))
+    w = Window.partitionBy(key, bucket).orderBy(*order)
+    # A row of its own bucket comes first; a struct, as a neighbour's value may be NULL.
+    inside = df.withColumn("_at", step(F.struct(*[F.col(v).alias(v) for v in values])).over(w))
+    near = F.coalesce(F.col("_at"), F.col("_in"))
+    return (inside.join(edges, [key, bucket], "left")
+            .select(*df.columns, *[near[v].alias(prefix + v) for v in values]))
+
+
+def rank_in_key(df: DataFrame, key: str, order: Sequence[str], out: str) -> DataFrame:
+    """Adds ``out``: 1, 2, 3 ... along ``order`` within each key.
+
+    Rows are counted inside range partitions; what a key has in the partitions
+    before comes from a summary with a row for each partition and key."""
+    tagged = tag_ranges(df, [key], order)
+    local = F.row_number().over(Window.partitionBy("_part", key).orderBy(*order))
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tagged.groupBy("_part", key).agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", key, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return (tagged.withColumn(out, local).join(offsets, ["_part", key])
+            .withColumn(out, (F.col(out) + F.col("_before")).cast("int")).drop("_part", "_before"))
 
 
 def cluster_by_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -99,6 +92,20 @@ def cluster_by_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return df.repartition(*[F.col(c) for c in key])
 
 
+def column_values(s: pd.Series) -> list:
+    """A column as Python values with None for missing ones, converted once per
+    batch (not per value).  Float columns here are integer columns that carried
+    nulls through pandas, so they go back to int."""
+    mask = s.isna().to_numpy()
+    if s.dtype.kind == "f":
+        vals = s.to_numpy()
+        return [None if m else int(v) for v, m in zip(vals.tolist(), mask.tolist())]
+    vals = s.tolist()
+    if mask.any():
+        return [None if m else v for v, m in zip(vals, mask.tolist())]
+    return vals
+
+
 def fold_by_key(df: DataFrame, key: Sequence[str], order: Sequence[str],
                 fold: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
                 schema: T.StructType | str, clustered: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hortus.functions import codes
 from hortus.functions.checks import exists_in, first_failing, first_in_batch, missing, too_long, with_outcome
 from hortus.functions.sequence import max_key, number_in_order
-from hortus.operators.jobs.base import JobResult, Tables
+from hortus.operators.jobs.base import JobResult, Tables, in_sequence
 from hortus.sources.schemas import PRICE
 
 SPECIES_REQUEST_COLS = ("ts", "seq", "nome_comune", "nome_latino", "interni_or_esterni", "colore",
@@ -19,6 +19,7 @@ def _flag_ok(c: str):
     return F.col(c).isin(0, 1)
 
 
+@in_sequence
 def load_species(tables: Tables, requests: DataFrame) -> JobResult:
     """New species with their opening price and, when a colour is given, first colour.
 
@@ -62,6 +63,7 @@ def load_species(tables: Tables, requests: DataFrame) -> JobResult:
     }, outcomes)
 
 
+@in_sequence
 def remove_species(tables: Tables, requests: DataFrame) -> JobResult:
     """Remove species (ts, seq, codice).
 
@@ -76,7 +78,8 @@ def remove_species(tables: Tables, requests: DataFrame) -> JobResult:
             .unionByName(tables["supply_requests"].select(F.col("specie_richiesta").alias("k"))))
     r = exists_in(r, held, [("codice", "k")], "_held")
     r = first_in_batch(r, ["codice"], F.col("_known") & ~F.col("_held"), "_gone")
-    decided = with_outcome(r, first_failing((F.col("_known") & F.col("_held"), codes.SPECIES_IN_USE)),
+    decided = with_outcome(r, first_failing((missing("codice"), codes.INVALID),
+                                            (F.col("_known") & F.col("_held"), codes.SPECIES_IN_USE)),
                            noop=~F.col("_known") | F.col("_gone"))
     removed = decided.filter(F.col("esito") == codes.ACCEPTED).select("codice").distinct()
     out = {
@@ -88,6 +91,7 @@ def remove_species(tables: Tables, requests: DataFrame) -> JobResult:
     return JobResult(out, decided.select("ts", "seq", "codice", "code", "esito", "reason"))
 
 
+@in_sequence
 def add_colourings(tables: Tables, requests: DataFrame) -> JobResult:
     """C4: add colours (ts, seq, specie_fiorita, colore).
 
@@ -110,12 +114,14 @@ def add_colourings(tables: Tables, requests: DataFrame) -> JobResult:
                      decided.select("ts", "seq", "specie_fiorita", "colore", "code", "esito", "reason"))
 
 
+@in_sequence
 def remove_colourings(tables: Tables, requests: DataFrame) -> JobResult:
     """Remove colours (ts, seq, specie_fiorita, colore); a missing colour is a no-op."""
     r = requests.select("ts", "seq", "specie_fiorita", "colore")
     r = exists_in(r, tables["colourings"], [("specie_fiorita", "specie_fiorita"), ("colore", "colore")], "_present")
     r = first_in_batch(r, ["specie_fiorita", "colore"], F.col("_present"), "_gone")
-    decided = with_outcome(r, F.lit(None).cast("string"), noop=~F.col("_present") | F.col("_gone"))
+    decided = with_outcome(r, first_failing((missing("specie_fiorita", "colore"), codes.INVALID)),
+                           noop=~F.col("_present") | F.col("_gone"))
     removed = decided.filter(F.col("esito") == codes.ACCEPTED).select("specie_fiorita", "colore").distinct()
     return JobResult({"colourings": tables["colourings"].join(removed, ["specie_fiorita", "colore"], "left_anti")},
                      decided.select("ts", "seq", "specie_fiorita", "colore", "code", "esito", "reason"))

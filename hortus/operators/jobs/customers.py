@@ -7,14 +7,11 @@ from pyspark.sql import functions as F
 
 from hortus.functions import codes
 from hortus.functions.checks import exists_in, first_failing, first_in_batch, missing, request_order, too_long, with_outcome
-from hortus.operators.jobs.base import JobResult, Tables
+from hortus.operators.jobs.base import JobResult, Tables, in_sequence
 from hortus.sources.schemas import CONTACT_TYPES
 
-# Shapes of the two customer codes, anchored at both ends
-# (a personal fiscal code for private customers, an 11-digit VAT number for
-# retailers).
-PRIVATE_CODE = r"^[A-Za-z]{6}[0-9]{2}[A-Za-z][0-9]{2}[A-Za-z][0-9]{3}[A-Za-z]$"
-RETAIL_CODE = r"^[0-9]{11}$"
+PRIVATE_CODE = codes.FISCAL_CODE
+RETAIL_CODE = codes.VAT_NUMBER
 
 CUSTOMER_REQUEST_COLS = ("ts", "seq", "codice", "nome", "residenza", "fatturazione")
 RETAIL_REQUEST_COLS = (*CUSTOMER_REQUEST_COLS, "nome_ref", "cognome_ref")
@@ -47,6 +44,7 @@ def _register(tables: Tables, r: DataFrame, private: int) -> tuple[DataFrame, Da
     return decided, new
 
 
+@in_sequence
 def load_private_customers(tables: Tables, requests: DataFrame) -> JobResult:
     """Private customers; the code is upper-cased, must be a personal fiscal code
     (an 11-digit code is 45000, anything else 45001); already registered 45011."""
@@ -56,6 +54,7 @@ def load_private_customers(tables: Tables, requests: DataFrame) -> JobResult:
                      decided.select(*CUSTOMER_REQUEST_COLS, "code", "esito", "reason"))
 
 
+@in_sequence
 def load_retail_customers(tables: Tables, requests: DataFrame) -> JobResult:
     """Retailers with their referent; the code must have 11 digits (a fiscal code
     is 45000, anything else 45001); already registered 45011."""
@@ -69,6 +68,7 @@ def load_retail_customers(tables: Tables, requests: DataFrame) -> JobResult:
                      decided.select(*RETAIL_REQUEST_COLS, "code", "esito", "reason"))
 
 
+@in_sequence
 def update_addresses(tables: Tables, requests: DataFrame) -> JobResult:
     """Residence or billing address changes (ts, seq, cliente, tipo in
     {'residenza', 'fatturazione'}, indirizzo).
@@ -106,6 +106,7 @@ _OWNERS = {
 }
 
 
+@in_sequence
 def add_contacts(tables: Tables, requests: DataFrame, kind: str = "customer") -> JobResult:
     """New contacts (ts, seq, owner, contatto, tipo) of customers or referents.
 
@@ -134,6 +135,7 @@ def add_contacts(tables: Tables, requests: DataFrame, kind: str = "customer") ->
     }, decided.select("ts", "seq", "owner", "contatto", "tipo", "code", "esito", "reason"))
 
 
+@in_sequence
 def remove_contacts(tables: Tables, requests: DataFrame, kind: str = "customer") -> JobResult:
     """Remove contacts (ts, seq, owner, contatto).
 
@@ -146,7 +148,8 @@ def remove_contacts(tables: Tables, requests: DataFrame, kind: str = "customer")
     r = exists_in(r, tables[own_table], [("owner", own_col), ("contatto", "contatto")], "_owned")
     r = exists_in(r, tables["orders"], [("contatto", "contatto")], "_used")
     r = first_in_batch(r, ["contatto"], F.col("_owned") & ~F.col("_used"), "_gone")
-    code = first_failing((~F.col("_owned") | F.col("_gone"), codes.CONTACT_NOT_OWNED),
+    code = first_failing((missing("owner", "contatto"), codes.INVALID),
+                         (~F.col("_owned") | F.col("_gone"), codes.CONTACT_NOT_OWNED),
                          (F.col("_used"), codes.CONTACT_IN_USE))
     decided = with_outcome(r, code)
     gone = decided.filter(F.col("code").isNull()).select(F.col("contatto").alias("_c")).distinct()
@@ -165,6 +168,7 @@ def remove_contacts(tables: Tables, requests: DataFrame, kind: str = "customer")
     }, decided.select("ts", "seq", "owner", "contatto", "code", "esito", "reason"))
 
 
+@in_sequence
 def set_preferred_contacts(tables: Tables, requests: DataFrame, kind: str = "customer") -> JobResult:
     """C11: set the preferred contact (ts, seq, owner, contatto; NULL clears it).
 
@@ -179,7 +183,8 @@ def set_preferred_contacts(tables: Tables, requests: DataFrame, kind: str = "cus
     r = exists_in(r, tables[own_table], [("owner", own_col), ("contatto", "contatto")], "_owned")
     code = first_failing((F.col("contatto").isNotNull() & ~F.col("_exists"), codes.CONTACT_UNKNOWN),
                          (F.col("contatto").isNotNull() & ~F.col("_owned"), codes.CONTACT_NOT_OWNED))
-    decided = with_outcome(r.withColumn("_c", code), F.when(F.col("_known"), F.col("_c")), noop=~F.col("_known"))
+    decided = with_outcome(r.withColumn("_c", code), F.when(missing("owner"), F.lit(codes.INVALID)).when(F.col("_known"), F.col("_c")),
+                           noop=~F.col("_known"))
     ok = decided.filter(F.col("esito") == codes.ACCEPTED)
     latest = ok.groupBy("owner").agg(F.max_by(F.struct(F.col("contatto").alias("v")), request_order()).alias("_new"))
     t = tables[owner_table]

@@ -7,7 +7,9 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from hortus.functions import codes
-from hortus.operators.jobs.base import JobResult, Tables
+from hortus.operators.jobs.base import JobResult, Tables, years_of
+from hortus.operators.totals import count
+from hortus.sources.snapshots import in_years
 
 RETENTION_YEARS = 2
 
@@ -44,7 +46,7 @@ def apply_restock(tables: Tables, now: dt.datetime) -> JobResult:
         "esito", F.lit(codes.ACCEPTED)).withColumn("code", F.lit(None).cast("string")).withColumn(
         "reason", F.lit(None).cast("string"))
     return JobResult({"species": new_species, "supply_requests": new_requests}, outcomes,
-                     {"added": added.withColumnRenamed("_added", "aggiunta")})
+                     {"added": added.withColumnRenamed("_added", "aggiunta")}, {"supply_requests": years_of(delivered, "data")})
 
 
 def apply_retention(tables: Tables, now: dt.datetime, years: int = RETENTION_YEARS) -> JobResult:
@@ -52,12 +54,19 @@ def apply_retention(tables: Tables, now: dt.datetime, years: int = RETENTION_YEA
     and prices closed before that; open prices stay whatever their age.
 
     An order's lines, packs and pack contents go with it (cascade as an
-    anti join on the deleted order ids).  No stock is given back.
+    anti join on the deleted order ids).  No stock is given back.  In a store kept
+    by year the later years are neither read for this nor written.
     """
-    cutoff = _ts(years_before(now, years))
+    last = years_before(now, years)
+    cutoff = _ts(last)
     orders = tables["orders"]
     kept_orders = orders.filter(F.col("data") >= cutoff)
-    gone = orders.filter(F.col("data") < cutoff).select(F.col("id").alias("ordine"))
+    # Only the years up to the cutoff's are read for what goes, and written again.
+    old = in_years(tables, "orders", None, last.year).filter(F.col("data") < cutoff)
+    gone = old.select(F.col("id").alias("ordine"))
+    past = {"orders": years_of(old, "data"),
+            "supply_requests": years_of(in_years(tables, "supply_requests", None, last.year).filter(F.col("data") < cutoff), "data")}
+    past |= {t: past["orders"] for t in ("order_lines", "packs", "pack_contents")}
     out = {
         "orders": kept_orders,
         "order_lines": tables["order_lines"].join(gone, "ordine", "left_anti"),
@@ -68,4 +77,10 @@ def apply_retention(tables: Tables, now: dt.datetime, years: int = RETENTION_YEA
     }
     outcomes = gone.withColumn("esito", F.lit(codes.ACCEPTED)).withColumn(
         "code", F.lit(None).cast("string")).withColumn("reason", F.lit(None).cast("string"))
-    return JobResult(out, outcomes)
+    # What goes is taken off the totals; those of an order go with it, by as much as they are.
+    lapsed = in_years(tables, "supply_requests", None, last.year).filter(F.col("data") < cutoff)
+    changes = {"request_totals": count(lapsed, "request_totals", -1)}
+    for name in ("ordered_totals", "packed_totals"):
+        if name in tables:
+            changes[name] = tables[name].join(gone, "ordine", "left_semi").withColumns({"somma": -F.col("somma"), "righe": -F.col("righe")})
+    return JobResult(out, outcomes, years=past, changes=changes)

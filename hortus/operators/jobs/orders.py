@@ -3,12 +3,10 @@
 The stock check is order dependent: a refused line takes no stock, so later
 lines see more.  A running sum would count refused lines, so the decisions
 are a sequential fold per species in (time, sequence) order
-(``fold_by_key``): the fold streams the species' requests batch by batch and
-keeps the stock plus the current quantity of the lines touched in the batch.
-A line's entry is dropped after its last request in the batch, so the state
-holds only lines with requests still to come.  Different species run in
-parallel; a species with very many requests takes the speculative path
-(``_speculative``), parallel up to its first stock-out.
+(``fold_by_key``): the fold streams the requests batch by batch and keeps the
+stock plus the current quantity of the lines touched.  Different species run
+in parallel, and so do the ranges of a species with very many requests:
+no fold is longer than a range (``_in_ranges``).
 
 Everything that does not depend on the stock (owner, order status, existing
 line, contact rules) is decided set-wise with joins before the fold.
@@ -27,10 +25,11 @@ from pyspark.sql import types as T
 from hortus.functions import codes
 from hortus.functions.checks import first_failing, missing, request_order, too_long, with_outcome
 from hortus.functions.columns import true_or_false
-from hortus.functions.ordered import cluster_by_key, fold_by_key, tag_ranges
+from hortus.functions.ordered import cluster_by_key, column_values, fold_by_key, tag_ranges
 from hortus.functions.sequence import max_key, number_in_order
-from hortus.operators.jobs.base import JobResult, Tables
+from hortus.operators.jobs.base import JobResult, Tables, in_sequence, unsequenced, with_refused, years_of, years_of_orders
 from hortus.operators.orders import owner_check
+from hortus.operators.totals import count
 from hortus.session import checkpointed
 
 OPS = ("ADD", "CHANGE", "REMOVE")
@@ -39,94 +38,79 @@ LINE_CHANGE_COLS = ("ts", "seq", "op", "cliente", "ordine", "specie_di_pianta",
 NEW_ORDER_COLS = ("ts", "seq", "cliente", "indirizzo_spedizione", "contatto", "specie_di_pianta", "quantita")
 FINALIZE_COLS = ("ts", "seq", "cliente", "ordine")
 
-_FOLD_IN = ["op", "ordine", "specie_di_pianta", "quantita", "pre_code", "is_final", "q0", "stock0",
-            "last_for_key"]
+_FOLD_IN = ["specie_di_pianta", "_range", "op", "ordine", "quantita", "pre_code", "is_final", "q0", "stock0"]
 FOLD_RESULTS = [
     T.StructField("fold_code", T.StringType()), T.StructField("noop", T.BooleanType()),
     T.StructField("stock_delta", T.IntegerType()), T.StructField("new_qty", T.IntegerType()),
-    T.StructField("stock_after", T.IntegerType()),
+    T.StructField("stock_after", T.IntegerType()), T.StructField("need", T.IntegerType()),
 ]
 
 
-def column_values(s: pd.Series) -> list:
-    """A column as Python values with None for missing ones, converted once per
-    batch (not per value).  Float columns here are integer columns that carried
-    nulls through pandas, so they go back to int."""
-    mask = s.isna().to_numpy()
-    if s.dtype.kind == "f":
-        vals = s.to_numpy()
-        return [None if m else int(v) for v, m in zip(vals.tolist(), mask.tolist())]
-    vals = s.tolist()
-    if mask.any():
-        return [None if m else v for v, m in zip(vals, mask.tolist())]
-    return vals
-
-
 def ledger_step(op: str, q, cur, stock, final: bool, pre):
-    """One request against the ledger: returns (code, noop, stock_delta, new_quantity).
+    """One request against the ledger: returns (code, noop, stock_delta, new_quantity, need).
 
     Check order (as the procedure and its triggers run them): set-wise code
     first (owner 45005 ...); an insert: stock 45006, finalized 45007, line
     already present 45008, unknown species 45014; a change: absent line is a
     no-op, stock for the increase 45006, finalized 45007; a removal: absent
     line is a no-op, finalized 45007.  ``stock`` is None for an unknown species.
+    ``need`` is what the stock check compares with the stock, None without one.
     """
     if pre is not None:
-        return pre, False, 0, None
+        return pre, False, 0, None, None
     if op in (OPEN, "ADD"):
         q = int(q)
+        need = None if stock is None else q
         if stock is not None and q > stock:
-            return codes.ABOVE_STOCK, False, 0, None
+            return codes.ABOVE_STOCK, False, 0, None, need
         if final:
-            return codes.ORDER_FINALIZED, False, 0, None
+            return codes.ORDER_FINALIZED, False, 0, None, need
         if cur is not None:
-            return codes.ALREADY_IN_ORDER, False, 0, None
+            return codes.ALREADY_IN_ORDER, False, 0, None, need
         if stock is None:
-            return codes.UNKNOWN_SPECIES, False, 0, None
-        return None, False, q, q
+            return codes.UNKNOWN_SPECIES, False, 0, None, need
+        return None, False, q, q, need
     if op == "CHANGE":
         if cur is None:
-            return None, True, 0, None
+            return None, True, 0, None, None
         d = int(q) - int(cur)
+        need = None if stock is None else d
         if stock is not None and d > stock:
-            return codes.ABOVE_STOCK, False, 0, None
+            return codes.ABOVE_STOCK, False, 0, None, need
         if final:
-            return codes.ORDER_FINALIZED, False, 0, None
-        return None, False, d, int(q)
+            return codes.ORDER_FINALIZED, False, 0, None, need
+        return None, False, d, int(q), need
     if op != "REMOVE":
-        return codes.INVALID, False, 0, None
+        return codes.INVALID, False, 0, None, None
     if cur is None:
-        return None, True, 0, None
+        return None, True, 0, None, None
     if final:
-        return codes.ORDER_FINALIZED, False, 0, None
-    return None, False, -int(cur), None
+        return codes.ORDER_FINALIZED, False, 0, None, None
+    return None, False, -int(cur), None, None
 
 
 def stock_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The ledger over each species' requests, streamed in (time, sequence) order."""
-    species = object()
-    stock = None
-    lines: dict = {}
+    """The ledger over the requests of each (species, range), streamed in (time, sequence) order."""
+    run, stock, lines = None, None, {}
     for pdf in batches:
         out = {f.name: [] for f in FOLD_RESULTS}
         cols = [column_values(pdf[c]) for c in _FOLD_IN]
-        for op, ordine, sp, q, pre, final, q0, stock0, last in zip(*cols):
-            if sp != species:
-                species, stock, lines = sp, (None if stock0 is None else int(stock0)), {}
+        for sp, part, op, ordine, q, pre, final, q0, stock0 in zip(*cols):
+            if (sp, part) != run:
+                run, stock, lines = (sp, part), (None if stock0 is None else int(stock0)), {}
             cur = lines.get(ordine, q0) if op != OPEN else None
-            code, noop, delta, new_qty = ledger_step(op, q, cur, stock, bool(final), pre)
+            code, noop, delta, new_qty, need = ledger_step(op, q, cur, stock, bool(final), pre)
             accepted = code is None and not noop
             if accepted:
                 stock = stock - delta
                 if op != OPEN:
                     lines[ordine] = new_qty
-            if op != OPEN and bool(last):
-                lines.pop(ordine, None)
             out["fold_code"].append(code)
             out["noop"].append(noop)
             out["stock_delta"].append(delta if accepted else 0)
             out["new_qty"].append(new_qty if accepted else None)
             out["stock_after"].append(stock)
+            out["need"].append(need)
         yield pdf.assign(**out)
 
 
@@ -138,129 +122,118 @@ def _finalized_at(tables: Tables, finalizations: DataFrame | None) -> DataFrame
     return f.groupBy("ordine").agg(F.min(request_order()).alias("_finalized_at"))
 
 
-HOT_SPECIES_ROWS = 1_000_000
-_INF = float("inf")
-U_RESULTS = [
-    T.StructField("u_code", T.StringType()), T.StructField("u_noop", T.BooleanType()),
-    T.StructField("u_delta", T.IntegerType()), T.StructField("u_new_qty", T.IntegerType()),
-    T.StructField("cur_before", T.IntegerType()),
-]
-_U_IN = ["op", "_line_key", "specie_di_pianta", "quantita", "pre_code", "is_final", "q0", "stock0"]
+#: Most requests of a species that one fold goes through.
+RANGE_ROWS = 1_000_000
+_KEY = ["specie_di_pianta", "_range"]
 
 
-def unlimited_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The ledger of one order line (order, species) with unlimited stock: what each
-    request would do if the stock never ran out, and the line before it."""
-    line_key = object()
-    cur = None
-    for pdf in batches:
-        out = {f.name: [] for f in U_RESULTS}
-        for op, lk, sp, q, pre, final, q0, stock0 in zip(*[column_values(pdf[c]) for c in _U_IN]):
-            if (lk, sp) != line_key:
-                line_key, cur = (lk, sp), q0
-            if op == OPEN:  # a new order's first line: no line before it
-                cur = None
-            code, noop, delta, new_qty = ledger_step(op, q, cur, None if stock0 is None else _INF, bool(final), pre)
-            out["cur_before"].append(cur)
-            accepted = code is None and not noop
-            if accepted and op != OPEN:
-                cur = new_qty
-            out["u_code"].append(code)
-            out["u_noop"].append(noop)
-            out["u_delta"].append(delta if accepted else 0)
-            out["u_new_qty"].append(new_qty if accepted else None)
-        yield pdf.assign(**out)
+def _fold(rows: DataFrame, schema: T.StructType, clustered: bool = False) -> DataFrame:
+    return fold_by_key(rows.select(*[f.name for f in schema.fields if f not in FOLD_RESULTS]), _KEY, ["ts", "seq"],
+                       stock_fold, schema, clustered)
+
 
+def _stock_chain(ranges: pd.DataFrame) -> pd.DataFrame:
+    """The incoming stock of each range of one species, in order, from its last runs.
 
-def _speculative(r: DataFrame, schema: T.StructType) -> DataFrame:
-    """The ledger for hot species without one task per species where the stock lasts.
-
-    1. Each order line's requests with unlimited stock (a fold per (order,
-       species): a hot species is spread over many tasks).
-    2. Stock before each request = initial stock - accepted deltas so far: a
-       prefix sum per species over range-tagged rows (a hot species spans
-       several partitions; per-partition totals give the offsets).
-    3. Up to the first request that unlimited stock accepts but the real stock
-       refuses, the real ledger makes the same state changes; requests there
-       whose stock need exceeds the stock get 45006 (the stock check comes
-       first), the rest keep their decision.
-    4. From that request on, the species goes through the sequential fold,
-       starting from the stock and order lines reached just before it.
+    A run says what a range does to any incoming stock from ``lo`` to below
+    ``hi``: every stock check ends as it did, so the stock moves by the same
+    amount.  Outside it the run does not hold; its outgoing stock is then the guess
+    for the next range, as ledgers that run out come together soon."""
+    ranges = ranges.sort_values("_range")
+    stock, est, holds = None, [], []
+    for i, (start, used, moved, lo, hi) in enumerate(zip(*(column_values(ranges[c]) for c in ("start", "used", "moved", "lo", "hi")))):
+        stock = start if i == 0 else stock
+        ok = stock is None or (lo is None or stock >= lo) and (hi is None or stock < hi)
+        est.append(stock)
+        holds.append(ok)
+        stock = None if stock is None else (stock if ok else used) - moved
+    return ranges[_KEY].assign(est=est, holds=holds)
+
+
+def _in_ranges(rows: DataFrame, schema: T.StructType, range_rows: int) -> DataFrame:
+    """The ledger of species with many requests, each cut into ranges of its (time, sequence) order.
+
+    All ranges are folded at once, each from an assumed incoming stock and assumed
+    quantities of the lines that earlier ranges touch too.  What the runs did
+    is then chained (``_stock_chain``), and lines are passed on to the next range that
+    touches them.  A range whose stock falls outside what its run holds for, or
+    whose lines came out otherwise than assumed, is folded again from the
+    chained state; the others stand, shifted by the difference in stock.  The
+    first range that does not stand is right after the next round, so the
+    rounds end, and with all standing every decision is the sequential one.
     """
-    # An order line is (order, species); each new order's first line is its own line.
-    r = r.withColumn("_line_key", F.when(F.col("op") == OPEN, -F.col("seq") - 1)
-                     .otherwise(F.col("ordine").cast("long")))
-    u_schema = T.StructType([*r.schema.fields, *U_RESULTS])
-    u = fold_by_key(r, ["_line_key", "specie_di_pianta"], ["ts", "seq"], unlimited_fold, u_schema)
-    u = u.withColumn("_u_acc", F.col("u_code").isNull() & ~F.col("u_noop")).withColumn(
-        "_need", F.when(F.col("pre_code").isNull() & F.col("op").isin(OPEN, "ADD"), F.col("quantita"))
-                  .when(F.col("pre_code").isNull() & (F.col("op") == "CHANGE") & F.col("cur_before").isNotNull(),
-                        F.col("quantita") - F.col("cur_before")))
-    tagged = tag_ranges(u, ["specie_di_pianta"], ["ts", "seq"])
-    w_in = Window.partitionBy("_part", "specie_di_pianta").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    totals = tagged.groupBy("_part", "specie_di_pianta").agg(F.sum("u_delta").alias("_tot"))
-    offsets = totals.select("_part", "specie_di_pianta", F.coalesce(F.sum("_tot").over(
-        Window.partitionBy("specie_di_pianta").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_off"))
-    t = (tagged.join(F.broadcast(offsets), ["_part", "specie_di_pianta"], "left")  # one row per (partition, species)
-               .withColumn("_stock", F.col("stock0") - F.col("_off") - F.coalesce(F.sum("u_delta").over(w_in), F.lit(0)))
-               .withColumn("_short", true_or_false(F.col("_need") > F.col("_stock"))))
-    first = (t.filter(F.col("_short") & F.col("_u_acc")).groupBy("specie_di_pianta")
-              .agg(F.min(request_order()).alias("_diverge")))
-    t = t.join(F.broadcast(first), "specie_di_pianta", "left")  # one row per hot species
-    before = F.col("_diverge").isNull() | (request_order() < F.col("_diverge"))
-    base_cols = [f.name for f in schema.fields if f.name not in {x.name for x in FOLD_RESULTS}]
-    prefix = t.filter(before)
-    prefix_out = prefix.select(
-        *base_cols,
-        F.when(F.col("_short"), F.lit(codes.ABOVE_STOCK)).otherwise(F.col("u_code")).alias("fold_code"),
-        (F.col("u_noop") & ~F.col("_short")).alias("noop"),
-        F.when(F.col("_u_acc"), F.col("u_delta")).otherwise(F.lit(0)).cast("int").alias("stock_delta"),
-        F.col("u_new_qty").alias("new_qty"),
-        (F.col("_stock") - F.when(F.col("_u_acc"), F.col("u_delta")).otherwise(F.lit(0))).cast("int").alias("stock_after"))
-    # Where the real ledger parts from the unlimited one: restart the sequential fold
-    # from the stock and the order lines reached just before that request.
-    start = t.filter(request_order() == F.col("_diverge")).select("specie_di_pianta", F.col("_stock").alias("_start"))
-    lines_before = (prefix.filter(F.col("_u_acc")).groupBy("ordine", "specie_di_pianta")
-                    .agg(F.max_by(F.struct(F.col("u_new_qty").alias("q")), request_order()).alias("_line")))
-    suffix = (t.filter(~before).select(*base_cols)
-               .join(F.broadcast(start), "specie_di_pianta", "left")
-               .join(lines_before, ["ordine", "specie_di_pianta"], "left")
-               .withColumn("stock0", F.col("_start").cast("int"))
-               .withColumn("q0", F.when(F.col("_line").isNotNull(), F.col("_line.q")).otherwise(F.col("q0")))
-               .select(*base_cols))
-    suffix_out = fold_by_key(suffix, ["specie_di_pianta"], ["ts", "seq"], stock_fold, schema)
-    return prefix_out.unionByName(suffix_out)
-
-
-def _run_fold(tables: Tables, req: DataFrame, hot_rows: int = HOT_SPECIES_ROWS) -> DataFrame:
-    """``req`` has the fold inputs except stock0 / last_for_key; returns req + fold results.
-
-    Every request column passes through the fold, so no join back is needed.
-    Species with more than ``hot_rows`` requests in the batch take the
-    speculative path (``_speculative``); the others are folded per species.
+    n = rows.count()
+    tagged = tag_ranges(rows, ["specie_di_pianta"], ["ts", "seq"], -(-n // range_rows)).withColumnRenamed("_part", "_range")
+    by_line = Window.partitionBy("specie_di_pianta", "ordine")
+    touched = tagged.filter(F.col("ordine").isNotNull()).groupBy(*_KEY, "ordine").agg(F.first("q0").alias("q_first"))
+    passing = checkpointed(touched.withColumn("_n", F.count(F.lit(1)).over(by_line)).filter("_n > 1").drop("_n"))
+    assumed = passing.withColumn("q_in", F.col("q_first"))  # of a line at the beginning of a range
+    starts = checkpointed(tagged.groupBy(*_KEY).agg(F.first("stock0").alias("start")))
+    stocks = starts.withColumnRenamed("start", "used")
+    latest, outs, runs, todo = None, None, [], starts.select(*_KEY)
+    while True:
+        state = (tagged.join(todo, _KEY, "left_semi").drop("stock0").join(stocks, _KEY)
+                 .join(assumed.select(*_KEY, "ordine", "q_in", F.lit(True).alias("_passed")), [*_KEY, "ordine"], "left")
+                 .withColumn("q0", F.when(F.col("_passed"), F.col("q_in")).otherwise(F.col("q0"))).withColumnRenamed("used", "stock0"))
+        done = checkpointed(_fold(state, schema))
+        runs.append(done.withColumn("_run", F.lit(len(runs))))
+        before = F.col("stock_after") + F.col("stock_delta")
+        refused = true_or_false(F.col("fold_code") == codes.ABOVE_STOCK)
+        # The stock may be less by the least that a passed check left over, and more by less than a refused one lacked.
+        summary = done.groupBy(*_KEY).agg(
+            F.first("stock0").alias("used"), F.sum("stock_delta").alias("moved"),
+            (F.first("stock0") - F.min(F.when(~refused, before - F.col("need")))).alias("lo"),
+            (F.first("stock0") + F.min(F.when(refused, F.col("need") - before))).alias("hi")).withColumn("_run", F.lit(len(runs) - 1))
+        left = (done.filter(F.col("fold_code").isNull() & ~F.col("noop") & (F.col("op") != OPEN)).groupBy(*_KEY, "ordine")
+                .agg(F.max_by(F.struct(F.col("new_qty").alias("q")), request_order()).alias("out"))
+                .join(passing.select(*_KEY, "ordine"), [*_KEY, "ordine"], "left_semi"))
+        if latest is not None:
+            summary = latest.join(todo, _KEY, "left_anti").unionByName(summary)
+            left = outs.join(todo, _KEY, "left_anti").unionByName(left)
+        latest, outs = checkpointed(summary), checkpointed(left)
+        chain = checkpointed(latest.join(starts, _KEY).groupBy("specie_di_pianta").applyInPandas(
+            _stock_chain, "specie_di_pianta int, _range int, est long, holds boolean"))
+        earlier = by_line.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        handed = (passing.join(outs, [*_KEY, "ordine"], "left")
+                  .withColumn("_got", F.last("out", ignorenulls=True).over(earlier))
+                  .select(*_KEY, "ordine", "q_first", F.when(F.col("_got").isNotNull(), F.col("_got.q")).otherwise(F.col("q_first")).alias("q_in")))
+        handed = checkpointed(handed)
+        others = (handed.join(assumed.select(*_KEY, "ordine", F.col("q_in").alias("_was")), [*_KEY, "ordine"])
+                  .filter(~F.col("q_in").eqNullSafe(F.col("_was"))).select(*_KEY))
+        todo = checkpointed(chain.filter(~F.col("holds")).select(*_KEY).unionByName(others).distinct())
+        if todo.isEmpty():
+            break
+        assumed, stocks = handed, chain.select(*_KEY, F.col("est").cast("int").alias("used"))
+    every = runs[0]
+    for more in runs[1:]:
+        every = every.unionByName(more)
+    shift = F.col("est") - F.col("used")
+    return (every.join(latest.select(*_KEY, "_run", "used"), [*_KEY, "_run"]).join(chain.select(*_KEY, "est"), _KEY)
+            .withColumn("stock_after", (F.col("stock_after") + shift).cast("int")).select(*schema.fieldNames()))
+
+
+def _run_fold(tables: Tables, req: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``req`` has the fold inputs except stock0; returns req + fold results.
+
+    Every request column passes through the fold, so no join back is needed.  A
+    species with more than ``range_rows`` requests in the batch is folded in ranges.
     """
     sp = tables["species"].select(F.col("codice").alias("specie_di_pianta"), F.col("giacenza").alias("stock0"))
-    last = (req.filter(F.col("ordine").isNotNull()).groupBy("ordine", "specie_di_pianta")
-               .agg(F.max(request_order()).alias("_last")))
-    r = (req.join(last, ["ordine", "specie_di_pianta"], "left")
-            .withColumn("last_for_key", true_or_false(request_order() == F.col("_last"))).drop("_last"))
     # One shuffle by species serves both the stock join and the fold.
-    r = cluster_by_key(r, ["specie_di_pianta"]).join(sp, "specie_di_pianta", "left")
+    r = cluster_by_key(req, ["specie_di_pianta"]).join(sp, "specie_di_pianta", "left").withColumn("_range", F.lit(0))
     schema = T.StructType([*r.schema.fields, *FOLD_RESULTS])
     # Persisted while the species are counted, so the batch is computed once.
     r = r.persist(StorageLevel.MEMORY_AND_DISK)
-    hot = [row[0] for row in r.groupBy("specie_di_pianta").count()
-           .filter(F.col("count") > hot_rows).select("specie_di_pianta").collect()]  # at most rows / hot_rows
-    if not hot:
+    # A request without a species is refused before the ledger matters and never splits.
+    many = (r.filter(F.col("specie_di_pianta").isNotNull()).groupBy("specie_di_pianta").count()
+            .filter(F.col("count") > range_rows).select("specie_di_pianta"))
+    if many.isEmpty():
         # Checkpointed: the decisions feed several outputs and must not be re-run.
-        out = checkpointed(fold_by_key(r, ["specie_di_pianta"], ["ts", "seq"], stock_fold, schema, clustered=True))
+        out = checkpointed(_fold(r, schema, clustered=True))
     else:
-        # A null species is never hot: it is refused before the ledger matters.
-        is_hot = true_or_false(F.col("specie_di_pianta").isin([h for h in hot if h is not None]))
-        normal = fold_by_key(r.filter(~is_hot), ["specie_di_pianta"], ["ts", "seq"], stock_fold, schema,
-                             clustered=True)
-        out = checkpointed(normal.unionByName(_speculative(r.filter(is_hot), schema)))
+        few = _fold(r.join(many, "specie_di_pianta", "left_anti"), schema, clustered=True)
+        split = _in_ranges(r.join(many, "specie_di_pianta", "left_semi").drop("_range"), schema, range_rows)
+        out = checkpointed(few.unionByName(split))
     r.unpersist(blocking=False)
     return out
 
@@ -286,15 +259,17 @@ def _line_results(tables: Tables, decided: DataFrame) -> tuple[DataFrame, DataFr
     return new_species, new_lines, emptied
 
 
+@in_sequence
 def apply_order_line_changes(tables: Tables, changes: DataFrame, finalizations: DataFrame | None = None,
-                             hot_rows: int = HOT_SPECIES_ROWS) -> JobResult:
+                             range_rows: int = RANGE_ROWS) -> JobResult:
     """Add / change / remove order lines in time order against the stock.
 
     ``changes``: ts, seq, op (ADD, CHANGE, REMOVE), cliente, ordine,
     specie_di_pianta, quantita (NULL for REMOVE).  ``finalizations`` (C14
     requests of the same batch) make an order finalized from their time on;
     the new ``orders`` carry that status and ``extra["finalizations"]`` their
-    outcomes.  A NULL in a required column is ``INVALID`` and changes nothing.
+    outcomes.  A NULL in a required column is ``INVALID`` and changes nothing; of
+    requests with equal (ts, seq) all but one are ``DUPLICATE``.
 
     Returns the new ``species`` (stock), ``order_lines`` and ``orders`` (an
     order whose last line is removed is deleted at the end of the batch), and
@@ -303,7 +278,8 @@ def apply_order_line_changes(tables: Tables, changes: DataFrame, finalizations:
     o = tables["orders"].select(F.col("id").alias("ordine"), F.col("cliente").alias("_owner"),
                                 F.col("aperto_or_finalizzato").alias("_status"))
     r = changes.select(*LINE_CHANGE_COLS).join(o, "ordine", "left")
-    fin = _finalized_at(tables, finalizations)
+    fit, unfit = (None, None) if finalizations is None else unsequenced(finalizations.select(*FINALIZE_COLS))
+    fin = _finalized_at(tables, fit)
     is_final = F.col("_status") == 0
     if fin is not None:
         r = r.join(fin, "ordine", "left")
@@ -316,19 +292,29 @@ def apply_order_line_changes(tables: Tables, changes: DataFrame, finalizations:
               ((F.col("op") != "REMOVE") & (F.col("quantita").isNull() | (F.col("quantita") < 0)), codes.INVALID)))
           .select(*LINE_CHANGE_COLS, "is_final", "pre_code")
           .join(q0, ["ordine", "specie_di_pianta"], "left"))
-    decided = _run_fold(tables, r, hot_rows)
+    decided = _run_fold(tables, r, range_rows)
     new_species, new_lines, emptied = _line_results(tables, decided)
     orders, extra = tables["orders"], {"emptied_orders": emptied}
     if finalizations is not None:
-        finalized = finalize_orders(tables, finalizations)
+        finalized = with_refused(_finalize(tables, fit), unfit)
         orders, extra["finalizations"] = finalized.tables["orders"], finalized.outcomes
     new_orders = orders.join(emptied.withColumnRenamed("ordine", "id"), "id", "left_anti")
     outcomes = with_outcome(decided.select(*LINE_CHANGE_COLS, "fold_code", "noop", "stock_after"),
                             F.col("fold_code"), noop=F.col("noop")).drop("fold_code", "noop")
-    return JobResult({"species": new_species, "order_lines": new_lines, "orders": new_orders}, outcomes, extra)
+    changed = decided.filter(F.col("fold_code").isNull() & ~F.col("noop"))
+    years = {"order_lines": years_of_orders(tables["orders"], changed)}
+    years["orders"] = years_of_orders(tables["orders"], emptied)
+    if finalizations is not None:
+        years["orders"] = years["orders"].unionByName(years_of_orders(tables["orders"], extra["finalizations"].filter("code is null")))
+    # The stock that a line takes is what its order's total gains.
+    rows = F.when(F.col("op") == "ADD", 1).when(F.col("op") == "REMOVE", -1).otherwise(0)
+    gained = changed.groupBy("ordine").agg(F.sum("stock_delta").alias("somma"), F.sum(rows).alias("righe"))
+    return JobResult({"species": new_species, "order_lines": new_lines, "orders": new_orders}, outcomes, extra, years,
+                     {"ordered_totals": gained})
 
 
-def open_orders(tables: Tables, requests: DataFrame, hot_rows: int = HOT_SPECIES_ROWS) -> JobResult:
+@in_sequence
+def open_orders(tables: Tables, requests: DataFrame, range_rows: int = RANGE_ROWS) -> JobResult:
     """New orders, each with its first line, all or nothing.
 
     Shipping defaults to the residence; the contact defaults to the preferred
@@ -338,7 +324,7 @@ def open_orders(tables: Tables, requests: DataFrame, hot_rows: int = HOT_SPECIES
     ``max(id) + 1, 2 ...`` in request order.
     """
     c = tables["customers"].select(F.col("codice").alias("cliente"), F.col("indirizzo_residenza").alias("_res"),
-                                   F.col("contatto_preferito").alias("_pref"), F.lit(True).alias("_known"))
+                                   F.col("contatto_preferito").alias("_pref"))
     cc = tables["customer_contacts"].select(F.col("contatto"), F.col("cliente").alias("_cc_owner"))
     rc = tables["referent_contacts"].select(F.col("contatto"), F.col("referente").alias("_rc_owner"))
     r = (requests.select(*NEW_ORDER_COLS).join(c, "cliente", "left")
@@ -355,7 +341,7 @@ def open_orders(tables: Tables, requests: DataFrame, hot_rows: int = HOT_SPECIES
     fold_in = r.select(*NEW_ORDER_COLS, "_ship", "_contact", F.lit(OPEN).alias("op"),
                        F.lit(None).cast("int").alias("ordine"), "pre_code", F.lit(False).alias("is_final"),
                        F.lit(None).cast("int").alias("q0"))
-    full = _run_fold(tables, fold_in, hot_rows)
+    full = _run_fold(tables, fold_in, range_rows)
     accepted = full.filter(F.col("fold_code").isNull())
     numbered = number_in_order(accepted.select("ts", "seq", "cliente", "_ship", "_contact", "specie_di_pianta",
                                                "quantita", "stock_delta"),
@@ -375,16 +361,23 @@ def open_orders(tables: Tables, requests: DataFrame, hot_rows: int = HOT_SPECIES
     schema_cols = tables["orders"].columns
     return JobResult({"orders": tables["orders"].unionByName(new_rows.select(*schema_cols)),
                       "order_lines": tables["order_lines"].unionByName(new_line_rows),
-                      "species": new_species}, outcomes)
+                      "species": new_species}, outcomes, years={"orders": years_of(new_rows, "data"), "order_lines": years_of(new_rows, "data")},
+                     changes={"ordered_totals": count(new_line_rows, "ordered_totals")})
 
 
 def finalize_checks(tables: Tables, requests: DataFrame) -> DataFrame:
     r = owner_check(tables, requests.select(*FINALIZE_COLS))
-    return r.withColumn("_code", first_failing((~F.col("is_owner"), codes.NOT_OWNER))).drop("is_owner")
+    return r.withColumn("_code", first_failing((missing("cliente", "ordine"), codes.INVALID),
+                                               (~F.col("is_owner"), codes.NOT_OWNER))).drop("is_owner")
 
 
+@in_sequence
 def finalize_orders(tables: Tables, requests: DataFrame) -> JobResult:
     """C14: the owner finalizes an order (status 0); anyone else gets 45005; repeats are harmless."""
+    return _finalize(tables, requests)
+
+
+def _finalize(tables: Tables, requests: DataFrame) -> JobResult:
     r = finalize_checks(tables, requests)
     done = r.filter(F.col("_code").isNull()).select(F.col("ordine").alias("id")).distinct().withColumn("_done", F.lit(True))
     orders = tables["orders"]
@@ -392,4 +385,4 @@ def finalize_orders(tables: Tables, requests: DataFrame) -> JobResult:
         *[F.when(F.col("_done"), F.lit(0)).otherwise(F.col(c)).cast("int").alias(c)
           if c == "aperto_or_finalizzato" else F.col(c) for c in orders.columns])
     outcomes = with_outcome(r.select(*FINALIZE_COLS, "_code"), F.col("_code")).drop("_code")
-    return JobResult({"orders": new_orders}, outcomes)
+    return JobResult({"orders": new_orders}, outcomes, years={"orders": years_of_orders(orders, done.withColumnRenamed("id", "ordine"))})

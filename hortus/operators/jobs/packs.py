@@ -9,10 +9,15 @@ order 45034, for an unknown order 45027; species not in the order 45020;
 quantity above ordered minus packed 45015; unknown pack 45026; species
 already in the pack ``DUPLICATE``.
 
-The remainder depends on earlier accepted requests of the same order, and a
-handle's later requests depend on its first one, so decisions are a fold per
-order in (time, sequence) order.  Pack numbers are given inside the fold as
-``max + 1`` when a creation is accepted, so refused creations use no number.
+The remainder depends on earlier accepted requests of the same order and
+species only, so that is what a fold goes through: an order with very many
+requests is dealt by its species.  Across species a request depends on nothing
+but whether its pack was created.  Creations are first taken as accepted
+where nothing set-wise is against them; where a fold finds otherwise, the
+(order, species) with later requests for that pack are folded again, until
+no creation changes.  Each round decides at least the earliest creation that
+was assumed wrongly, and all before it, for good.  Pack numbers come last:
+``max + 1, 2, ...`` along the accepted creations of an order, counted over ranges.
 """
 
 from __future__ import annotations
@@ -25,103 +30,117 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hortus.functions import codes
-from hortus.functions.checks import with_outcome
-from hortus.functions.ordered import cluster_by_key, fold_by_key
-from hortus.operators.jobs.base import JobResult, Tables
+from hortus.functions.checks import first_failing, missing, request_order, with_outcome
+from hortus.functions.columns import true_or_false
+from hortus.functions.ordered import column_values, fold_by_key, rank_in_key
+from hortus.operators.jobs.base import JobResult, Tables, in_sequence, years_of_orders
+from hortus.operators.totals import count
 from hortus.session import checkpointed
 
 REQUEST_COLS = ("ts", "seq", "ordine", "pacco", "new_pack", "specie_di_pianta", "quantita")
-_IN = ["ordine", "pacco", "new_pack", "specie_di_pianta", "quantita", "status", "ordered", "packed0",
-       "pack_exists", "content_exists", "max_pack0"]
-RESULTS = [T.StructField("fold_code", T.StringType()), T.StructField("pack_number", T.IntegerType())]
-
-
-def _v(x):
-    if x is None:
-        return None
-    try:
-        if pd.isna(x):
-            return None
-    except (TypeError, ValueError):
-        pass
-    return x
-
-
-def pack_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    order = object()
-    packed: dict = {}
-    handles: dict = {}
-    placed: set = set()
-    top = 0
+RESULTS = [T.StructField("fold_code", T.StringType())]
+_KEY = ["ordine", "specie_di_pianta"]
+_IN = ["ordine", "specie_di_pianta", "pacco", "new_pack", "quantita", "pre_code", "unpacked", "creates", "has_pack", "stored"]
+
+
+def remainder_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The requests of each (order, species) in order, against what is left to pack and where it lies."""
+    line, left, placed = None, 0, set()
     for pdf in batches:
-        res_code, res_number = [], []
-        for o, pacco, handle, sp, q, status, ordered, packed0, pack_exists, content_exists, max0 in zip(
-                *[pdf[c].tolist() for c in _IN]):
-            pacco, handle, q, status, ordered = _v(pacco), _v(handle), _v(q), _v(status), _v(ordered)
-            if o != order:
-                order, packed, handles, placed, top = o, {}, {}, set(), int(_v(max0) or 0)
-            code, number, creating = None, None, False
-            if handle is not None:
-                if handle in handles:
-                    number = handles[handle]  # None when its creation was refused
-                    key = ("new", handle)
-                else:
-                    creating = True
-                    key = ("new", handle)
-            else:
-                number = pacco if bool(pack_exists) else None
-                key = ("old", pacco)
-            already = int(_v(packed0) or 0) + packed.get(sp, 0)
-            if q is None or q < 0:
-                code = codes.INVALID
-            elif creating and status == 1:
-                code = codes.ORDER_OPEN
-            elif creating and status is None:
-                code = codes.UNKNOWN_PACK_ORDER
-            elif ordered is None:
-                code = codes.NOT_IN_ORDER
-            elif q > int(ordered) - already:
+        found = []
+        for o, sp, pacco, handle, q, pre, unpacked, creates, has_pack, stored in zip(*[column_values(pdf[c]) for c in _IN]):
+            if (o, sp) != line:
+                line, left, placed = (o, sp), unpacked, set()
+            pack, code = (handle, pacco), pre
+            if code is None and q > left:
                 code = codes.ABOVE_REMAINDER
-            elif not creating and number is None:
+            elif code is None and not has_pack:
                 code = codes.UNKNOWN_PACK
-            elif not creating and ((key, sp) in placed or (handle is None and bool(content_exists))):
+            elif code is None and not creates and (stored or pack in placed):
                 code = codes.DUPLICATE
-            if creating:
-                if code is None:
-                    top += 1
-                    number = top
-                handles[handle] = number
             if code is None:
-                packed[sp] = packed.get(sp, 0) + int(q)
-                placed.add((key, sp))
-            res_code.append(code)
-            res_number.append(int(number) if code is None else None)
-        yield pdf.assign(fold_code=res_code, pack_number=res_number)
+                left -= q
+                placed.add(pack)
+            found.append(code)
+        yield pdf.assign(fold_code=found)
 
 
-def allocate_packs(tables: Tables, requests: DataFrame) -> JobResult:
-    """Returns new ``packs`` and ``pack_contents`` and per-request outcomes with the pack number."""
+def _prepared(tables: Tables, requests: DataFrame) -> DataFrame:
+    """Requests with all that is known of them before any is accepted."""
     r = requests.select(*REQUEST_COLS)
-    o = tables["orders"].select(F.col("id").alias("ordine"), F.col("aperto_or_finalizzato").alias("status"))
-    lines = tables["order_lines"].select("ordine", "specie_di_pianta", F.col("quantita").alias("ordered"))
+    o = tables["orders"].select(F.col("id").alias("ordine"), F.col("aperto_or_finalizzato").alias("_status"))
+    lines = tables["order_lines"].select(*_KEY, F.col("quantita").alias("_ordered"))
     contents = tables["pack_contents"]
-    packed = contents.groupBy("ordine", "specie_di_pianta").agg(F.sum("quantita").alias("packed0"))
-    packs = tables["packs"]
-    top = packs.groupBy("ordine").agg(F.max("numero").alias("max_pack0"))
-    pk = packs.select("ordine", F.col("numero").alias("pacco"), F.lit(True).alias("pack_exists"))
-    ck = contents.select("ordine", "pacco", "specie_di_pianta", F.lit(True).alias("content_exists"))
-    j = (r.join(lines, ["ordine", "specie_di_pianta"], "left").join(packed, ["ordine", "specie_di_pianta"], "left")
-          .join(pk, ["ordine", "pacco"], "left").join(ck, ["ordine", "pacco", "specie_di_pianta"], "left"))
-    # One shuffle by order serves the order-level joins and the fold.
-    j = cluster_by_key(j, ["ordine"]).join(o, "ordine", "left").join(top, "ordine", "left")
-    schema = T.StructType([*j.schema.fields, *RESULTS])
-    decided = checkpointed(fold_by_key(j, ["ordine"], ["ts", "seq"], pack_fold, schema, clustered=True))
+    packed = contents.groupBy(*_KEY).agg(F.sum("quantita").alias("_packed"))
+    pk = tables["packs"].select("ordine", F.col("numero").alias("pacco"), F.lit(True).alias("_exists"))
+    ck = contents.select("ordine", "pacco", "specie_di_pianta", F.lit(True).alias("_content"))
+    first = r.filter(F.col("new_pack").isNotNull()).groupBy("ordine", "new_pack").agg(F.min(request_order()).alias("_created"))
+    j = (r.join(lines, _KEY, "left").join(packed, _KEY, "left").join(pk, ["ordine", "pacco"], "left")
+          .join(ck, ["ordine", "pacco", "specie_di_pianta"], "left").join(o, "ordine", "left")
+          .join(first, ["ordine", "new_pack"], "left"))
+    creates = true_or_false(F.col("_created") == request_order())
+    in_old = F.col("new_pack").isNull()
+    pre = first_failing(
+        (missing("ordine", "specie_di_pianta", "quantita") | (F.col("quantita") < 0), codes.INVALID),
+        (creates & (F.col("_status") == 1), codes.ORDER_OPEN),
+        (creates & F.col("_status").isNull(), codes.UNKNOWN_PACK_ORDER),
+        (F.col("_ordered").isNull(), codes.NOT_IN_ORDER))
+    return j.select(*REQUEST_COLS, pre.alias("pre_code"),
+                    (F.col("_ordered") - F.coalesce(F.col("_packed"), F.lit(0))).cast("long").alias("unpacked"),
+                    creates.alias("creates"), (in_old & true_or_false(F.col("_exists"))).alias("_old"),
+                    (in_old & true_or_false(F.col("_content"))).alias("stored"))
+
+
+def _decided(base: DataFrame) -> DataFrame:
+    """``base`` with ``fold_code``, creations iterated to a fixed point."""
+    schema = T.StructType([*(f for f in base.schema.fields if f.name != "_old"), T.StructField("has_pack", T.BooleanType()), *RESULTS])
+    named = base.filter(F.col("new_pack").isNotNull())
+    made = checkpointed(named.filter("creates").select("ordine", "new_pack", F.col("pre_code").isNull().alias("_made")))
+    runs, redone, todo = [], None, None
+    while True:
+        part = base if todo is None else base.join(todo, _KEY, "left_semi")
+        ready = (part.join(made, ["ordine", "new_pack"], "left")
+                 .withColumn("has_pack", F.col("_old") | F.col("creates") | true_or_false(F.col("_made"))))
+        ready = ready.select(*[f.name for f in schema.fields[:-1]])
+        done = checkpointed(fold_by_key(ready, _KEY, ["ts", "seq"], remainder_fold, schema))
+        runs.append(done.withColumn("_run", F.lit(len(runs))))
+        if todo is not None:
+            again = todo.withColumn("_last", F.lit(len(runs) - 1))
+            redone = again if redone is None else redone.unionByName(again)
+        now = done.filter("creates").select("ordine", "new_pack", F.col("fold_code").isNull().alias("_now"))
+        kept = made.join(now, ["ordine", "new_pack"], "left").withColumn("_now", F.coalesce("_now", "_made"))
+        changed = checkpointed(kept.filter(F.col("_now") != F.col("_made")).select("ordine", "new_pack"))
+        if changed.isEmpty():
+            break
+        made = checkpointed(kept.select("ordine", "new_pack", F.col("_now").alias("_made")))
+        todo = checkpointed(named.filter(~F.col("creates")).join(changed, ["ordine", "new_pack"], "left_semi").select(*_KEY).distinct())
+    every = runs[0]
+    for more in runs[1:]:
+        every = every.unionByName(more)
+    if redone is not None:  # of a line folded again its last run counts
+        every = (every.join(redone.groupBy(*_KEY).agg(F.max("_last").alias("_last")), _KEY, "left")
+                 .filter(F.col("_run") == F.coalesce(F.col("_last"), F.lit(0))).drop("_last"))
+    return every.drop("_run")
+
+
+@in_sequence
+def allocate_packs(tables: Tables, requests: DataFrame) -> JobResult:
+    """Returns new ``packs`` and ``pack_contents`` and per-request outcomes with the pack number.
+
+    A NULL order, species or quantity, or a negative quantity, is ``INVALID``."""
+    decided = _decided(checkpointed(_prepared(tables, requests)))
+    ok = decided.filter(F.col("fold_code").isNull())
+    packs, contents = tables["packs"], tables["pack_contents"]
+    top = packs.groupBy("ordine").agg(F.max("numero").alias("_top"))
+    created = rank_in_key(ok.filter("creates").select("ordine", "new_pack", "ts", "seq"), "ordine", ["ts", "seq"], "_nth")
+    created = checkpointed(created.join(top, "ordine", "left").select(
+        "ordine", "new_pack", (F.coalesce(F.col("_top"), F.lit(0)) + F.col("_nth")).cast("int").alias("numero")))
+    decided = checkpointed(decided.select(*REQUEST_COLS, "fold_code").join(created, ["ordine", "new_pack"], "left").withColumn(
+        "pack_number", F.when(F.col("fold_code").isNull(), F.coalesce("numero", "pacco"))).drop("numero"))
     ok = decided.filter(F.col("fold_code").isNull())
-    created = ok.filter(F.col("new_pack").isNotNull()).select(
-        "ordine", F.col("pack_number").alias("numero")).distinct()
-    new_packs = packs.unionByName(created.join(packs, ["ordine", "numero"], "left_anti"))
-    new_contents = contents.unionByName(ok.select("ordine", F.col("pack_number").alias("pacco"),
-                                                  "specie_di_pianta", "quantita"))
+    new_contents = contents.unionByName(ok.select("ordine", F.col("pack_number").alias("pacco"), "specie_di_pianta", "quantita"))
     outcomes = with_outcome(decided.select(*REQUEST_COLS, "fold_code", "pack_number"),
                             F.col("fold_code")).drop("fold_code")
-    return JobResult({"packs": new_packs, "pack_contents": new_contents}, outcomes)
+    years = {"packs": years_of_orders(tables["orders"], created), "pack_contents": years_of_orders(tables["orders"], ok)}
+    return JobResult({"packs": packs.unionByName(created.select("ordine", "numero")), "pack_contents": new_contents}, outcomes, years=years,
+                     changes={"packed_totals": count(ok, "packed_totals")})

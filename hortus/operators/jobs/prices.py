@@ -2,46 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hortus.functions import codes
+from hortus.functions.asof import quarter
 from hortus.functions.checks import first_failing, missing, with_outcome
-from hortus.functions.ordered import neighbour, tag_ranges
-from hortus.operators.jobs.base import JobResult, Tables
+from hortus.functions.ordered import neighbour
+from hortus.operators.jobs.base import JobResult, Tables, in_sequence
 from hortus.session import checkpointed
 from hortus.sources.schemas import PRICE
 
 REQUEST_COLS = ("ts", "seq", "specie_di_pianta", "valore")
-HOT_SPECIES_ROWS = 1_000_000
 
 
-def _effective(prev: str) -> Column:
-    """The open price always stays; a change stays when it differs from the price before it."""
-    return F.col("_is_open") | ~F.coalesce(F.col("valore") == F.col(prev), F.lit(False))
-
-
-def _windowed(chain: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """lag/lead per species with plain windows (one shuffle by species for both)."""
-    w = Window.partitionBy("specie_di_pianta").orderBy("ts", "seq")
-    flagged = chain.withColumn("prev_valore", F.lag("valore").over(w)).withColumn("_effective", _effective("prev_valore"))
-    kept = (flagged.filter(F.col("_effective")).select("specie_di_pianta", "ts", "seq", "valore")
-                   .withColumn("next_ts", F.lead("ts").over(w)))
-    return flagged, kept
-
-
-def _range_tagged(chain: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The same for hot species: rows range partitioned on (species, time) so a species
-    spans several tasks; one tagging serves both passes (the kept rows keep their tags)."""
-    tagged = tag_ranges(chain, ["specie_di_pianta"], ["ts", "seq"])
-    flagged = neighbour(tagged, ["specie_di_pianta"], ["ts", "seq"], ["valore"], "previous")
-    flagged = flagged.withColumn("_effective", _effective("prev_valore"))
-    kept = flagged.filter(F.col("_effective")).select("_part", "specie_di_pianta", "ts", "seq", "valore")
-    kept = neighbour(kept, ["specie_di_pianta"], ["ts", "seq"], ["ts"], "next").drop("_part")
-    return flagged.drop("_part"), kept
-
-
-def apply_price_changes(tables: Tables, changes: DataFrame, hot_rows: int = HOT_SPECIES_ROWS) -> JobResult:
+@in_sequence
+def apply_price_changes(tables: Tables, changes: DataFrame) -> JobResult:
     """Apply ``changes`` (ts, seq, specie_di_pianta, valore) in time order.
 
     A change equal to the price in force is a no-op; otherwise the open price
@@ -52,9 +28,9 @@ def apply_price_changes(tables: Tables, changes: DataFrame, hot_rows: int = HOT_
 
     Only the open price of each species in the batch takes part: the closed
     history is carried over untouched, without a shuffle.  The previous and
-    next price are plain windows per species; a species with more than
-    ``hot_rows`` changes is range partitioned on (species, time) instead, so
-    it is spread over several tasks.
+    next price of a change come from windows over (species, quarter), stitched
+    at the quarters' edges (``functions/ordered.neighbour``): one path for
+    all species, and one with a third of the changes spans many tasks.
     """
     prices = tables["prices"]
     req = changes.select(*REQUEST_COLS).withColumn("valore", F.col("valore").cast(PRICE))
@@ -79,17 +55,11 @@ def apply_price_changes(tables: Tables, changes: DataFrame, hot_rows: int = HOT_
         F.col("_open_value").alias("valore"), F.lit(True).alias("_is_open"))
     chain = opened.unionByName(live.select("specie_di_pianta", "ts", F.col("seq").cast("long"), "valore",
                                            F.lit(False).alias("_is_open")))
-    # Hot species, counted on the checkpointed batch (a species' chain has at most
-    # its valid requests + 1 rows): at most rows / hot_rows species.
-    hot = [r[0] for r in checked.filter(F.col("_code").isNull()).groupBy("specie_di_pianta").count()
-           .filter(F.col("count") >= hot_rows)
-           .select("specie_di_pianta").collect()]
-    is_hot = F.col("specie_di_pianta").isin(hot) if hot else F.lit(False)
-    flagged, kept = _windowed(chain.filter(~is_hot))
-    if hot:
-        hot_flagged, hot_kept = _range_tagged(chain.filter(is_hot))
-        flagged, kept = flagged.unionByName(hot_flagged), kept.unionByName(hot_kept)
-    chain = flagged
+    chain = neighbour(chain.withColumn("_quarter", quarter(F.col("ts"))), "specie_di_pianta", "_quarter", ["ts", "seq"], ["valore"])
+    # The open price always stays; a change stays when it differs from the price before it.
+    differs = F.col("_is_open") | ~F.coalesce(F.col("valore") == F.col("prev_valore"), F.lit(False))
+    chain = checkpointed(chain.withColumn("_effective", differs))
+    kept = neighbour(chain.filter(F.col("_effective")), "specie_di_pianta", "_quarter", ["ts", "seq"], ["ts"], "next")
     rewritten = kept.select("specie_di_pianta", F.col("ts").alias("data_adozione"), "valore",
                             F.col("next_ts").alias("data_termine"))
     touched = kept.select("specie_di_pianta").distinct()

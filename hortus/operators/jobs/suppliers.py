@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from hortus.functions import codes
 from hortus.functions.checks import earliest_unique, exists_in, first_failing, first_in_batch, missing, too_long, with_outcome
 from hortus.functions.sequence import max_key, number_in_order
-from hortus.operators.jobs.base import JobResult, Tables
-
-# Fixed value: shape of a supplier's fiscal code, anchored at both ends.
-FISCAL_CODE = r"^[A-Za-z]{6}[0-9]{2}[A-Za-z][0-9]{2}[A-Za-z][0-9]{3}[A-Za-z]$"
+from hortus.operators.jobs.base import JobResult, Tables, in_sequence, years_of
+from hortus.operators.totals import count
 
 SUPPLIER_REQUEST_COLS = ("ts", "seq", "codice_fiscale", "nome", "specie_di_pianta", "indirizzo")
 
 
+@in_sequence
 def load_suppliers(tables: Tables, requests: DataFrame) -> JobResult:
     """New suppliers with their first species and first address.
 
@@ -26,7 +25,7 @@ def load_suppliers(tables: Tables, requests: DataFrame) -> JobResult:
     ``earliest_unique``).  New codes are ``max + 1, 2 ...`` in request order.
     """
     r = requests.select(*SUPPLIER_REQUEST_COLS)
-    r = (r.withColumn("_shape_ok", F.coalesce(F.col("codice_fiscale").rlike(FISCAL_CODE), F.lit(False)))
+    r = (r.withColumn("_shape_ok", F.coalesce(F.col("codice_fiscale").rlike(codes.FISCAL_CODE), F.lit(False)))
           .withColumn("codice_fiscale", F.upper(F.col("codice_fiscale"))))
     r = exists_in(r, tables["suppliers"], [("codice_fiscale", "codice_fiscale")], "_code_stored")
     r = exists_in(r, tables["species"], [("specie_di_pianta", "codice")], "_species_known")
@@ -54,13 +53,14 @@ def load_suppliers(tables: Tables, requests: DataFrame) -> JobResult:
         numbered.select("ts", "seq", "codice_fornitore"), ["ts", "seq"], "left"))
 
 
+@in_sequence
 def add_supplier_addresses(tables: Tables, requests: DataFrame) -> JobResult:
     """Addresses (ts, seq, fornitore, indirizzo): unknown supplier 45032 (the
     foreign key is checked first), address already used 45031."""
     r = requests.select("ts", "seq", "fornitore", "indirizzo")
     r = exists_in(r, tables["suppliers"], [("fornitore", "codice_fornitore")], "_known")
     r = exists_in(r, tables["supplier_addresses"], [("indirizzo", "indirizzo")], "_stored")
-    static = first_failing((too_long(("indirizzo", "supplier_addresses", "indirizzo")), codes.INVALID),
+    static = first_failing((missing("fornitore") | too_long(("indirizzo", "supplier_addresses", "indirizzo")), codes.INVALID),
                            (~F.col("_known"), codes.UNKNOWN_SUPPLIER), (F.col("_stored"), codes.ADDRESS_EXISTS),
                            (F.col("indirizzo").isNull(), codes.INVALID))
     r = first_in_batch(r.withColumn("_static", static), ["indirizzo"], F.col("_static").isNull(), "_taken")
@@ -70,6 +70,7 @@ def add_supplier_addresses(tables: Tables, requests: DataFrame) -> JobResult:
                      decided.select("ts", "seq", "fornitore", "indirizzo", "code", "esito", "reason"))
 
 
+@in_sequence
 def add_availability(tables: Tables, requests: DataFrame) -> JobResult:
     """C17: species a supplier offers (ts, seq, fornitore, specie_di_pianta): unknown
     supplier or species 45025, already offered 45018."""
@@ -78,7 +79,8 @@ def add_availability(tables: Tables, requests: DataFrame) -> JobResult:
     r = exists_in(r, tables["species"], [("specie_di_pianta", "codice")], "_spe")
     r = exists_in(r, tables["availability"], [("fornitore", "fornitore"), ("specie_di_pianta", "specie_di_pianta")],
                   "_stored")
-    static = first_failing((~F.col("_sup") | ~F.col("_spe"), codes.UNKNOWN_SUPPLIER_OR_SPECIES),
+    static = first_failing((missing("fornitore", "specie_di_pianta"), codes.INVALID),
+                           (~F.col("_sup") | ~F.col("_spe"), codes.UNKNOWN_SUPPLIER_OR_SPECIES),
                            (F.col("_stored"), codes.AVAILABILITY_EXISTS))
     r = first_in_batch(r.withColumn("_static", static), ["fornitore", "specie_di_pianta"],
                        F.col("_static").isNull(), "_taken")
@@ -88,6 +90,7 @@ def add_availability(tables: Tables, requests: DataFrame) -> JobResult:
                      decided.select("ts", "seq", "fornitore", "specie_di_pianta", "code", "esito", "reason"))
 
 
+@in_sequence
 def load_supply_requests(tables: Tables, requests: DataFrame) -> JobResult:
     """Supply requests (ts, seq, fornitore, specie_di_pianta, quantita), dated ``ts``.
 
@@ -100,7 +103,7 @@ def load_supply_requests(tables: Tables, requests: DataFrame) -> JobResult:
                   "_offered")
     r = exists_in(r, tables["supply_requests"], [("ts", "data"), ("fornitore", "fornitore_scelto"),
                                                  ("specie_di_pianta", "specie_richiesta")], "_stored")
-    static = first_failing((F.col("quantita").isNull() | (F.col("quantita") < 0), codes.INVALID),
+    static = first_failing((missing("fornitore", "specie_di_pianta", "quantita") | (F.col("quantita") < 0), codes.INVALID),
                            (~F.col("_offered"), codes.NOT_OFFERED),
                            (F.col("_stored"), codes.DUPLICATE))
     r = first_in_batch(r.withColumn("_static", static), ["ts", "fornitore", "specie_di_pianta"],
@@ -110,4 +113,5 @@ def load_supply_requests(tables: Tables, requests: DataFrame) -> JobResult:
         F.col("ts").alias("data"), F.col("fornitore").alias("fornitore_scelto"),
         F.col("specie_di_pianta").alias("specie_richiesta"), "quantita", F.lit(1).alias("pendente_si_no"))
     return JobResult({"supply_requests": tables["supply_requests"].unionByName(ok)},
-                     decided.select("ts", "seq", "fornitore", "specie_di_pianta", "quantita", "code", "esito", "reason"))
+                     decided.select("ts", "seq", "fornitore", "specie_di_pianta", "quantita", "code", "esito", "reason"),
+                     years={"supply_requests": years_of(ok, "data")}, changes={"request_totals": count(ok, "request_totals")})

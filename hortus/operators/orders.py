@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hortus.functions import codes
+from hortus.functions.asof import as_of, quarter, quarterly
 from hortus.functions.checks import first_failing, with_outcome
 from hortus.functions.columns import LINE_TOTAL, display_name, flag_text, keep_keys, true_or_false
+from hortus.operators.totals import totals
 
 Tables = Mapping[str, DataFrame]
 
@@ -57,40 +59,23 @@ def order_report_header(tables: Tables, orders=None) -> DataFrame:
         "referente")
 
 
-def price_periods(prices: DataFrame) -> DataFrame:
-    """Prices as periods ``[data_adozione, valido_fino)``; ``valido_fino`` NULL when open.
-
-    The price jobs keep the history contiguous (a change closes the open price
-    at the instant the new one starts, retention deletes closed periods only),
-    so the end of a period is its ``data_termine`` and no window is needed.
-    """
-    return prices.select("specie_di_pianta", "data_adozione", "valore",
-                         F.col("data_termine").alias("valido_fino"))
-
-
 def order_report_lines(tables: Tables, orders=None) -> DataFrame:
     """Each order line at the price in force on the order date.
 
-    As-of join: the latest price with ``data_adozione <= order date``.  As the
-    periods of a species are contiguous with exactly one open period, this is
-    an equi join on species plus a range predicate that matches one period:
-    no window and no extra shuffle of the order lines.
+    As-of lookup: the latest price with ``data_adozione <= order date``, whatever
+    the ends of the periods say (``functions/asof``), so a gap in a price
+    history or two prices open at once still give one row per line.
     A line dated before the first price of its species has no row (inner join).
     """
     lines = keep_keys(tables["order_lines"], "ordine", orders)
     o = keep_keys(tables["orders"], "id", orders).select("id", "data")
     dated = lines.join(o, lines.ordine == o.id, "inner").drop("id")
-    # Names meet the price periods first, both small next to the lines, so the lines
-    # go through one join on species and no operator after it needs that partitioning.
+    # Names meet the prices first, both small next to the lines, so the lines go through
+    # one join on species and no operator after it needs that partitioning.
+    held = quarterly(tables["prices"], "specie_di_pianta", "data_adozione", "valore", quarter(o.agg(F.max("data")).scalar()))
     s = tables["species"].select("codice", "nome_comune", "nome_latino")
-    periods = price_periods(tables["prices"])
-    periods = periods.join(s, periods.specie_di_pianta == s.codice, "inner")
-    out = dated.join(
-        periods,
-        (dated.specie_di_pianta == periods.specie_di_pianta)
-        & (periods.data_adozione <= dated.data)
-        & (periods.valido_fino.isNull() | (dated.data < periods.valido_fino)),
-        "inner")
+    held = held.join(s, held.specie_di_pianta == s.codice, "inner")
+    out = as_of(dated, "data", held, "specie_di_pianta")
     return out.select(
         "ordine", "codice", display_name(F.col("nome_comune"), F.col("nome_latino")).alias("nome"),
         F.col("valore").alias("unit_price"), "quantita",
@@ -124,15 +109,14 @@ def order_species(tables: Tables, orders=None) -> DataFrame:
 def order_status(tables: Tables, orders=None) -> DataFrame:
     """R6: 'Completed' when packed total equals ordered total, else by open flag.
 
-    Both totals are pre-aggregated per order (partial aggregation before the
-    shuffle) and left-joined; an order with no packs has a NULL packed total,
+    Both totals are those kept beside the tables, or else pre-aggregated per order
+    (partial aggregation before the shuffle), and left-joined; an order with no packs has a NULL packed total,
     which compares as not completed.
     """
     h = _header(tables, orders)
-    ordered = keep_keys(tables["order_lines"], "ordine", orders).groupBy("ordine").agg(
-        F.sum("quantita").alias("q_ordinata"))
-    packed = keep_keys(tables["pack_contents"], "ordine", orders).groupBy("ordine").agg(
-        F.sum("quantita").alias("q_impacchettata"))
+    ordered = keep_keys(totals(tables, "ordered_totals"), "ordine", orders).select("ordine", F.col("somma").alias("q_ordinata"))
+    packed = keep_keys(totals(tables, "packed_totals"), "ordine", orders).groupBy("ordine").agg(
+        F.sum("somma").alias("q_impacchettata"))
     j = (h.join(ordered, h.id == ordered.ordine, "left").drop("ordine")
           .join(packed, h.id == packed.ordine, "left").drop("ordine"))
     completed = true_or_false(F.col("q_impacchettata") == F.col("q_ordinata"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hortus.functions.columns import display_name, keep_keys
+from hortus.operators.totals import totals
 
 Tables = Mapping[str, DataFrame]
 
@@ -15,9 +16,8 @@ SEMANTICS = ("intended", "reference")
 
 
 def packed_per_line(tables: Tables, orders=None) -> DataFrame:
-    """Packed quantity per (order, species), aggregated map-side before the shuffle."""
-    c = keep_keys(tables["pack_contents"], "ordine", orders)
-    return c.groupBy("ordine", "specie_di_pianta").agg(F.sum("quantita").alias("packed"))
+    """Packed quantity per (order, species): the kept total, or else aggregated map-side before the shuffle."""
+    return keep_keys(totals(tables, "packed_totals"), "ordine", orders).select("ordine", "specie_di_pianta", F.col("somma").alias("packed"))
 
 
 def packing_remaining(tables: Tables, orders=None, semantics: str = "intended") -> DataFrame:
@@ -36,7 +36,7 @@ def packing_remaining(tables: Tables, orders=None, semantics: str = "intended")
     packed = packed_per_line(tables, orders)
     j = lines.join(packed, ["ordine", "specie_di_pianta"], "left")
     if semantics == "reference":
-        anywhere = tables["pack_contents"].select("specie_di_pianta").distinct()
+        anywhere = totals(tables, "packed_totals").select("specie_di_pianta").distinct()
         never = j.join(anywhere, "specie_di_pianta", "left_anti")
         j = j.filter(F.col("packed").isNotNull()).unionByName(never)
     s = tables["species"].select("codice", "nome_comune", "nome_latino")

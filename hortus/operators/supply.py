@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hortus.functions.columns import display_name, keep_keys, search_pattern
+from hortus.operators.totals import totals
 
 Tables = Mapping[str, DataFrame]
 
@@ -27,13 +28,13 @@ def low_stock_species(tables: Tables, n: int) -> DataFrame:
 
 
 def requests_per_offer(tables: Tables, species: DataFrame | None = None) -> DataFrame:
-    """Requests made per (species, supplier), partially aggregated before the shuffle;
-    with ``species`` (specie_di_pianta) only theirs, cut before the aggregation."""
-    r = tables["supply_requests"]
+    """Requests made per (species, supplier): the kept total, or else partially aggregated
+    before the shuffle; with ``species`` (specie_di_pianta) only theirs, cut before the aggregation."""
     if species is not None:
-        r = r.join(species.withColumnRenamed("specie_di_pianta", "specie_richiesta"), "specie_richiesta", "left_semi")
-    return r.groupBy(F.col("specie_richiesta").alias("specie_di_pianta"),
-                     F.col("fornitore_scelto").alias("fornitore")).agg(F.count("data").alias("n_richieste"))
+        asked = species.withColumnRenamed("specie_di_pianta", "specie_richiesta")
+        tables = {t: tables[t].join(asked, "specie_richiesta", "left_semi") for t in ("request_totals", "supply_requests") if t in tables}
+    return totals(tables, "request_totals").select(
+        F.col("specie_richiesta").alias("specie_di_pianta"), F.col("fornitore_scelto").alias("fornitore"), F.col("righe").alias("n_richieste"))
 
 
 def low_stock_top_suppliers(tables: Tables, n: int | None = None, semantics: str = "intended",
@@ -59,7 +60,7 @@ def low_stock_top_suppliers(tables: Tables, n: int | None = None, semantics: str
     counts = requests_per_offer(tables, low)
     j = offers.join(counts, ["specie_di_pianta", "fornitore"], "left")
     if semantics == "reference":
-        active = tables["supply_requests"].select(F.col("fornitore_scelto").alias("fornitore")).distinct()
+        active = totals(tables, "request_totals").select(F.col("fornitore_scelto").alias("fornitore")).distinct()
         idle = j.filter(F.col("n_richieste").isNull()).join(active, "fornitore", "left_anti")
         j = j.filter(F.col("n_richieste").isNotNull()).unionByName(idle)
     j = j.withColumn("n_richieste", F.coalesce(F.col("n_richieste"), F.lit(0)).cast("long"))

@@ -303,7 +303,7 @@ SUPPLIER_REQ = (
 _C15_CTES = (
     f"r0 as ({as_sql(SUPPLIER_REQ)}), "
     "r as (select r0.* replace (upper(codice_fiscale) as codice_fiscale), "
-    f"coalesce(regexp_matches(r0.codice_fiscale, '{SU.FISCAL_CODE}'), false) shape_ok from r0), "
+    f"coalesce(regexp_matches(r0.codice_fiscale, '{codes.FISCAL_CODE}'), false) shape_ok from r0), "
     "c as (select r.*, case when not shape_ok then '45023' when codice_fiscale in (select codice_fiscale from suppliers) "
     "then '45035' when specie_di_pianta not in (select codice from species) then 'UNKNOWN_KEY' "
     "when indirizzo is null or indirizzo in (select indirizzo from supplier_addresses) then '45035' end s, "

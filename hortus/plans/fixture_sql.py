@@ -62,7 +62,7 @@ FIXTURE_SQL: dict[str, str] = {
     "supply_requests": (
         "select l_shipdate data, cast(l_suppkey as int) fornitore_scelto, cast(l_partkey as int) specie_richiesta, "
         "cast(sum(l_quantity) as int) quantita, case when max(l_linestatus)='O' then 1 else 0 end pendente_si_no "
-        "from lineitem where l_linenumber<=4 group by 1,2,3"),
+        "from lineitem group by 1,2,3"),
     "colourings": (
         "select codice specie_fiorita, split_part(nome_comune,' ',1) colore from species where verde_or_fiorita=0 "
         "union all select codice, 'white' from species where verde_or_fiorita=0 and codice%2=0"),

@@ -12,7 +12,7 @@ def physical_plan(df: DataFrame) -> str:
 
 def final_plan(df: DataFrame) -> str:
     """The plan after running the query, with AQE's runtime choices."""
-    df.write.format("noop").mode("overwrite").save()
+    df.collect()  # this DataFrame's own execution: a write would run, and re-plan, a copy
     return df._jdf.queryExecution().executedPlan().toString()
 
 

@@ -132,10 +132,10 @@ def new_orders(src: TestdataTables) -> DataFrame:
 # C19 -------------------------------------------------------------------------
 
 def pack_requests(src: TestdataTables) -> DataFrame:
-    """One pack request per lineitem row not yet packed (return flag N), a day
-    after shipping: lines 1-3 go to new packs (handles P1 for odd, P0 for even
-    line numbers), later lines to the order's existing pack 1."""
-    li = src.raw("lineitem").filter(F.col("l_returnflag") == "N")
+    """One pack request per lineitem row, a day after shipping: lines 1-3 go to
+    new packs (handles P1 for odd, P0 for even line numbers), later lines to the
+    order's existing pack 1.  Rows that are packed already find nothing left."""
+    li = src.raw("lineitem")
     return li.select(
         (F.col("l_shipdate") + F.expr("INTERVAL 1 DAYS")).cast("timestamp_ntz").alias("ts"),
         _seq(li).alias("seq"),
@@ -160,4 +160,4 @@ PACK_REQUESTS_SQL = (
     "select cast(l_shipdate + interval 1 day as timestamp) ts, cast(l_orderkey*8+l_linenumber as bigint) seq, "
     "cast(l_orderkey as int) ordine, cast(case when l_linenumber>3 then 1 end as int) pacco, "
     "case when l_linenumber<=3 then concat('P',cast(l_linenumber%2 as string)) end new_pack, "
-    "cast(l_partkey as int) specie_di_pianta, cast(l_quantity as int) quantita from lineitem where l_returnflag='N'")
+    "cast(l_partkey as int) specie_di_pianta, cast(l_quantity as int) quantita from lineitem")

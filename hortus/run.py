@@ -3,10 +3,11 @@
     python -m hortus.run job line_changes --store ROOT --requests PATH --outcomes PATH [--finalizations PATH]
     python -m hortus.run job restock --store ROOT --now "2024-01-01 00:00:00" --outcomes PATH
     python -m hortus.run report order_status --store ROOT --out PATH
+    python -m hortus.run report order_report_requests --store ROOT --requests PATH --out PATH
     python -m hortus.run report customer_orders --store ROOT --out PATH --set open_only=true --set 'customers=["A"]'
 
-A job reads the latest complete version of the store, writes the changed and
-unchanged tables as the next version and its per-request outcomes to
+A job reads the latest version of the store, writes the tables (and years) it
+changed, commits them with the unchanged ones as the next version, and writes its per-request outcomes to
 ``--outcomes``; its further outputs (emptied orders, outcomes of the
 finalizations) go to folders beside it, ``<outcomes>-<name>``.  A report writes
 its rows to ``--out``; its keys, fragments, flags and n are given by ``--set``.  The session comes from
@@ -30,9 +31,10 @@ from hortus.operators.jobs import orders as jord
 from hortus.operators.jobs import packs as jpack
 from hortus.operators.jobs import prices as jprice
 from hortus.operators.jobs import suppliers as jsup
+from hortus.operators.totals import TOTALS, recount
 from hortus.session import ensure_semantics
 from hortus.sources.requests import read_requests
-from hortus.sources.snapshots import read_snapshot, versions, write_snapshot
+from hortus.sources.snapshots import is_yearly, read_snapshot, versions, write_snapshot
 
 # job name -> (request kind, function(tables, requests))
 JOBS = {
@@ -74,17 +76,28 @@ REPORTS = {
     "referent_contact_list": contacts.referent_contact_list, "contact_owners": contacts.contact_owners,
 }
 
+# Reports asked for by request files: name -> (request kind, function(tables, requests)).
+ASKED = {
+    "order_report_requests": ("finalizations", orders.order_report_requests),
+    "species_report_requests": ("species_removals", catalog.species_report_requests),
+}
+
+
+RANGE_ROWS_JOBS = ("new_orders", "line_changes")
+
 
-HOT_ROWS_JOBS = ("price_changes", "new_orders", "line_changes")
+def create_store(tables, store: str) -> None:
+    """Version 1 of a store: the tables and the totals kept beside them."""
+    write_snapshot({**tables, **recount(tables)}, store, 1)
 
 
 def run_job(spark: SparkSession, name: str, store: str, outcomes_path: str, requests: str | None = None,
             now: dt.datetime | None = None, finalizations: str | None = None,
-            hot_rows: int | None = None) -> int:
+            range_rows: int | None = None) -> int:
     """Apply one job to the latest version of ``store``; returns the new version number.
 
-    ``hot_rows`` (price changes, new orders, line changes): requests of one species
-    above which it takes the parallel path for hot species.
+    ``range_rows`` (new orders, line changes): most requests of one species that
+    one fold goes through.
     """
     tables = read_snapshot(spark, store)
     if name == "restock":
@@ -94,13 +107,17 @@ def run_job(spark: SparkSession, name: str, store: str, outcomes_path: str, requ
     else:
         kind, fn = JOBS[name]
         batch = read_requests(spark, requests, kind)
-        extra = {"hot_rows": hot_rows} if hot_rows is not None and name in HOT_ROWS_JOBS else {}
+        extra = {"range_rows": range_rows} if range_rows is not None and name in RANGE_ROWS_JOBS else {}
         if name == "line_changes" and finalizations:
             result = fn(tables, batch, read_requests(spark, finalizations, "finalizations"), **extra)
         else:
             result = fn(tables, batch, **extra)
     version = (versions(spark, store) or [0])[-1] + 1
-    write_snapshot(result.merged(tables), store, version)
+    changed, years = result.changed(tables), dict(result.years)
+    for total, (table, _, _) in TOTALS.items():
+        if total in changed and table in years and is_yearly(total):
+            years[total] = years[table]
+    write_snapshot(changed, store, version, years)
     result.outcomes.write.mode("errorifexists").parquet(outcomes_path)
     for output, rows in result.extra.items():
         rows.write.mode("errorifexists").parquet(f"{outcomes_path}-{output}")
@@ -131,15 +148,18 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--now", type=dt.datetime.fromisoformat)
     p.add_argument("--year", type=int)
     p.add_argument("--set", action="append", default=[], metavar="NAME=VALUE")
-    p.add_argument("--hot-rows", type=int, dest="hot_rows")
+    p.add_argument("--range-rows", type=int, dest="range_rows")
     a = p.parse_args(argv)
     spark = ensure_semantics(SparkSession.builder.appName(f"hortus-{a.name}").getOrCreate())
     if a.what == "job":
-        run_job(spark, a.name, a.store, a.outcomes, a.requests, a.now, a.finalizations, a.hot_rows)
+        run_job(spark, a.name, a.store, a.outcomes, a.requests, a.now, a.finalizations, a.range_rows)
     else:
         tables = read_snapshot(spark, a.store)
         if a.name == "species_monthly_sales":
             df = sales.species_monthly_sales(tables, a.year)
+        elif a.name in ASKED:
+            kind, fn = ASKED[a.name]
+            df = fn(tables, read_requests(spark, a.requests, kind))
         else:
             df = REPORTS[a.name](tables, **report_args(a.set))
         df.write.mode("errorifexists").parquet(a.out)

@@ -75,6 +75,14 @@ KEYS: dict[str, tuple[str, ...]] = {
     "supply_requests": ("data", "fornitore_scelto", "specie_richiesta"),
 }
 
+# Totals kept beside the tables (``operators.totals``): sum of the quantities and number of the rows per key.
+TOTAL_TABLES: dict[str, T.StructType] = {
+    "ordered_totals": _schema(("ordine", INT, False), ("somma", LONG, False), ("righe", LONG, False)),
+    "packed_totals": _schema(("ordine", INT, False), ("specie_di_pianta", INT, False), ("somma", LONG, False), ("righe", LONG, False)),
+    "request_totals": _schema(("specie_richiesta", INT, False), ("fornitore_scelto", INT, False), ("somma", LONG, False),
+                              ("righe", LONG, False)),
+}
+
 # Maximum lengths of the string columns in the order system.
 MAX_LENGTH: dict[tuple[str, str], int] = {
     ("species", "nome_latino"): 64,

@@ -94,7 +94,7 @@ DERIVATIONS: dict[str, str] = {
     "availability": "select distinct l_partkey specie_di_pianta, l_suppkey fornitore from {lineitem}",
     "supply_requests": (
         "select l_shipdate data, l_suppkey fornitore_scelto, l_partkey specie_richiesta, sum(l_quantity) quantita, "
-        "case when max(l_linestatus)='O' then 1 else 0 end pendente_si_no from {lineitem} where l_linenumber<=4 "
+        "case when max(l_linestatus)='O' then 1 else 0 end pendente_si_no from {lineitem} "
         "group by l_shipdate, l_suppkey, l_partkey"),
     "colourings": (
         "select codice specie_fiorita, split_part(nome_comune,' ',1) colore from {species} where verde_or_fiorita=0 "

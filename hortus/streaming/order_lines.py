@@ -75,7 +75,7 @@ class StockLedger(StatefulProcessor):
             if ordine is not None and self.lines.containsKey((int(ordine),)):
                 held = self.lines.getValue((int(ordine),))[0]
                 cur = None if held == REMOVED else held
-            code, noop, delta, new_qty = ledger_step(op, q, cur, stock, bool(final), pre)
+            code, noop, delta, new_qty, _ = ledger_step(op, q, cur, stock, bool(final), pre)
             if code is None and not noop:
                 stock -= delta
                 self.lines.updateValue((int(ordine),), (REMOVED if new_qty is None else int(new_qty),))

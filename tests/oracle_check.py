@@ -12,9 +12,9 @@ import duckdb
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
-def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
+def duck(sf_dir: str, tables: tuple[str, ...] = RAW) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
-    for t in RAW:
+    for t in tables:
         con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
     return con
 

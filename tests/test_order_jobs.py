@@ -13,8 +13,8 @@ def _rows(df):
 import pytest
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 8])
-def test_line_changes_match_replay(src, tables, hot_rows):
+@pytest.mark.parametrize("range_rows", [1_000_000, 100])
+def test_line_changes_match_replay(src, tables, range_rows):
     changes = _rows(RQ.order_line_changes(src))
     fins = _rows(RQ.finalizations(src))
     stock = {r["codice"]: r["giacenza"] for r in tables["species"].collect()}
@@ -22,7 +22,7 @@ def test_line_changes_match_replay(src, tables, hot_rows):
     lines = {(r["ordine"], r["specie_di_pianta"]): r["quantita"] for r in tables["order_lines"].collect()}
     want, want_stock, want_lines, want_emptied = SEQ.replay_line_changes(stock, orders, lines, changes, fins)
 
-    res = OR.apply_order_line_changes(tables, RQ.order_line_changes(src), RQ.finalizations(src), hot_rows=hot_rows)
+    res = OR.apply_order_line_changes(tables, RQ.order_line_changes(src), RQ.finalizations(src), range_rows=range_rows)
     got = {(r["ts"], r["seq"]): (r["esito"], r["code"], r["stock_after"]) for r in res.outcomes.collect()}
     assert len(got) == len(changes)
     mismatches = [(k, got[k], want[k]) for k in want if got[k][:2] != want[k][:2]]
@@ -51,8 +51,8 @@ def test_line_changes_invariants(src, tables):
     assert n == res.outcomes.filter("esito in ('accepted','noop','rejected')").count()
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 5])
-def test_new_orders_match_replay(src, tables, hot_rows):
+@pytest.mark.parametrize("range_rows", [1_000_000, 5])
+def test_new_orders_match_replay(src, tables, range_rows):
     reqs = _rows(RQ.new_orders(src))
     stock = {r["codice"]: r["giacenza"] for r in tables["species"].collect()}
     customers = {r["codice"]: (r["indirizzo_residenza"], r["contatto_preferito"]) for r in tables["customers"].collect()}
@@ -63,7 +63,7 @@ def test_new_orders_match_replay(src, tables, hot_rows):
         owners.setdefault(r["contatto"], set()).add(r["referente"])
     max_id = max(r["id"] for r in tables["orders"].select("id").collect())
     want, want_stock = SEQ.replay_new_orders(stock, customers, owners, reqs, max_id)
-    res = OR.open_orders(tables, RQ.new_orders(src), hot_rows=hot_rows)
+    res = OR.open_orders(tables, RQ.new_orders(src), range_rows=range_rows)
     got = {(r["ts"], r["seq"]): (r["esito"], r["code"], r["id"]) for r in res.outcomes.collect()}
     assert got == want
     assert {r["codice"]: r["giacenza"] for r in res.tables["species"].collect()} == want_stock

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from hortus.functions.ordered import with_neighbour
+from hortus.functions.ordered import neighbour, rank_in_key
 from hortus.functions.sequence import number_in_order
 
 
@@ -16,17 +16,24 @@ def _skewed(spark, n=5000):
 
 
 def test_neighbours_match_window_on_a_hot_key(spark):
-    df = _skewed(spark)
+    df = _skewed(spark).withColumn("b", F.date_trunc("hour", "ts")).withColumn("v", F.when(F.col("v") % 7 != 0, F.col("v")))
     w = Window.partitionBy("k").orderBy("ts", "seq")
     want = {r["seq"]: (r["p"], r["n"]) for r in
             df.select("seq", F.lag("v").over(w).alias("p"), F.lead("ts").over(w).alias("n")).collect()}
-    prev = with_neighbour(df, ["k"], ["ts", "seq"], ["v"], "previous")
-    nxt = with_neighbour(df, ["k"], ["ts", "seq"], ["ts"], "next")
+    prev = neighbour(df, "k", "b", ["ts", "seq"], ["v"], "previous")
+    nxt = neighbour(df, "k", "b", ["ts", "seq"], ["ts"], "next")
     got_p = {r["seq"]: r["prev_v"] for r in prev.collect()}
     got_n = {r["seq"]: r["next_ts"] for r in nxt.collect()}
     assert {s: (got_p[s], got_n[s]) for s in want} == want
 
 
+def test_rank_in_key_counts_along_a_hot_key(spark):
+    df = _skewed(spark)
+    w = Window.partitionBy("k").orderBy("ts", "seq")
+    want = {r["seq"]: r["n"] for r in df.select("seq", F.row_number().over(w).alias("n")).collect()}
+    assert {r["seq"]: r["n"] for r in rank_in_key(df, "k", ["ts", "seq"], "n").collect()} == want
+
+
 def test_hot_key_spans_several_partitions(spark):
     from hortus.functions.ordered import tag_ranges
     parts = tag_ranges(_skewed(spark), ["k"], ["ts", "seq"]).filter("k = 0").select("_part").distinct().count()

@@ -17,24 +17,24 @@ def loose(kind):
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in REQUESTS[kind].fields)
 
 
-@pytest.mark.parametrize("hot_rows", [1, 1_000_000])
-def test_null_in_a_line_change_moves_no_stock(spark, hot_rows):
+@pytest.mark.parametrize("range_rows", [1, 1_000_000])
+def test_null_in_a_line_change_moves_no_stock(spark, range_rows):
     t = build(spark, species=[sp(1, 50)], orders=[order(1, "A")], order_lines=[(1, 1, 5)])
     r = req(spark, [(ts(1), 1, None, "A", 1, 1, 5), (ts(2), 2, "REMOVE", "A", 1, None, None),
                     (ts(3), 3, "REMOVE", "A", None, 1, None), (ts(4), 4, "REMOVE", None, 1, 1, None),
                     (ts(5), 5, "CHANGE", "A", 1, 1, 6), (ts(6), 6, "CHANGE", "A", 1, 1, 7)], LINE_SCHEMA)
-    res = OR.apply_order_line_changes(t, r, hot_rows=hot_rows)
+    res = OR.apply_order_line_changes(t, r, range_rows=range_rows)
     assert outcome_codes(res) == [codes.INVALID] * 4 + [None, None]
     assert res.tables["species"].first()["giacenza"] == 48
     assert [tuple(x) for x in res.tables["order_lines"].collect()] == [(1, 1, 7)]
 
 
-@pytest.mark.parametrize("hot_rows", [1, 1_000_000])
-def test_null_in_a_new_order(spark, hot_rows):
+@pytest.mark.parametrize("range_rows", [1, 1_000_000])
+def test_null_in_a_new_order(spark, range_rows):
     t = build(spark, species=[sp(1, 50)], customers=[("A", "a", "res", None, 1, "a@x")])
     r = req(spark, [(ts(1), 1, "A", None, None, None, 4), (ts(2), 2, None, None, None, 1, 4),
                     (ts(3), 3, "A", None, None, 1, 4), (ts(4), 4, "A", None, None, 1, 4)], loose("new_orders"))
-    assert outcome_codes(OR.open_orders(t, r, hot_rows=hot_rows)) == [codes.INVALID, codes.INVALID, None, None]
+    assert outcome_codes(OR.open_orders(t, r, range_rows=range_rows)) == [codes.INVALID, codes.INVALID, None, None]
 
 
 def test_null_in_set_wise_requests(spark):
