@@ -18,6 +18,7 @@ from hortus.operators import orders as RO
 from hortus.operators.jobs import catalog as CA
 from hortus.operators.jobs import customers as CU
 from hortus.operators.jobs import suppliers as SU
+from hortus.plans import requests as RQ
 from hortus.plans.fixture_sql import with_fixtures as W
 from hortus.plans.registry import register_source
 from hortus.sources.testdata import TestdataTables
@@ -116,8 +117,10 @@ COLOUR_REQ = (
     "select l_shipdate ts, cast(l_orderkey*8+l_linenumber as bigint) seq, cast(l_partkey as int) specie_fiorita, "
     "case when l_linenumber%2=0 then 'white' else 'red' end colore from {lineitem}")
 
+COLOUR_COLS = "ts, seq, specie_fiorita, colore"
+
 _C4_CTES = (
-    f"r as ({as_sql(COLOUR_REQ)}), "
+    f"r as ({RQ.fit_sql(as_sql(COLOUR_REQ), COLOUR_COLS)}), "
     "c as (select r.*, case when s.verde_or_fiorita=1 then '45019' when s.codice is null then '45014' "
     "when exists (select 1 from colourings k where k.specie_fiorita=r.specie_fiorita and k.colore=r.colore) then '45030' end s "
     "from r left join species s on s.codice=r.specie_fiorita), "
@@ -125,7 +128,8 @@ _C4_CTES = (
 
 
 @register_source("add_colourings", W(
-    f"select ts, seq, specie_fiorita, colore, code, {_outcome()} from e", "species", "colourings", extra=_C4_CTES))
+    f"select ts, seq, specie_fiorita, colore, code, {_outcome()} from e" + RQ.refused_sql(as_sql(COLOUR_REQ), COLOUR_COLS),
+    "species", "colourings", extra=_C4_CTES))
 def add_colourings(src):
     """C4: outcome per colour request."""
     return CA.add_colourings(src.tables(), derive(src, COLOUR_REQ)).outcomes
@@ -135,7 +139,8 @@ def add_colourings(src):
     "select ts, seq, specie_fiorita, colore, cast(null as varchar) code, "
     + _outcome(noop="not present or " + _earlier("specie_fiorita, colore", "present")) +
     " from (select r.*, exists (select 1 from colourings k where k.specie_fiorita=r.specie_fiorita "
-    f"and k.colore=r.colore) present from ({as_sql(COLOUR_REQ)}) r) z", "species", "colourings"))
+    f"and k.colore=r.colore) present from ({RQ.fit_sql(as_sql(COLOUR_REQ), COLOUR_COLS)}) r) z"
+    + RQ.refused_sql(as_sql(COLOUR_REQ), COLOUR_COLS), "species", "colourings"))
 def remove_colourings(src):
     """Removed (accepted) or absent (no-op) per colour removal."""
     return CA.remove_colourings(src.tables(), derive(src, COLOUR_REQ)).outcomes
@@ -348,6 +353,7 @@ def add_supplier_addresses(src):
 AVAIL_REQ = (
     "select l_shipdate ts, cast(l_orderkey*8+l_linenumber as bigint) seq, cast(l_suppkey as int) fornitore, "
     "cast(l_partkey+l_linenumber%2 as int) specie_di_pianta from {lineitem}")
+AVAIL_COLS = "ts, seq, fornitore, specie_di_pianta"
 
 
 @register_source("add_availability", W(
@@ -355,7 +361,8 @@ AVAIL_REQ = (
     + _earlier("fornitore, specie_di_pianta") + " then '45018' end) code from (select r.*, case when fornitore not in "
     "(select codice_fornitore from suppliers) or specie_di_pianta not in (select codice from species) then '45025' "
     "when exists (select 1 from availability v where v.fornitore=r.fornitore and v.specie_di_pianta=r.specie_di_pianta) "
-    f"then '45018' end s from ({as_sql(AVAIL_REQ)}) r) z) y", "suppliers", "species", "availability"))
+    f"then '45018' end s from ({RQ.fit_sql(as_sql(AVAIL_REQ), AVAIL_COLS)}) r) z) y" + RQ.refused_sql(as_sql(AVAIL_REQ), AVAIL_COLS),
+    "suppliers", "species", "availability"))
 def add_availability(src):
     """C17: outcome per availability request."""
     return SU.add_availability(src.tables(), derive(src, AVAIL_REQ)).outcomes
@@ -365,6 +372,7 @@ SUPPLY_REQ = (
     "select l_shipdate ts, cast(l_orderkey*8+l_linenumber as bigint) seq, cast(l_suppkey as int) fornitore, "
     "cast(case when l_linenumber=7 then l_partkey+1 else l_partkey end as int) specie_di_pianta, "
     "cast(l_quantity as int) quantita from {lineitem}")
+SUPPLY_COLS = "ts, seq, fornitore, specie_di_pianta, quantita"
 
 
 @register_source("load_supply_requests", W(
@@ -373,7 +381,8 @@ SUPPLY_REQ = (
     "case when quantita is null or quantita<0 then 'INVALID' when not exists (select 1 from availability v where "
     "v.fornitore=r.fornitore and v.specie_di_pianta=r.specie_di_pianta) then '45024' when exists (select 1 from "
     "supply_requests q where q.data=r.ts and q.fornitore_scelto=r.fornitore and q.specie_richiesta=r.specie_di_pianta) "
-    f"then 'DUPLICATE' end s from ({as_sql(SUPPLY_REQ)}) r) z) y", "availability", "supply_requests"))
+    f"then 'DUPLICATE' end s from ({RQ.fit_sql(as_sql(SUPPLY_REQ), SUPPLY_COLS)}) r) z) y"
+    + RQ.refused_sql(as_sql(SUPPLY_REQ), SUPPLY_COLS), "availability", "supply_requests"))
 def load_supply_requests(src):
     """Outcome per supply request."""
     return SU.load_supply_requests(src.tables(), derive(src, SUPPLY_REQ)).outcomes

@@ -26,7 +26,7 @@ def reason_case(col: str = "code") -> str:
 # C1 --------------------------------------------------------------------------
 
 _C1_CTES = (
-    f"req as ({RQ.PRICE_CHANGES_SQL}), "
+    f"req as ({RQ.fit_sql(RQ.PRICE_CHANGES_SQL, RQ.PRICE_CHANGE_COLS)}), "
     "open_p as (select specie_di_pianta, data_adozione open_since, valore open_value from prices where data_termine is null), "
     "checked as (select r.*, case when o.open_since is null then '45014' when r.valore is null or r.valore < 0 then 'INVALID' "
     "when r.ts <= o.open_since then 'OUT_OF_ORDER' end code from req r left join open_p o using (specie_di_pianta)), "
@@ -50,7 +50,8 @@ C1_OUTCOMES_SQL = W(
     "select c.ts, c.seq, c.specie_di_pianta, c.valore, c.code, "
     "case when c.code is not null then 'rejected' when coalesce(l.eff, false) then 'accepted' else 'noop' end esito, "
     f"{reason_case('c.code')} reason from checked c left join lagged l on l.specie_di_pianta=c.specie_di_pianta "
-    "and l.ts=c.ts and l.seq=c.seq and not l.is_open", "prices", extra=_C1_CTES)
+    "and l.ts=c.ts and l.seq=c.seq and not l.is_open" + RQ.refused_sql(RQ.PRICE_CHANGES_SQL, RQ.PRICE_CHANGE_COLS),
+    "prices", extra=_C1_CTES)
 
 
 @register_source("apply_price_changes", C1_PRICES_SQL)
@@ -217,8 +218,9 @@ def order_line_stream(src):
 
 # C13 oracle: the ledger as a recursive walk over each species' requests -------
 
+_FIT_LINE_CHANGES = RQ.fit_sql(RQ.ORDER_LINE_CHANGES_SQL, RQ.LINE_CHANGE_COLS)
 _C13_CTES = (
-    f"req as ({RQ.ORDER_LINE_CHANGES_SQL}), "
+    f"req as ({_FIT_LINE_CHANGES}), "
     f"fin_req as ({RQ.FINALIZATIONS_SQL}), "
     "fin as (select ordine, ts fts, seq fseq from (select f.*, row_number() over (partition by f.ordine "
     "order by f.ts, f.seq) k from fin_req f join ordini o on o.id=f.ordine and o.cliente=f.cliente) z where k=1), "
@@ -255,7 +257,8 @@ C13_OUTCOMES_SQL = W(
     "select b.ts, b.seq, b.op, b.cliente, b.ordine, b.specie_di_pianta, b.quantita, w.stock stock_after, w.code, "
     "case when w.code is not null then 'rejected' when w.noop then 'noop' else 'accepted' end esito, "
     f"{reason_case('w.code')} reason from walk w join base b on b.specie_di_pianta=w.specie_di_pianta and b.rn=w.rn "
-    "where w.rn > 0", "ordini", "order_lines", "species", extra=_C13_CTES, recursive=True)
+    "where w.rn > 0" + RQ.refused_sql(RQ.ORDER_LINE_CHANGES_SQL, RQ.LINE_CHANGE_COLS),
+    "ordini", "order_lines", "species", extra=_C13_CTES, recursive=True)
 
 _C13_FINAL = (
     "final as (select w.specie_di_pianta, w.stock, w.lines from walk w join (select specie_di_pianta, max(rn) m "
@@ -302,7 +305,7 @@ C12_OUTCOMES_SQL = W(
 # C19 oracle: each order's pack requests walked in order with the packed amounts,
 # new-pack handles, placed (pack, species) pairs and the next pack number as state.
 _C19_CTES = (
-    f"req as ({RQ.PACK_REQUESTS_SQL}), "
+    f"req as ({RQ.fit_sql(RQ.PACK_REQUESTS_SQL, RQ.PACK_COLS)}), "
     "b0 as (select r.*, o.aperto_or_finalizzato status, l.quantita ordered, pc.q packed0, "
     "p.numero is not null pack_exists, c.ordine is not null content_exists, coalesce(m.mx, 0) max_pack0 "
     "from req r left join ordini o on o.id=r.ordine "
@@ -340,7 +343,8 @@ _C19_CTES = (
 C19_OUTCOMES_SQL = W(
     "select b.ts, b.seq, b.ordine, b.pacco, b.new_pack, b.specie_di_pianta, b.quantita, w.num pack_number, w.code, "
     "case when w.code is null then 'accepted' else 'rejected' end esito, "
-    f"{reason_case('w.code')} reason from walk w join base b on b.ordine=w.ordine and b.rn=w.rn where w.rn > 0",
+    f"{reason_case('w.code')} reason from walk w join base b on b.ordine=w.ordine and b.rn=w.rn where w.rn > 0"
+    + RQ.refused_sql(RQ.PACK_REQUESTS_SQL, RQ.PACK_COLS),
     "ordini", "order_lines", "pack_contents", "packs", extra=_C19_CTES, recursive=True)
 
 C19_CONTENTS_SQL = W(
@@ -355,7 +359,7 @@ C22_SQL = W(
     "case when w.code is not null then 'rejected' when w.noop then 'noop' else 'accepted' end esito, "
     "w.stock stock_after from walk w join base b on b.specie_di_pianta=w.specie_di_pianta and b.rn=w.rn "
     "where w.rn > 0", "ordini", "order_lines", "species",
-    extra=_C13_CTES.replace(f"fin_req as ({RQ.FINALIZATIONS_SQL})",
+    extra=_C13_CTES.replace(_FIT_LINE_CHANGES, RQ.ORDER_LINE_CHANGES_SQL).replace(f"fin_req as ({RQ.FINALIZATIONS_SQL})",
                             f"fin_req as (select * from ({RQ.FINALIZATIONS_SQL}) q where false)"), recursive=True)
 
 _ORACLES_LATE = {"order_line_stream": C22_SQL,

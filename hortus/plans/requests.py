@@ -11,12 +11,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hortus.functions import codes
 from hortus.sources.schemas import PRICE
 from hortus.sources.testdata import TestdataTables
 
 UNKNOWN_SPECIES_OFFSET = 1_000_000_000
 
 
+def _marked_sql(sql: str, cols: str) -> str:
+    order = ", ".join(f"{c.strip()} nulls first" for c in cols.split(","))
+    return f"select *, row_number() over (partition by ts, seq order by {order}) > 1 again from ({sql}) q0"
+
+
+def fit_sql(sql: str, cols: str) -> str:
+    """The requests of ``sql`` with a (ts, seq) of their own: of those that share one, the least by ``cols``."""
+    return f"select {cols} from ({_marked_sql(sql, cols)}) q1 where not again"
+
+
+def refused_sql(sql: str, cols: str) -> str:
+    """The outcomes of the others, to follow a job's own."""
+    return (f" union all by name select {cols}, 'DUPLICATE' code, 'rejected' esito, "
+            f"'{codes.REASONS[codes.DUPLICATE]}' reason from ({_marked_sql(sql, cols)}) q1 where again")
+
+
+PRICE_CHANGE_COLS = "ts, seq, specie_di_pianta, valore"
+LINE_CHANGE_COLS = "ts, seq, op, cliente, ordine, specie_di_pianta, quantita"
+PACK_COLS = "ts, seq, ordine, pacco, new_pack, specie_di_pianta, quantita"
+
+
 def _seq(li: DataFrame):
     return (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long")
 

@@ -14,6 +14,10 @@ A finalized order is remembered for ``keep`` and then forgotten, by a timer: its
 owner and status in the one operator, its lines in the others.  What comes for
 it later is refused as for an unknown order (45005).  State lives in the RocksDB state
 store and is recovered from the checkpoint after a failure.
+
+Of the events of one order, or of one species, that share time and sequence all
+but one are ``DUPLICATE``; an event without sequence, order, customer or species is ``INVALID``,
+one without time comes to no watermark and is left out.
 """
 
 from __future__ import annotations
@@ -90,14 +94,16 @@ class _InOrder(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs()
         self.alarm.clear()
-        held = sorted(self.waiting.get(), key=lambda r: (r[0], r[1]))
+        held = sorted(self.waiting.get(), key=lambda r: tuple((v is not None, v) for v in r))
         ready = [r for r in held if r[0] <= until]
         rest = held[len(ready):]
         if rest:
             self.waiting.put(rest)
         else:
             self.waiting.clear()
-        out = self.apply(int(key[0]), ready, until)
+        # Of the events that share time and sequence here, the least has its place in the order.
+        again = {id(r) for r, last in zip(ready[1:], ready) if r[:2] == last[:2] and FORGET not in (r[2], last[2])}
+        out = self.apply(int(key[0]), ready, until, again)
         later = [r[0] for r in rest[:1]] + self.ends()
         if later:
             self.wake(min(later))
@@ -126,7 +132,7 @@ class OrderGate(_InOrder):
         """When a finalized order is to be forgotten."""
         return [self.order.get()[2]] if self.order.exists() and self.order.get()[2] is not None else []
 
-    def apply(self, order: int, ready: list, until: int) -> list[tuple]:
+    def apply(self, order: int, ready: list, until: int, again: set) -> list[tuple]:
         out = []
 
         def forgotten(ms: int) -> None:
@@ -137,12 +143,15 @@ class OrderGate(_InOrder):
                 self.order.clear()
                 self.touched.clear()
 
-        for ms, seq, op, cliente, _, sp, q, q0, _, _ in ready:
+        for event in ready:
+            ms, seq, op, cliente, _, sp, q, q0, _, _ = event
             forgotten(ms - 1)
             owner, final, end = self.order.get() if self.order.exists() else (None, False, None)
             mine, code = owner is not None and owner == cliente, None
-            if order < 0 or cliente is None or op not in (NEW_ORDER, FINALIZE, *OPS) or (op in OPS and sp is None):
+            if seq is None or order < 0 or cliente is None or op not in (NEW_ORDER, FINALIZE, *OPS) or (op in OPS and sp is None):
                 code = codes.INVALID
+            elif id(event) in again:
+                code = codes.DUPLICATE
             elif op == NEW_ORDER:
                 code = codes.DUPLICATE if owner is not None else None
                 if code is None:
@@ -177,15 +186,18 @@ class StockGate(_InOrder):
     def ends(self) -> list[int]:
         return []
 
-    def apply(self, species: int, ready: list, until: int) -> list[tuple]:
+    def apply(self, species: int, ready: list, until: int, again: set) -> list[tuple]:
         out, stock = [], self.stock.get()[0] if self.stock.exists() else None
-        for ms, seq, op, cliente, ordine, sp, q, q0, pre, final in ready:
+        for event in ready:
+            ms, seq, op, cliente, ordine, sp, q, q0, pre, final = event
             if op == FORGET:
                 if self.lines.containsKey((ordine,)):
                     self.lines.removeKey((ordine,))
                 continue
             code, noop = pre, False
-            if op == RESTOCK:
+            if id(event) in again and pre is None:
+                code = codes.DUPLICATE
+            elif op == RESTOCK:
                 code = codes.UNKNOWN_SPECIES if stock is None else codes.INVALID if q is None or q < 0 else None
                 stock = stock if code else stock + q
             elif op in OPS and pre is None:

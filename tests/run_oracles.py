@@ -12,7 +12,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from hortus.session import local_session  # noqa: E402
-from tests.oracle_check import compare, duck  # noqa: E402
+from tests.oracle_check import RAW, compare, duck  # noqa: E402
 
 import __spark_entry__ as E  # noqa: E402
 
@@ -21,7 +21,7 @@ def main() -> int:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:]
     spark = local_session(8, 8)
-    con = duck(sf_dir)
+    con = duck(sf_dir, (*RAW, "documents", "pages", "benchmark", "labels", "conversations", "embeddings"))
     qs, oracles = E.queries(), E.oracle_sql()
     bad = ok_count = rows_only = 0
     for name, fn in qs.items():

@@ -166,7 +166,9 @@ def test_bad_events_and_empty_input(spark, tmp_path):
     t = small(spark, species=[sp(1, 5)], orders=[order(1, "A")])
     live = Live(spark, t, str(tmp_path))
     live.feed((at(1), 1, "ADD", None, 1, 1, 1), (at(2), 2, "ADD", "A", None, 1, 1), (at(3), 3, "ADD", "A", 1, None, 1), (at(4), 4, None, "A", 1, 1, 1),
-              (at(5), 5, "ADD", "A", 1, 1, -1), (at(6), 6, "ADD", "A", 1, 99, 1), (at(7), 7, "RESTOCK", None, None, 99, 1), (at(8), 8, "ADD", "A", 1, 1, 5))
+              (at(5), 5, "ADD", "A", 1, 1, -1), (at(6), 6, "ADD", "A", 1, 99, 1), (at(7), 7, "RESTOCK", None, None, 99, 1), (at(8), 8, "ADD", "A", 1, 1, 4),
+              (at(8), 8, "ADD", "A", 1, 1, 4), (at(9), 9, "RESTOCK", None, None, 1, 2), (at(9), 9, "RESTOCK", None, None, 1, 2))
     live.until(at(60))
-    assert [(r[0], r[3]) for r in live.rows()] == [(1, "INVALID"), (2, "INVALID"), (3, "INVALID"), (4, "INVALID"), (5, "INVALID"),
-                                                   (6, "45014"), (7, "45014"), (8, None)]
+    assert sorted((r[0], r[3]) for r in live.rows() if r[3]) + [(r[0], r[3]) for r in live.rows() if not r[3]] == [(1, "INVALID"), (2, "INVALID"), (3, "INVALID"), (4, "INVALID"), (5, "INVALID"),
+                                                   (6, "45014"), (7, "45014"), (8, "DUPLICATE"), (9, "DUPLICATE"), (8, None), (9, None)]
+    assert live.rows()[-1][4] == 3  # 5 - 4 + 2
