@@ -15,7 +15,7 @@ from hortus.llm.common import materialise
 
 #: A kept term stands in so many documents of its language; shares are in billionths, with this much added to every count.
 LEAST, SCALE, ADDED, RANKS = 30, 1_000_000_000, 5, 50
-#: Terms of one transducer; bytes of transducers sent to the tasks for one pass over the texts; entries a task counts before it hands them on.
+#: Terms of one transducer; bytes of transducers sent to the tasks for one pass over the texts; entries a task adds up before it hands them on (places, which are only numbers: 16 times as many).
 TERMS, SENT, HELD = 1 << 16, 64 << 20, 1 << 18
 #: Terms and sources compared at once.
 BLOCK, SOURCES = 256, 32
@@ -116,18 +116,19 @@ def _words(text: str) -> list[bytes]:
 
 def _document_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(lang, term, n): documents with the term, added up within the task."""
-    def rows(counts: dict) -> pd.DataFrame:
-        return pd.DataFrame([(lang, t.decode("utf-8", "surrogatepass"), n) for lang, c in counts.items() for t, n in c.items()],
-                            columns=["lang", "term", "n"])
+    def rows() -> Iterator[pd.DataFrame]:
+        for lang, c in counts.items():
+            if c:  # terms hold no blank, so they can be decoded as one text
+                yield pd.DataFrame({"lang": lang, "term": b" ".join(c).decode("utf-8", "surrogatepass").split(" "), "n": list(c.values())})
+        counts.clear()
 
     counts: dict[str, Counter] = {}
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
             counts.setdefault(lang, Counter()).update(set(_words(text)))
-            if sum(map(len, counts.values())) > HELD:
-                yield rows(counts)
-                counts = {}
-    yield rows(counts)
+        if sum(map(len, counts.values())) > HELD:
+            yield from rows()
+    yield from rows()
 
 
 def _transducers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,10 +180,14 @@ def _recount(sent):
         machines: dict[str, list] = {}
         for lang, base, raw in sent.value:
             machines.setdefault(lang, []).append((base, Transducer.unpacked(raw)))
-        held: dict[tuple, Counter] = {}
+        held: dict[tuple, list] = {}  # (lang, source) -> places, still to be counted
+        size = 0
 
-        def rows() -> pd.DataFrame:
-            return pd.DataFrame([(*key, o, n) for key, c in held.items() for o, n in c.items()], columns=["lang", "source", "ord", "n"])
+        def rows() -> Iterator[pd.DataFrame]:
+            for (lang, source), places in held.items():
+                found, n = np.unique(np.concatenate(places), return_counts=True)
+                yield pd.DataFrame({"lang": lang, "source": source, "ord": found, "n": n})
+            held.clear()
 
         for batch in batches:
             for key, part in batch[batch["lang"].isin(machines.keys())].groupby(["lang", "source"], sort=False):
@@ -191,13 +196,14 @@ def _recount(sent):
                 start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
                 for base, machine in machines[key[0]]:
                     place = machine.places(raw, start, end)
-                    found, n = np.unique(place[place >= 0] + base, return_counts=True)
-                    counts = held.setdefault(key, Counter())
-                    counts.update(dict(zip(found.tolist(), n.tolist(), strict=True)))
-            if sum(map(len, held.values())) > HELD:
-                yield rows()
-                held = {}
-        yield rows()
+                    place = place[place >= 0] + base
+                    if place.size:
+                        held.setdefault(key, []).append(place)
+                        size += place.size
+            if size > 16 * HELD:
+                yield from rows()
+                size = 0
+        yield from rows()
     return run
 
 
