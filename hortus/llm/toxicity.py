@@ -14,6 +14,9 @@ from pyspark.sql.functions import pandas_udf
 from hortus.llm.common import materialise
 
 _WORD = re.compile(r"\w+")
+#: A document is rejected from the mark on that this share of the labelled toxic documents reaches when they
+#: are held out, unless more than this share of the clean ones would reach it too.
+RECALL, FALSE_ALARMS, FOLDS = 0.97, 0.03, 4
 
 
 def words(text: str | None) -> set[str]:
@@ -25,8 +28,8 @@ class OrdinalModel:
 
     One weight per word, shared by all ordered thresholds."""
 
-    def __init__(self, weights: dict[str, float], thresholds: list[float]):
-        self.weights, self.thresholds = weights, thresholds
+    def __init__(self, weights: dict[str, float], thresholds: list[float], mark: float = 0.5):
+        self.weights, self.thresholds, self.mark = weights, thresholds, mark
 
     def at_least(self, text: str | None) -> list[float]:
         score = sum(self.weights[w] for w in self.weights.keys() & words(text))
@@ -66,6 +69,27 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, steps: int = 400, rat
     return p[:f], thresholds().tolist()
 
 
+def held_out_mark(x: np.ndarray, y: np.ndarray, grades: int, recall: float = RECALL, false_alarms: float = FALSE_ALARMS) -> float:
+    """The probability of being toxic from which on a document is rejected.
+
+    Every row is scored by a model that has not seen its fold.  With fewer
+    toxic or clean rows than folds there is nothing to choose by: 0.5."""
+    toxic = y > 0
+    if min(toxic.sum(), (~toxic).sum()) < FOLDS:
+        return 0.5
+    fold, p = np.zeros(y.size, np.int64), np.zeros(y.size)
+    for part in (toxic, ~toxic):  # each fold gets its share of both
+        fold[part] = np.arange(part.sum()) % FOLDS
+    for k in range(FOLDS):
+        weights, cuts = fit_ordinal(x[fold != k], y[fold != k], grades)
+        score = (x[fold == k] @ weights.astype(x.dtype)).astype(float)
+        p[fold == k] = 1 / (1 + np.exp(np.clip(cuts[0] - score, -50, 50)))
+    reached = np.sort(p[toxic])[int((1 - recall) * toxic.sum())]
+    clean = np.sort(p[~toxic])[::-1]
+    bound = clean[min(int(false_alarms * clean.size), clean.size - 1)]
+    return float(reached if reached > bound else np.nextafter(bound, 2.0))
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_words: int = 1024, least_z: float = 4.0) -> OrdinalModel:
     """Fits on at most ``max_rows`` labelled documents (those of smallest id hash).
 
@@ -105,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_words: i
         y[i] = r["grade"]
         x[i, [index[w] for w in r["w"]]] = 1
     weights, cuts = fit_ordinal(x, y, 3)
-    return OrdinalModel({w: float(c) for w, c in zip(names, weights)}, cuts)
+    return OrdinalModel({w: float(c) for w, c in zip(names, weights)}, cuts, held_out_mark(x, y, 3))
 
 
 def severity(model: OrdinalModel):
@@ -117,17 +141,20 @@ def severity(model: OrdinalModel):
     return score
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, severity, p_toxic, toxic for every row; toxic: p_toxic >= ``threshold``.
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
+    """doc_id, severity, p_toxic, toxic for every row; toxic: p_toxic >= ``threshold``,
+    by default the mark found on held-out labelled rows (``held_out_mark``).
 
     Null and empty texts have no words.  Repeated rows are scored alike, an
     empty table gives no rows, other columns are not looked at."""
-    score = severity(train(docs, labels))
+    model = train(docs, labels)
+    score, threshold = severity(model), model.mark if threshold is None else threshold
     return (docs.select("doc_id", score(F.col("text")).alias("s")).select("doc_id", "s.severity", "s.p_toxic")
             .withColumn("toxic", F.col("p_toxic") >= threshold))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that are not toxic, columns unchanged."""
-    score = severity(train(docs, labels))
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
+    """The rows of ``docs`` that are not toxic (as in ``score_documents``), columns unchanged."""
+    model = train(docs, labels)
+    score, threshold = severity(model), model.mark if threshold is None else threshold
     return docs.where(score(F.col("text"))["p_toxic"] < threshold)

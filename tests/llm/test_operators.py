@@ -376,3 +376,18 @@ def test_repeated_passages_of_more_words(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: {x for s in r.spans for x in range(s.start, s.stop)} for r in suffixes.repeated_passages(df, least=100).collect()}
     assert got == dict(covered(rows, 100)) and len(got) == 2
+
+
+def test_toxicity_recall_and_false_alarms(spark):
+    """The mark chosen on held-out folds catches toxic texts that no fit has seen and leaves clean ones alone."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    train = labels.filter("doc_id % 3 > 0")
+    truth = labels.filter("doc_id % 3 = 0 and toxic is not null").select("doc_id", F.col("toxic").alias("truth"))
+    rows = truth.join(toxicity.score_documents(docs, train), "doc_id").collect()
+    assert sum(r.toxic for r in rows if r.truth) >= 0.9 * sum(r.truth for r in rows)
+    assert sum(r.toxic for r in rows if not r.truth) <= 0.06 * sum(not r.truth for r in rows)
+
+
+def test_held_out_mark_of_few_rows():
+    import numpy as np
+    assert toxicity.held_out_mark(np.zeros((6, 2), np.float32), np.array([0, 0, 1, 1, 0, 0]), 3) == 0.5
