@@ -12,7 +12,7 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session("*", 8, app="hortus-tests")
+    s = local_session("*", 4, app="hortus-tests")
     yield s
 
 

@@ -62,13 +62,18 @@ def of(kind, store):
 
 
 @pytest.mark.parametrize("name", sorted(CASES))
-def test_requests_that_share_a_time(spark, store, name):
-    """All but the least of the requests with one (ts, seq) are DUPLICATE, also of equal ones; the others go through."""
-    job, kind, a, b, _ = CASES[name]
+def test_order_and_required_columns(spark, store, name):
+    """One batch for each job: three requests that share a (ts, seq), two of them equal; requests without one;
+    a request with a NULL for each required column.  One of the three goes through, the others are refused."""
+    job, kind, a, b, required = CASES[name]
     rows = [(ts(1), 1, *a), (ts(1), 1, *b), (ts(1), 1, *a)]
-    res = job(of(kind, store), req(spark, rows, loose(kind)))
-    got = sorted((x["code"] or "") for x in res.outcomes.collect())
-    assert got == ["", "DUPLICATE", "DUPLICATE"]
+    untimed = [(None, 2, *a), (ts(3), None, *a), (None, None, *b)]
+    nulls = [(ts(9 + i), 90 + i, *(None if j == i else v for j, v in enumerate(a))) for i in required]
+    res = job(of(kind, store), req(spark, rows + untimed + nulls, loose(kind)))
+    out = res.outcomes.collect()
+    assert sorted(x["code"] or "" for x in out if x["seq"] == 1 and x["ts"] is not None) == ["", "DUPLICATE", "DUPLICATE"]
+    assert {x["code"] for x in out if x["seq"] != 1} == {codes.INVALID}
+    assert len(out) == 6 + len(required)
     if name not in ("line_changes", "packing", "new_species"):
         return
     alone = job(of(kind, store), req(spark, [min(rows, key=lambda r: [(v is not None, v) for v in r])], loose(kind)))
@@ -76,24 +81,6 @@ def test_requests_that_share_a_time(spark, store, name):
         assert sorted(map(repr, df.collect())) == sorted(map(repr, res.tables[table].collect())), table
 
 
-@pytest.mark.parametrize("name", sorted(CASES))
-def test_requests_without_time_or_sequence(spark, store, name):
-    job, kind, a, b, _ = CASES[name]
-    res = job(of(kind, store), req(spark, [(None, 1, *a), (ts(1), None, *a), (None, None, *a), (ts(2), 2, *b)], loose(kind)))
-    assert sorted((x["seq"] or 0, x["code"] or "") for x in res.outcomes.collect()) == [
-        (0, "INVALID"), (0, "INVALID"), (1, "INVALID"), (2, "")]
-
-
-@pytest.mark.parametrize("name", sorted(CASES))
-def test_null_in_a_required_column(spark, store, name):
-    job, kind, a, _, required = CASES[name]
-    for i in required:
-        row = tuple(None if j == i else v for j, v in enumerate(a))
-        res = job(of(kind, store), req(spark, [(ts(1), 1, *row)], loose(kind)))
-        assert outcome_codes(res) == [codes.INVALID], i
-        assert all(df.count() == store[t].count() or kind == "species_removals" for t, df in res.tables.items())
-
-
 def test_one_line_added_twice_at_one_time_takes_stock_once(spark):
     t = build(spark, species=[sp(1, 50)], orders=[order(1, "A")])
     r = req(spark, [(ts(1), 1, "ADD", "A", 1, 1, 3), (ts(1), 1, "ADD", "A", 1, 1, 3)], loose("line_changes"))

@@ -218,11 +218,14 @@ def test_a_lookup_by_key_meets_few_row_groups(spark, tmp_path):
         "cast(id as int) id", "lpad(cast(id * 7919 % 40000 as string), 11, '0') cliente", "timestamp_ntz'2000-03-01 00:00:00' data",
         "1 aperto_or_finalizzato", "'x' indirizzo_spedizione", "'c' contatto")
     root, old = str(tmp_path / "store"), spark.conf.get("spark.sql.adaptive.enabled")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # 8 files, not one
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
     try:
         write_snapshot(base, root, 1)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", old)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
     (folder,) = folders(root)["orders"]
     files = [f"{folder}/{f}" for f in os.listdir(folder) if f.endswith(".parquet")]
     assert len(files) >= 6
