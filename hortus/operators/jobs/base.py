@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from hortus.functions import codes
 from hortus.functions.checks import one_per_time, with_outcome
 from hortus.operators.totals import after
+from hortus.session import written
 
 Tables = Mapping[str, DataFrame]
 
@@ -69,7 +70,8 @@ def unsequenced(requests: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     untimed = F.col("ts").isNull() | F.col("seq").isNull()
     if requests.groupBy("ts", "seq").agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > 1) | untimed).isEmpty():
         return requests, None
-    marked = one_per_time(requests, "_repeated")
+    # Telling them apart reads the batch several times, so it is computed once.
+    marked = one_per_time(written(requests), "_repeated")
     code = F.when(untimed, F.lit(codes.INVALID)).when(F.col("_repeated"), F.lit(codes.DUPLICATE))
     return (marked.filter(~untimed & ~F.col("_repeated")).drop("_repeated"),
             with_outcome(marked.filter(untimed | F.col("_repeated")), code).drop("_repeated"))

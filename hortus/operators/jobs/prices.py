@@ -10,7 +10,7 @@ from hortus.functions.asof import quarter
 from hortus.functions.checks import first_failing, missing, with_outcome
 from hortus.functions.ordered import neighbour
 from hortus.operators.jobs.base import JobResult, Tables, in_sequence
-from hortus.session import checkpointed
+from hortus.session import written
 from hortus.sources.schemas import PRICE
 
 REQUEST_COLS = ("ts", "seq", "specie_di_pianta", "valore")
@@ -42,8 +42,8 @@ def apply_price_changes(tables: Tables, changes: DataFrame) -> JobResult:
         (missing("valore") | (F.col("valore") < 0), codes.INVALID),
         (F.col("ts") <= F.col("_open_since"), codes.OUT_OF_ORDER),
     )
-    # Checked once and checkpointed: the dedup, the chain and the outcomes all read it.
-    checked = checkpointed(j.withColumn("_code", code))
+    # Checked once and written: the dedup, the chain and the outcomes all read it.
+    checked = written(j.withColumn("_code", code))
     valid = checked.filter(F.col("_code").isNull())
     # Same species, same second: only the latest sequence number stays.
     latest = valid.groupBy("specie_di_pianta", "ts").agg(F.max("seq").alias("_last_seq"))
@@ -58,7 +58,7 @@ def apply_price_changes(tables: Tables, changes: DataFrame) -> JobResult:
     chain = neighbour(chain.withColumn("_quarter", quarter(F.col("ts"))), "specie_di_pianta", "_quarter", ["ts", "seq"], ["valore"])
     # The open price always stays; a change stays when it differs from the price before it.
     differs = F.col("_is_open") | ~F.coalesce(F.col("valore") == F.col("prev_valore"), F.lit(False))
-    chain = checkpointed(chain.withColumn("_effective", differs))
+    chain = written(chain.withColumn("_effective", differs))
     kept = neighbour(chain.filter(F.col("_effective")), "specie_di_pianta", "_quarter", ["ts", "seq"], ["ts"], "next")
     rewritten = kept.select("specie_di_pianta", F.col("ts").alias("data_adozione"), "valore",
                             F.col("next_ts").alias("data_termine"))

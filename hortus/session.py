@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -79,6 +80,16 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     return spark
 
 
+def written(df):
+    """``df`` as a Parquet table in the checkpoint folder, read back.
+
+    As ``checkpointed``, but the plan runs once and what reads the table gets a
+    columnar scan with sizes that AQE can plan by.  The table lives as long as the folder."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df):
     """Materialize ``df`` once into the checkpoint folder and cut its lineage.
 

@@ -38,7 +38,7 @@ def test_runner_applies_a_request_file(spark, src, tables, tmp_path):
     root = str(tmp_path / "store")
     write_snapshot(tables, root, 1)
     write_requests(RQ.order_line_changes(src), str(tmp_path / "req"), "line_changes")
-    v = run_job(spark, "line_changes", root, str(tmp_path / "outcomes"), requests=str(tmp_path / "req"), range_rows=20)
+    v = run_job(spark, "line_changes", root, str(tmp_path / "outcomes"), requests=str(tmp_path / "req"), range_rows=300)
     assert v == 2
     out = spark.read.parquet(str(tmp_path / "outcomes"))
     assert out.count() == RQ.order_line_changes(src).count()
