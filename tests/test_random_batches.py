@@ -1,7 +1,6 @@
 """Seeded random batches against the sequential replays, at several partition counts
 (SURVEY 5.3), and the price-history invariants after C1 (SURVEY 5.4)."""
 
-import datetime as dt
 import random
 from decimal import Decimal
 
