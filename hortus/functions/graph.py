@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hortus.session import checkpointed
+from hortus.session import written
 
 
 def components(edges: DataFrame) -> tuple[DataFrame, int]:
@@ -19,15 +19,15 @@ def components(edges: DataFrame) -> tuple[DataFrame, int]:
     def up_down(e: DataFrame) -> DataFrame:
         return e.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo").distinct()
 
-    links, state, rounds = checkpointed(up_down(edges)), None, 0
+    links, state, rounds = written(up_down(edges)), None, 0
     while True:
         rounds += 1
         both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(links.select("lo", "hi"))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = checkpointed(both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
+        large = written(both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").filter("lo <> m").select(F.col("lo").alias("a"), F.col("m").alias("b"))
-        links = checkpointed(up_down(small.unionAll(least.select("hi", "m"))))
+        links = written(up_down(small.unionAll(least.select("hi", "m"))))
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)"))).first()
         if now == state:
             break

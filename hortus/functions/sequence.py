@@ -4,7 +4,7 @@ A window with no partition would run in one task.  Instead the rows are range
 partitioned by the request order; each partition numbers its rows locally
 (``monotonically_increasing_id`` minus the partition base), the per-partition
 counts (one row per partition, a proven small size) give the offsets, and a
-broadcast join adds them.  The sorted rows are checkpointed first, so the
+broadcast join adds them.  The sorted rows are written first, so the
 numbering is computed once and survives lost executors.
 """
 
@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hortus.session import checkpointed
+from hortus.session import written
 
 
 def number_in_order(df: DataFrame, order_cols: Sequence[str], base: Column | int, out: str) -> DataFrame:
@@ -23,7 +23,7 @@ def number_in_order(df: DataFrame, order_cols: Sequence[str], base: Column | int
     local = (df.orderBy(*order_cols)
                .withColumn("_part", F.spark_partition_id())
                .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
-    local = checkpointed(local)
+    local = written(local)
     counts = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn(
         "_offset", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))

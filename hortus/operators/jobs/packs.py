@@ -35,7 +35,7 @@ from hortus.functions.columns import true_or_false
 from hortus.functions.ordered import column_values, fold_by_key, rank_in_key
 from hortus.operators.jobs.base import JobResult, Tables, in_sequence, years_of_orders
 from hortus.operators.totals import count
-from hortus.session import checkpointed
+from hortus.session import written
 
 REQUEST_COLS = ("ts", "seq", "ordine", "pacco", "new_pack", "specie_di_pianta", "quantita")
 RESULTS = [T.StructField("fold_code", T.StringType())]
@@ -95,25 +95,25 @@ def _decided(base: DataFrame) -> DataFrame:
     """``base`` with ``fold_code``, creations iterated to a fixed point."""
     schema = T.StructType([*(f for f in base.schema.fields if f.name != "_old"), T.StructField("has_pack", T.BooleanType()), *RESULTS])
     named = base.filter(F.col("new_pack").isNotNull())
-    made = checkpointed(named.filter("creates").select("ordine", "new_pack", F.col("pre_code").isNull().alias("_made")))
+    made = written(named.filter("creates").select("ordine", "new_pack", F.col("pre_code").isNull().alias("_made")))
     runs, redone, todo = [], None, None
     while True:
         part = base if todo is None else base.join(todo, _KEY, "left_semi")
         ready = (part.join(made, ["ordine", "new_pack"], "left")
                  .withColumn("has_pack", F.col("_old") | F.col("creates") | true_or_false(F.col("_made"))))
         ready = ready.select(*[f.name for f in schema.fields[:-1]])
-        done = checkpointed(fold_by_key(ready, _KEY, ["ts", "seq"], remainder_fold, schema))
+        done = written(fold_by_key(ready, _KEY, ["ts", "seq"], remainder_fold, schema))
         runs.append(done.withColumn("_run", F.lit(len(runs))))
         if todo is not None:
             again = todo.withColumn("_last", F.lit(len(runs) - 1))
             redone = again if redone is None else redone.unionByName(again)
         now = done.filter("creates").select("ordine", "new_pack", F.col("fold_code").isNull().alias("_now"))
         kept = made.join(now, ["ordine", "new_pack"], "left").withColumn("_now", F.coalesce("_now", "_made"))
-        changed = checkpointed(kept.filter(F.col("_now") != F.col("_made")).select("ordine", "new_pack"))
+        changed = written(kept.filter(F.col("_now") != F.col("_made")).select("ordine", "new_pack"))
         if changed.isEmpty():
             break
-        made = checkpointed(kept.select("ordine", "new_pack", F.col("_now").alias("_made")))
-        todo = checkpointed(named.filter(~F.col("creates")).join(changed, ["ordine", "new_pack"], "left_semi").select(*_KEY).distinct())
+        made = written(kept.select("ordine", "new_pack", F.col("_now").alias("_made")))
+        todo = written(named.filter(~F.col("creates")).join(changed, ["ordine", "new_pack"], "left_semi").select(*_KEY).distinct())
     every = runs[0]
     for more in runs[1:]:
         every = every.unionByName(more)
@@ -128,14 +128,14 @@ def allocate_packs(tables: Tables, requests: DataFrame) -> JobResult:
     """Returns new ``packs`` and ``pack_contents`` and per-request outcomes with the pack number.
 
     A NULL order, species or quantity, or a negative quantity, is ``INVALID``."""
-    decided = _decided(checkpointed(_prepared(tables, requests)))
+    decided = _decided(written(_prepared(tables, requests)))
     ok = decided.filter(F.col("fold_code").isNull())
     packs, contents = tables["packs"], tables["pack_contents"]
     top = packs.groupBy("ordine").agg(F.max("numero").alias("_top"))
     created = rank_in_key(ok.filter("creates").select("ordine", "new_pack", "ts", "seq"), "ordine", ["ts", "seq"], "_nth")
-    created = checkpointed(created.join(top, "ordine", "left").select(
+    created = written(created.join(top, "ordine", "left").select(
         "ordine", "new_pack", (F.coalesce(F.col("_top"), F.lit(0)) + F.col("_nth")).cast("int").alias("numero")))
-    decided = checkpointed(decided.select(*REQUEST_COLS, "fold_code").join(created, ["ordine", "new_pack"], "left").withColumn(
+    decided = written(decided.select(*REQUEST_COLS, "fold_code").join(created, ["ordine", "new_pack"], "left").withColumn(
         "pack_number", F.when(F.col("fold_code").isNull(), F.coalesce("numero", "pacco"))).drop("numero"))
     ok = decided.filter(F.col("fold_code").isNull())
     new_contents = contents.unionByName(ok.select("ordine", F.col("pack_number").alias("pacco"), "specie_di_pianta", "quantita"))
