@@ -86,11 +86,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        posted; values held by one class are never posted, nor is a class
        with too many shingles that no other class holds.
     3. In each posting list every class is first tested against the list's
-       smallest id only.  Classes linked by that need no further test among
-       themselves; what stays in different components is then tested across
-       components, so a large group of copies costs a star, not all pairs,
-       and no link between different components is lost.
-    4. Pairs with enough agreeing coordinates are confirmed on their full sets."""
+       leader only, the class whose values are held by most others.  Classes linked
+       by that need no further test among themselves; what stays in different
+       components is then tested across components, so a large group of copies
+       costs a star, not all pairs, and no link between different components is lost.
+    4. Across components the intersections with the leader bound those of two
+       members: what they share lies inside the leader or beside it, and neither part
+       is larger than the smaller of theirs.  Components, then a class and a
+       component, then two classes are dropped where that bound is too low.
+    5. Pairs with enough agreeing coordinates are confirmed on their full sets."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = materialise(src.mapInPandas(_signatures(coordinates, words),
                                        "doc_id long, n long, k1 long, k2 long, sig array<long>"), "sets")
@@ -100,46 +104,60 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = materialise(src.join(able, "doc_id", "left_semi").dropDuplicates(["doc_id"])
                        .mapInPandas(_sets(words, fine), "id long, n long, h array<long>, sig array<long>"), "full")
     prefix = F.expr(f"slice(t, 1, size(t) - {fine_matches} + 1).tok")
-    held = materialise(shared_values(full, fine_matches).select("id", "n", prefix.alias("toks")), "held")
+    weight = F.expr("aggregate(t, 0L, (a, x) -> a + x.df)")
+    held = materialise(shared_values(full, fine_matches).select("id", "n", weight.alias("w"), prefix.alias("toks")), "held")
     # Shingles that one class alone holds are in no intersection, whatever the partner.
     alone = (full.join(held, "id", "left_semi").select("id", F.explode("h").alias("g"))
              .groupBy("g").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
              .groupBy("id").agg(F.count("*").alias("own")))
     alone = materialise(alone, "alone")
     postings = materialise(held.join(alone, "id", "left").withColumn("s", F.expr("n - coalesce(own, 0)"))
-                           .where(f"100 * s >= {percent} * n").select("id", "n", "s", F.explode("toks").alias("tok")), "postings")
-    leaders = materialise(postings.groupBy("tok").agg(F.min_by(F.struct("id", "n", "s"), "id").alias("l"), F.count("*").alias("c"))
+                           .where(f"100 * s >= {percent} * n").select("id", "n", "s", "w", F.explode("toks").alias("tok")), "postings")
+    leaders = materialise(postings.groupBy("tok").agg(F.max_by(F.struct("id", "n", "s"), F.struct("w", -F.col("id"))).alias("l"), F.count("*").alias("c"))
                           .where("c > 1").selectExpr("tok", "l.id a", "l.n na", "l.s sa"), "leaders")
 
-    def fits(n1: str, s1: str, n2: str, s2: str) -> str:
-        """No intersection is larger than the smaller number of shingles that any other class holds."""
-        most = f"least({s1}, {s2})"
-        return f"100 * {most} >= {percent} * ({n1} + {n2} - {most})"
+    def fits(x: str, y: str) -> str:
+        """No intersection is larger than the smaller number of shingles that any other class holds, nor than the
+        smaller parts of these that lie inside (i) and beside (e) the leader's set."""
+        most = f"least(s{x}, s{y}, least(i{x}, i{y}) + least(e{x}, e{y}))"
+        return f"100 * {most} >= {percent} * (n{x} + n{y} - {most})"
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda z: z))
-        likely = materialise(pairs.join(full.selectExpr("id a", "n na", "sig sa"), "a").join(full.selectExpr("id b", "n nb", "sig sb"), "b")
-                             .where(agree >= fine_matches).select("a", "b", "na", "nb"), "likely")
-        both = F.size(F.array_intersect("ha", "hb"))
-        return materialise(likely.join(full.selectExpr("id a", "h ha"), "a").join(full.selectExpr("id b", "h hb"), "b")
-                           .withColumn("i", both).where(f"100 * i >= {percent} * (na + nb - i)").select("a", "b"), "links")
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        """``pairs`` with the size i of the intersection of their full sets."""
+        return materialise(pairs.join(full.selectExpr("id a", "n na", "h ha"), "a").join(full.selectExpr("id b", "n nb", "h hb"), "b")
+                           .select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).cast("long").alias("i")), name)
 
-    stars = materialise(postings.join(leaders, "tok").where("a != id").where(fits("n", "s", "na", "sa"))
+    linked = f"100 * i >= {percent} * (na + nb - i)"
+    most = "least(s, sa)"
+    stars = materialise(postings.join(leaders, "tok").where(f"a != id and 100 * {most} >= {percent} * (n + na - {most})")
                         .selectExpr("a", "id b").distinct(), "stars")
-    links = confirmed(stars)
+    known = confirmed(stars, "known")
+    links = known.where(linked).select("a", "b")
     found = components(links)
     # What stays apart in a posting list, by component: (tok, component) rows, then members.
-    placed = materialise(postings.join(found, "id", "left").withColumn("comp", F.coalesce("component", "id"))
-                         .select("tok", "comp", "id", "n", "s"), "placed")
-    parts = materialise(placed.groupBy("tok", "comp").agg(F.min("n").alias("n"), F.max("s").alias("s")), "parts")
-    mixed = parts.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
+    inside = F.expr("if(id = a, s, i)")
+    placed = materialise(postings.join(leaders.select("tok", "a"), "tok").join(known.selectExpr("a", "b id", "i"), ["a", "id"], "left")
+                         .join(found, "id", "left")
+                         .select("tok", F.coalesce("component", "id").alias("c"), "id", "n", "s", F.coalesce(inside, "s").alias("i"),
+                                 F.coalesce(F.col("s") - inside, "s").alias("e")), "placed")
+    parts = materialise(placed.groupBy("tok", "c").agg(F.min("n").alias("n"), *[F.max(x).alias(x) for x in "sie"]), "parts")
+    mixed = parts.groupBy("tok").agg(F.count("*").alias("k")).where("k > 1").select("tok")
     parts = materialise(parts.join(mixed, "tok", "left_semi"), "mixed")
-    apart = (parts.selectExpr("tok", "comp ca", "n n1", "s s1").join(parts.selectExpr("tok", "comp cb", "n n2", "s s2"), "tok")
-             .where("ca < cb and " + fits("n1", "s1", "n2", "s2")).select("tok", "ca", "cb"))
-    rest = (apart.join(placed.selectExpr("tok", "comp ca", "id x", "n nx", "s sx"), ["tok", "ca"])
-            .join(placed.selectExpr("tok", "comp cb", "id y", "n ny", "s sy"), ["tok", "cb"]).where(fits("nx", "sx", "ny", "sy"))
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    more = confirmed(rest.join(stars, ["a", "b"], "left_anti"))
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        return df.select("tok", *[F.col(c).alias(c + x) for c in df.columns if c != "tok"])
+
+    apart = (side(parts, "1").join(side(parts, "2"), "tok").where("c1 < c2 and " + fits("1", "2"))
+             .selectExpr("tok", "c1 cx", "c2 cy", "n2", "s2", "i2", "e2"))
+    rest = (apart.join(side(placed, "x"), ["tok", "cx"]).where(fits("x", "2"))
+            .join(side(placed, "y"), ["tok", "cy"]).where(fits("x", "y"))
+            .select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct())
+    agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda z: z))
+    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    likely = materialise(rest.join(tested, ["a", "b"], "left_anti")
+                         .join(full.selectExpr("id a", "sig sa"), "a").join(full.selectExpr("id b", "sig sb"), "b")
+                         .where(agree >= fine_matches).select("a", "b"), "likely")
+    more = confirmed(likely, "more").where(linked).select("a", "b")
     found = components(found.selectExpr("id a", "component b").unionAll(more))
     groups = materialise(classes.select("k1", "k2", "n", "id").join(found, "id", "left")
                          .select("k1", "k2", "n", F.coalesce("component", "id").alias("component")), "groups")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from hortus.llm import divergence, hard_negatives, queries, simhash
+from hortus.llm import divergence, hard_negatives, minhash, queries, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -254,3 +254,37 @@ def test_transducer_is_minimal_and_keeps_the_order():
     places = machine.places(np.frombuffer(buffer, np.uint8), np.array(start), np.array(end))
     assert places.tolist() == [*range(len(raw)), -1, -1, -1, -1, 3]
     assert divergence.Transducer.of([]).places(np.frombuffer(b"ab", np.uint8), np.array([0]), np.array([2])).tolist() == [-1]
+
+
+# ---- 7 near duplicates
+
+def family(members, outliers, seed):
+    """Texts of 150 words about one base, few and many of whose words are changed in ways that others share."""
+    rng, base = random.Random(seed), [f"b{i}" for i in range(150)]
+    rows = [" ".join(base)]
+    for i in range(1, members + outliers):
+        words = list(base)
+        for k in rng.sample(range(5, 145, 5), 1 if i < members else 5) + [149] * (i >= members):
+            words[k] = f"new{rng.randrange(3)}x{k}"
+        rows.append(" ".join(words))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_outliers_of_a_family_are_not_tested_against_all_its_members(spark, monkeypatch):
+    rows, counts = family(120, 40, 5), Counter()
+    wrote = minhash.materialise
+
+    def counted(df, name):
+        out = wrote(df, name)
+        counts[name] += out.count()
+        return out
+    monkeypatch.setattr(minhash, "materialise", counted)
+    out = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets, root = {d: set(minhash.shingles(t).tolist()) for d, t in rows}, {d: d for d, _ in rows}
+    for a, b in itertools.combinations(root, 2):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {d: low if r == high else r for d, r in root.items()}
+    assert out == root
+    assert counts["likely"] < 5 * len(rows)
