@@ -141,7 +141,7 @@ def draw(docs: DataFrame, texts: bool = False) -> DataFrame:
     without a copy) and ``shards`` are those of the copies read back.  With
     ``texts``, ``text`` is the text of the copies, null where none was taken."""
     mixed = materialise(mix(docs), "mixed")
-    copies = materialise(shard_rows(docs, mixed), "mixture")
+    copies = materialise(shard_rows(docs, mixed), "mixture", "zstd")
     back = copies.groupBy("row").agg(F.sum(_words()).alias("taken"), F.array_sort(F.collect_list(F.struct("copy", "shard")))["shard"].alias("shards"))
     rows = (mixed.drop("taken", "shards").join(back, "row", "left")
             .select("row", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"),

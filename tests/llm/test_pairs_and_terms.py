@@ -7,10 +7,12 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 
-from hortus.llm import divergence, hard_negatives, minhash, queries, simhash
+from hortus.llm import divergence, hard_negatives, minhash, mixing, queries, simhash, suffixes
 
 SF = "/root/testdata/sf0.001"
 
@@ -288,3 +290,17 @@ def test_outliers_of_a_family_are_not_tested_against_all_its_members(spark, monk
             root = {d: low if r == high else r for d, r in root.items()}
     assert out == root
     assert counts["likely"] < 5 * len(rows)
+
+
+# ---- 8 mixing, 10 repeated passages
+
+def test_the_mixture_is_written_compressed(spark, small, monkeypatch):
+    paths, wrote = {}, mixing.materialise
+
+    def seen(df, name, *how):
+        paths[name] = (out := wrote(df, name, *how)).inputFiles()
+        return out
+    monkeypatch.setattr(mixing, "materialise", seen)
+    assert mixing.draw(small).count() == small.count()
+    meta = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in paths["mixture"]]
+    assert {m.row_group(0).column(0).compression for m in meta if m.num_row_groups} == {"ZSTD"}
