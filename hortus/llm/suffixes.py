@@ -9,18 +9,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hortus.llm.common import _powers, gram_hashes, materialise, mix, signed, word_hashes
+from hortus.llm.common import _powers, materialise, mix, signed, word_hashes
 
 #: A passage of LEAST words holds a minimiser (of WINDOW runs of GRAM words) in its
 #: first GRAM + WINDOW - 1 words, so it has at most WINDOW - 1 words before one.
 LEAST, GRAM, WINDOW = 50, 16, 16
+#: Rows of keys gathered before they leave a task.
+ROWS = 20_000
 
 
 def minimisers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(positions, run hashes) at which the hash is the smallest of a window of runs."""
     if words.size < LEAST:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    g = gram_hashes(words, GRAM)
+    g = _run_hashes(words, np.arange(words.size - GRAM + 1), GRAM)
     at = np.lib.stride_tricks.sliding_window_view(g, WINDOW).argmin(axis=1) + np.arange(g.size - WINDOW + 1)
     at = at[np.diff(at, prepend=-1) != 0]
     return at, g[at]
@@ -69,14 +71,21 @@ def _run_hashes(words: np.ndarray, start: np.ndarray, least: int) -> np.ndarray:
 def _keys(least: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The retained suffixes extended to the left: two hashes of every whole run of ``least`` words that may occur twice."""
+        columns = ("doc_id", "pos", "k1", "k2")
         for b in batches:
+            held, rows = [], 0  # a frame of its own for each document costs more than its hashes
             for doc_id, text, wanted in zip(b["doc_id"], b["text"], b["at"]):
                 h = word_hashes(text)[0]
                 if h.size >= least:
                     start = _places(minimisers(h)[0], np.asarray(wanted, np.int64), h.size, least)
-                    yield pd.DataFrame({"doc_id": np.full(start.size, doc_id, np.int64), "pos": start,
-                                        "k1": _run_hashes(h, start, least).view(np.int64),
-                                        "k2": _run_hashes(mix(h + np.uint64(1)), start, least).view(np.int64)})
+                    held.append((np.full(start.size, doc_id, np.int64), start, _run_hashes(h, start, least).view(np.int64),
+                                 _run_hashes(mix(h + np.uint64(1)), start, least).view(np.int64)))
+                    rows += start.size
+                if rows >= ROWS:
+                    yield pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*held)))))
+                    held, rows = [], 0
+            if held:
+                yield pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*held)))))
     return run
 
 

@@ -304,3 +304,11 @@ def test_the_mixture_is_written_compressed(spark, small, monkeypatch):
     assert mixing.draw(small).count() == small.count()
     meta = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in paths["mixture"]]
     assert {m.row_group(0).column(0).compression for m in meta if m.num_row_groups} == {"ZSTD"}
+
+
+def test_keys_of_many_documents_leave_in_one_frame():
+    texts = [" ".join(f"w{d}x{i}" for i in range(80)) for d in range(50)]
+    batch = pd.DataFrame({"doc_id": range(50), "text": texts, "at": [suffixes.minimisers(suffixes.word_hashes(t)[0])[0] for t in texts]})
+    frames = list(suffixes._keys(50)(iter([batch])))
+    assert len(frames) == 1
+    assert Counter(frames[0]["doc_id"]) == Counter({d: 31 for d in range(50)})
