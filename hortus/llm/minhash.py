@@ -16,6 +16,8 @@ from hortus.llm.common import components, gram_hashes, materialise, mix, signed,
 COORDINATES, MATCHES, WORDS, PERCENT = 40, 17, 5, 75
 #: Finer signatures of the classes that pass the first: 205 of 320 (mean 240, deviation 7.7).
 FINE, FINE_MATCHES = 320, 205
+#: Shingles held by so many classes or fewer are rare: pairs that share one are looked up by it.
+RARE = 8
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -70,7 +72,7 @@ def shared_values(signatures: DataFrame, matches: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                     percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES,
-                    fine: int = FINE, fine_matches: int = FINE_MATCHES) -> DataFrame:
+                    fine: int = FINE, fine_matches: int = FINE_MATCHES, rare: int = RARE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
     A text without words (or null) has an empty set and links with nothing; a
@@ -90,10 +92,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        by that need no further test among themselves; what stays in different
        components is then tested across components, so a large group of copies
        costs a star, not all pairs, and no link between different components is lost.
-    4. Across components the intersections with the leader bound those of two
-       members: what they share lies inside the leader or beside it, and neither part
-       is larger than the smaller of theirs.  Components, then a class and a
-       component, then two classes are dropped where that bound is too low.
+    4. Across components a pair either shares a rare shingle, one of at most ``rare``
+       classes, and is looked up by it, or shares frequent ones only.  These are bounded
+       by the frequent parts of their intersections with the leader: what two members share
+       lies inside the leader or beside it, and neither part is larger than the
+       smaller of theirs.  Components, then a class and a component, then two classes are
+       dropped where that bound is too low, once for each leader, in however many
+       lists they meet.
     5. Pairs with enough agreeing coordinates are confirmed on their full sets."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = materialise(src.mapInPandas(_signatures(coordinates, words),
@@ -107,12 +112,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weight = F.expr("aggregate(t, 0L, (a, x) -> a + x.df)")
     held = materialise(shared_values(full, fine_matches).select("id", "n", weight.alias("w"), prefix.alias("toks")), "held")
     # Shingles that one class alone holds are in no intersection, whatever the partner.
-    alone = (full.join(held, "id", "left_semi").select("id", F.explode("h").alias("g"))
-             .groupBy("g").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
-             .groupBy("id").agg(F.count("*").alias("own")))
-    alone = materialise(alone, "alone")
-    postings = materialise(held.join(alone, "id", "left").withColumn("s", F.expr("n - coalesce(own, 0)"))
-                           .where(f"100 * s >= {percent} * n").select("id", "n", "s", "w", F.explode("toks").alias("tok")), "postings")
+    grams = full.join(held, "id", "left_semi").select("id", F.explode("h").alias("g"))
+    counts = materialise(grams.groupBy("g").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    sizes = materialise(grams.join(counts, "g").groupBy("id").agg(
+        F.count("*").alias("s"), F.collect_list(F.when(F.col("c") > rare, F.col("g"))).alias("hot"),
+        F.array_sort(F.collect_list(F.when(F.col("c") <= rare, F.struct("c", "g")))).alias("few")), "sizes")
+    postings = materialise(held.join(sizes.select("id", "s"), "id").where(f"100 * s >= {percent} * n")
+                           .select("id", "n", "s", "w", F.explode("toks").alias("tok")), "postings")
     leaders = materialise(postings.groupBy("tok").agg(F.max_by(F.struct("id", "n", "s"), F.struct("w", -F.col("id"))).alias("l"), F.count("*").alias("c"))
                           .where("c > 1").selectExpr("tok", "l.id a", "l.n na", "l.s sa"), "leaders")
 
@@ -134,24 +140,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = confirmed(stars, "known")
     links = known.where(linked).select("a", "b")
     found = components(links)
-    # What stays apart in a posting list, by component: (tok, component) rows, then members.
-    inside = F.expr("if(id = a, s, i)")
-    placed = materialise(postings.join(leaders.select("tok", "a"), "tok").join(known.selectExpr("a", "b id", "i"), ["a", "id"], "left")
-                         .join(found, "id", "left")
-                         .select("tok", F.coalesce("component", "id").alias("c"), "id", "n", "s", F.coalesce(inside, "s").alias("i"),
-                                 F.coalesce(F.col("s") - inside, "s").alias("e")), "placed")
-    parts = materialise(placed.groupBy("tok", "c").agg(F.min("n").alias("n"), *[F.max(x).alias(x) for x in "sie"]), "parts")
-    mixed = parts.groupBy("tok").agg(F.count("*").alias("k")).where("k > 1").select("tok")
-    parts = materialise(parts.join(mixed, "tok", "left_semi"), "mixed")
-
-    def side(df: DataFrame, x: str) -> DataFrame:
-        return df.select("tok", *[F.col(c).alias(c + x) for c in df.columns if c != "tok"])
-
-    apart = (side(parts, "1").join(side(parts, "2"), "tok").where("c1 < c2 and " + fits("1", "2"))
-             .selectExpr("tok", "c1 cx", "c2 cy", "n2", "s2", "i2", "e2"))
-    rest = (apart.join(side(placed, "x"), ["tok", "cx"]).where(fits("x", "2"))
-            .join(side(placed, "y"), ["tok", "cy"]).where(fits("x", "y"))
-            .select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct())
+    component = F.coalesce("component", "id").alias("c")
+    # What stays apart in a posting list, by component: members of a leader, (tok, component) rows.
+    placed = materialise(postings.join(leaders.select("tok", "a"), "tok").join(found, "id", "left")
+                         .select("tok", "a", component, "id", "n"), "placed")
+    mixed = placed.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("tok")
+    placed = materialise(placed.join(mixed, "tok", "left_semi"), "mixed")
+    inside = F.size(F.array_intersect("hota", "hot")).cast("long")
+    members = materialise(placed.select("a", "c", "id", "n").distinct().join(sizes.select("id", "hot"), "id")
+                          .join(sizes.selectExpr("id a", "hot hota"), "a")
+                          .select("a", "c", "id", "n", F.size("hot").cast("long").alias("s"), inside.alias("i"))
+                          .withColumn("e", F.expr("s - i")), "members")
+    bounds = [F.min("n").alias("n"), *[F.max(x).alias(x) for x in "sie"]]
+    parts = materialise(placed.select("tok", "a", "id").join(members, ["a", "id"]).groupBy("tok", "a", "c").agg(*bounds), "parts")
+
+    def side(df: DataFrame, x: str, *keys: str) -> DataFrame:
+        return df.select(*keys, *[F.col(c).alias(c + x) for c in df.columns if c not in keys])
+
+    apart = materialise(side(parts, "1", "tok", "a").join(side(parts.drop("a"), "2", "tok"), "tok")
+                        .where("c1 < c2 and " + fits("1", "2")).selectExpr("a", "c1 cx", "c2 cy").distinct(), "apart")
+    whole = members.groupBy("a", "c").agg(*bounds).withColumnRenamed("c", "cy")
+    rest = (apart.join(side(whole, "2", "a", "cy"), ["a", "cy"])
+            .join(side(members, "x", "a"), ["a", "cx"]).where(fits("x", "2"))
+            .join(side(members, "y", "a"), ["a", "cy"]).where(fits("x", "y"))
+            .select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")))
+    # A pair shares percent of the shingles of either; what the frequent ones leave of that are rare ones, so it
+    # meets in a prefix of these.
+    least = f"greatest(ceil({percent} * n / 100) - size(hot), 1)"
+    few = materialise(held.select("id", "n").join(sizes.where("size(few) > 0"), "id").where(f"100 * s >= {percent} * n")
+                      .withColumn("left", F.expr(f"size(few) - {least} + 1").cast("int")).where("left > 0")
+                      .select("id", "n", F.expr("explode(slice(few, 1, left).g)").alias("g"))
+                      .join(found, "id", "left").select("g", "id", "n", component), "few")
+    mixed = few.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g")
+    few = materialise(few.join(mixed, "g", "left_semi"), "mixed")
+    near = (side(few, "1", "g").join(side(few, "2", "g"), "g")
+            .where(f"id1 < id2 and c1 != c2 and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)").selectExpr("id1 a", "id2 b"))
+    rest = rest.unionAll(near).distinct()
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda z: z))
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     likely = materialise(rest.join(tested, ["a", "b"], "left_anti")

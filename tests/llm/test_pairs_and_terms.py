@@ -292,6 +292,41 @@ def test_outliers_of_a_family_are_not_tested_against_all_its_members(spark, monk
     assert counts["likely"] < 5 * len(rows)
 
 
+def scattered(members, edits, seed):
+    """Texts of 120 words about one base, each with up to ``edits`` changed words that a few others share."""
+    rng, base = random.Random(seed), [f"b{i}" for i in range(120)]
+    rows = []
+    for _ in range(members):
+        words = list(base)
+        for _ in range(rng.randint(1, edits)):
+            k = rng.randrange(120)
+            words[k] = f"new{rng.randrange(2)}x{k}"
+        rows.append(" ".join(words))
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("how", [{}, {"rare": 1}])
+def test_members_that_stay_apart_are_not_tested_in_every_list(spark, monkeypatch, how):
+    rows, counts = scattered(150, 7, 3), Counter()
+    wrote = minhash.materialise
+
+    def counted(df, name):
+        out = wrote(df, name)
+        counts[name] += out.count()
+        return out
+    monkeypatch.setattr(minhash, "materialise", counted)
+    out = {r.doc_id: r.component_id
+           for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect()}
+    sets, root = {d: set(minhash.shingles(t).tolist()) for d, t in rows}, {d: d for d, _ in rows}
+    for a, b in itertools.combinations(root, 2):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {d: low if r == high else r for d, r in root.items()}
+    assert out == root and len(set(root.values())) > 20
+    if not how:
+        assert counts["likely"] < 2 * len(rows)
+
+
 # ---- 8 mixing, 10 repeated passages
 
 def test_the_mixture_is_written_compressed(spark, small, monkeypatch):
