@@ -107,6 +107,21 @@ def test_line_dedup(spark, edge, small):
     assert {r.doc_id: r.n_removed for r in out}[7] == 1 and {r.doc_id: r.n_removed for r in out}[6] == 0
 
 
+def test_line_dedup_tells_texts_of_one_id_apart(spark):
+    line = "the very same line of words"
+    rows = [(1, f"{line}\nalpha"), (2, f"{line}\nbeta"), (2, "completely other text that is long enough here"),
+            (3, "seen in both texts of three\none"), (3, "seen in both texts of three\ntwo"), (4, None), (None, line)]
+    rows += rows[1:3]
+    out = line_dedup.drop_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = Counter((r.doc_id, r.text, r.n_removed) for r in out)
+    clean = Counter({(1, f"{line}\nalpha", 0): 1, (2, "beta", 1): 2, (2, "completely other text that is long enough here", 0): 2,
+                     (4, None, 0): 1, (None, line, 0): 1})
+    assert {k: c for k, c in got.items() if k[0] != 3} == clean
+    three = sorted(((t, n) for d, t, n in got if d == 3), key=lambda r: r[1])
+    assert [n for _, n in three] == [0, 1] and three[0][0].startswith("seen in both") and three[1][0] in ("one", "two")
+    assert {three[0][0][-3:], three[1][0]} == {"one", "two"}
+
+
 def test_line_offsets_rebuild_the_text(small):
     texts = dict(rows_of(small))
     for r in line_dedup.drop_repeated(small).where("n_removed > 0").collect():
