@@ -23,6 +23,7 @@ was assumed wrongly, and all before it, for good.  Pack numbers come last:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,115 +33,179 @@ from pyspark.sql import types as T
 from hortus.functions import codes
 from hortus.functions.checks import first_failing, missing, request_order, with_outcome
 from hortus.functions.columns import true_or_false
-from hortus.functions.ordered import column_values, fold_by_key, rank_in_key
-from hortus.operators.jobs.base import JobResult, Tables, in_sequence, years_of_orders
+from hortus.functions.ordered import cluster_by_key, column_values, fold_by_key, rank_in_key
+from hortus.operators.jobs.base import JobResult, Tables, unsequenced, with_refused, years_of_orders
 from hortus.operators.totals import count
-from hortus.session import written
+from hortus.session import passing_tables, shuffles_dropped, written
 
 REQUEST_COLS = ("ts", "seq", "ordine", "pacco", "new_pack", "specie_di_pianta", "quantita")
 RESULTS = [T.StructField("fold_code", T.StringType())]
+#: A batch is cut into slices of about so many requests, and into so many at most.
+SLICE_ROWS, MOST_SLICES = 4_000_000, 4
+_ORDER_OF = {"orders": "id", "order_lines": "ordine", "packs": "ordine", "pack_contents": "ordine"}
 _KEY = ["ordine", "specie_di_pianta"]
-_IN = ["ordine", "specie_di_pianta", "pacco", "new_pack", "quantita", "pre_code", "unpacked", "creates", "has_pack", "stored"]
+_IN = ["ordine", "specie_di_pianta", "pacco", "new_pack", "quantita", "pre_code", "unpacked", "creates", "has_pack", "stored", "content"]
 
 
 def remainder_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The requests of each (order, species) in order, against what is left to pack and where it lies."""
-    line, left, placed = None, 0, set()
+    """The requests of each (order, species) in order, against what is left to pack and where it lies.
+
+    What lies in the old packs comes first, as rows of its own (``content``), which go no further."""
+    line, left, placed, held = None, 0, set(), set()
     for pdf in batches:
-        found = []
-        for o, sp, pacco, handle, q, pre, unpacked, creates, has_pack, stored in zip(*[column_values(pdf[c]) for c in _IN]):
+        found, lies = [], []
+        for o, sp, pacco, handle, q, pre, unpacked, creates, has_pack, stored, content in zip(*[column_values(pdf[c]) for c in _IN]):
             if (o, sp) != line:
-                line, left, placed = (o, sp), unpacked, set()
+                line, left, placed, held = (o, sp), unpacked, set(), set()
             pack, code = (handle, pacco), pre
-            if code is None and q > left:
-                code = codes.ABOVE_REMAINDER
-            elif code is None and not has_pack:
-                code = codes.UNKNOWN_PACK
-            elif code is None and not creates and (stored or pack in placed):
-                code = codes.DUPLICATE
-            if code is None:
-                left -= q
-                placed.add(pack)
+            if content:
+                held.add(pacco)
+            stored = stored or handle is None and pacco in held
+            if code is None and not content:
+                if q > left:
+                    code = codes.ABOVE_REMAINDER
+                elif not has_pack:
+                    code = codes.UNKNOWN_PACK
+                elif not creates and (stored or pack in placed):
+                    code = codes.DUPLICATE
+                if code is None:
+                    left -= q
+                    placed.add(pack)
             found.append(code)
-        yield pdf.assign(fold_code=found)
+            lies.append(stored)
+        yield pdf.assign(fold_code=found, stored=lies)[~pdf["content"].astype(bool)].drop(columns="content")
 
 
-def _prepared(tables: Tables, requests: DataFrame) -> DataFrame:
-    """Requests with all that is known of them before any is accepted."""
+def _of_packs(tables: Tables, requests: DataFrame) -> DataFrame:
+    """Requests with what is known of their order and their pack, old or to be made."""
     r = requests.select(*REQUEST_COLS)
     o = tables["orders"].select(F.col("id").alias("ordine"), F.col("aperto_or_finalizzato").alias("_status"))
-    lines = tables["order_lines"].select(*_KEY, F.col("quantita").alias("_ordered"))
-    contents = tables["pack_contents"]
-    packed = contents.groupBy(*_KEY).agg(F.sum("quantita").alias("_packed"))
-    pk = tables["packs"].select("ordine", F.col("numero").alias("pacco"), F.lit(True).alias("_exists"))
-    ck = contents.select("ordine", "pacco", "specie_di_pianta", F.lit(True).alias("_content"))
     first = r.filter(F.col("new_pack").isNotNull()).groupBy("ordine", "new_pack").agg(F.min(request_order()).alias("_created"))
-    j = (r.join(lines, _KEY, "left").join(packed, _KEY, "left").join(pk, ["ordine", "pacco"], "left")
-          .join(ck, ["ordine", "pacco", "specie_di_pianta"], "left").join(o, "ordine", "left")
-          .join(first, ["ordine", "new_pack"], "left"))
+    pk = tables["packs"].filter(F.col("numero").isNotNull())
+    # One name for both kinds of pack, so that one join looks both up.
+    named = first.select(F.col("ordine").alias("_o"), F.col("new_pack").alias("_h"), F.lit(None).cast("int").alias("_p"), "_created",
+                         F.lit(False).alias("_exists"))
+    known = named.unionByName(pk.select(F.col("ordine").alias("_o"), F.lit(None).cast("string").alias("_h"), F.col("numero").alias("_p"),
+                                        F.lit(True).alias("_exists")), allowMissingColumns=True)
+    j = (r.join(o, "ordine", "left").withColumn("_pack", F.when(F.col("new_pack").isNull(), F.col("pacco")))
+          .join(known, (F.col("ordine") == F.col("_o")) & F.col("new_pack").eqNullSafe(F.col("_h")) & F.col("_pack").eqNullSafe(F.col("_p")), "left"))
     creates = true_or_false(F.col("_created") == request_order())
-    in_old = F.col("new_pack").isNull()
     pre = first_failing(
         (missing("ordine", "specie_di_pianta", "quantita") | (F.col("quantita") < 0), codes.INVALID),
         (creates & (F.col("_status") == 1), codes.ORDER_OPEN),
-        (creates & F.col("_status").isNull(), codes.UNKNOWN_PACK_ORDER),
-        (F.col("_ordered").isNull(), codes.NOT_IN_ORDER))
+        (creates & F.col("_status").isNull(), codes.UNKNOWN_PACK_ORDER))
+    in_old = F.col("new_pack").isNull()
+    return j.select(*REQUEST_COLS, pre.alias("pre_code"), creates.alias("creates"), (in_old & true_or_false(F.col("_exists"))).alias("_old"),
+                    (~in_old & true_or_false(F.col("_status") != 1)).alias("_made"))
+
+
+def _of_lines(tables: Tables, requests: DataFrame) -> DataFrame:
+    """``_of_packs`` with what is known of their lines, and the contents of these, clustered by line."""
+    lines = tables["order_lines"].select(*_KEY, F.col("quantita").alias("_ordered"))
+    contents = tables["pack_contents"]
+    packed = contents.groupBy(*_KEY).agg(F.sum("quantita").alias("_packed"))
+    no = F.lit(False)
+    # No NULL where none is needed, as a fold would get floats for it.
+    lies = contents.select(*_KEY, "pacco", F.lit(0).cast("long").alias("seq"), F.lit(0).alias("quantita"),
+                           no.alias("creates"), no.alias("_old"), no.alias("_made"), F.lit(True).alias("content"))
+    both = requests.withColumn("content", no).unionByName(lies, allowMissingColumns=True)
+    j = cluster_by_key(both, _KEY).join(lines, _KEY, "left").join(packed, _KEY, "left")
+    pre = F.coalesce(F.col("pre_code"), F.when(F.col("_ordered").isNull(), F.lit(codes.NOT_IN_ORDER)))
     return j.select(*REQUEST_COLS, pre.alias("pre_code"),
-                    (F.col("_ordered") - F.coalesce(F.col("_packed"), F.lit(0))).cast("long").alias("unpacked"),
-                    creates.alias("creates"), (in_old & true_or_false(F.col("_exists"))).alias("_old"),
-                    (in_old & true_or_false(F.col("_content"))).alias("stored"))
+                    (F.col("_ordered") - F.coalesce(F.col("_packed"), F.lit(0))).cast("long").alias("unpacked"), "creates", "_old",
+                    no.alias("stored"), "_made", "content")
+
+
+def _folded(ready: DataFrame, clustered: bool = False) -> DataFrame:
+    schema = T.StructType([*(f for f in ready.schema.fields if f.name != "content"), *RESULTS])
+    return written(fold_by_key(ready, _KEY, ["ts", "seq"], remainder_fold, schema, clustered))
 
 
 def _decided(base: DataFrame) -> DataFrame:
-    """``base`` with ``fold_code``, creations iterated to a fixed point."""
-    schema = T.StructType([*(f for f in base.schema.fields if f.name != "_old"), T.StructField("has_pack", T.BooleanType()), *RESULTS])
-    named = base.filter(F.col("new_pack").isNotNull())
-    made = written(named.filter("creates").select("ordine", "new_pack", F.col("pre_code").isNull().alias("_made")))
-    runs, redone, todo = [], None, None
-    while True:
-        part = base if todo is None else base.join(todo, _KEY, "left_semi")
+    """``base`` (of ``_of_lines``) with ``fold_code``, creations iterated to a fixed point."""
+    made, runs, redone, todo = None, [], None, None
+    # What a later request of a pack is first taken to meet, it carries itself: no join with the creations.
+    done = _folded(base.withColumn("has_pack", F.col("_old") | F.col("creates") | F.col("_made")), clustered=True)
+    base = done.drop("_made", "has_pack", "fold_code").withColumn("content", F.lit(False))
+    creations = done.filter("creates").select("ordine", "new_pack", "pre_code", F.col("fold_code").isNull().alias("_now"), "_made")
+    if written(creations.groupBy("ordine", "new_pack").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")).isEmpty():
+        runs.append(done.withColumn("_run", F.lit(0)))
+        made = creations.select("ordine", "new_pack", F.col("_now").alias("_made"))
+        changed = written(creations.filter(F.col("_now") != F.col("_made")).select("ordine", "new_pack"))
+    else:  # orders or lines that repeat: a request then meets each of the creations
+        made = written(creations.select("ordine", "new_pack", F.col("pre_code").isNull().alias("_made")))
+        changed = None
+    named = base.filter(F.col("new_pack").isNotNull() & ~F.col("creates"))
+    while changed is None or not changed.isEmpty():
+        part = base
+        if changed is not None:
+            todo = written(named.join(changed, ["ordine", "new_pack"], "left_semi").select(*_KEY).distinct())
+            part = base.join(todo, _KEY, "left_semi")
+            again = todo.withColumn("_last", F.lit(len(runs)))
+            redone = again if redone is None else redone.unionByName(again)
         ready = (part.join(made, ["ordine", "new_pack"], "left")
                  .withColumn("has_pack", F.col("_old") | F.col("creates") | true_or_false(F.col("_made"))))
-        ready = ready.select(*[f.name for f in schema.fields[:-1]])
-        done = written(fold_by_key(ready, _KEY, ["ts", "seq"], remainder_fold, schema))
+        done = _folded(ready.select(*base.columns, "has_pack"))
         runs.append(done.withColumn("_run", F.lit(len(runs))))
-        if todo is not None:
-            again = todo.withColumn("_last", F.lit(len(runs) - 1))
-            redone = again if redone is None else redone.unionByName(again)
         now = done.filter("creates").select("ordine", "new_pack", F.col("fold_code").isNull().alias("_now"))
         kept = made.join(now, ["ordine", "new_pack"], "left").withColumn("_now", F.coalesce("_now", "_made"))
         changed = written(kept.filter(F.col("_now") != F.col("_made")).select("ordine", "new_pack"))
-        if changed.isEmpty():
-            break
         made = written(kept.select("ordine", "new_pack", F.col("_now").alias("_made")))
-        todo = written(named.filter(~F.col("creates")).join(changed, ["ordine", "new_pack"], "left_semi").select(*_KEY).distinct())
-    every = runs[0]
-    for more in runs[1:]:
-        every = every.unionByName(more)
-    if redone is not None:  # of a line folded again its last run counts
-        every = (every.join(redone.groupBy(*_KEY).agg(F.max("_last").alias("_last")), _KEY, "left")
-                 .filter(F.col("_run") == F.coalesce(F.col("_last"), F.lit(0))).drop("_last"))
-    return every.drop("_run")
+    every = reduce(DataFrame.unionByName, [run.select(*REQUEST_COLS, "creates", "fold_code", "_run") for run in runs])
+    if redone is None:
+        return every.drop("_run")
+    # Of a line folded again its last run counts.
+    last = written(redone.groupBy(*_KEY).agg(F.max("_last").alias("_last")))
+    return written(every.join(last, _KEY, "left").filter(F.col("_run") == F.coalesce(F.col("_last"), F.lit(0))).drop("_last", "_run"))
+
+
+def _allocated(tables: Tables, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The requests with ``fold_code`` and ``pack_number``, and the packs created."""
+    decided = _decided(_of_lines(tables, written(_of_packs(tables, requests))))
+    ok = decided.filter(F.col("fold_code").isNull())
+    top = tables["packs"].groupBy("ordine").agg(F.max("numero").alias("_top"))
+    created = rank_in_key(ok.filter("creates").select("ordine", "new_pack", "ts", "seq"), "ordine", ["ts", "seq"], "_nth")
+    created = written(created.join(top, "ordine", "left").select(
+        "ordine", "new_pack", (F.coalesce(F.col("_top"), F.lit(0)) + F.col("_nth")).cast("int").alias("numero")), lasting=True)
+    decided = decided.select(*REQUEST_COLS, "fold_code")
+    named = F.col("new_pack").isNotNull()
+    numbered = (decided.filter(named).join(created, ["ordine", "new_pack"], "left")
+                .unionByName(decided.filter(~named), allowMissingColumns=True))
+    decided = numbered.withColumn("pack_number", F.when(F.col("fold_code").isNull(), F.coalesce("numero", "pacco")))
+    return written(decided.select(*REQUEST_COLS, "fold_code", "pack_number"), lasting=True), created
+
+
+def _sliced(df: DataFrame, order: str, n: int) -> DataFrame:
+    """Adds ``_slice``: in which of ``n`` slices of the orders a row is, a NULL order in one of them, too."""
+    return df.withColumn("_slice", F.pmod(F.xxhash64(F.col(order).cast("long")), F.lit(n)).cast("int"))
 
 
-@in_sequence
 def allocate_packs(tables: Tables, requests: DataFrame) -> JobResult:
     """Returns new ``packs`` and ``pack_contents`` and per-request outcomes with the pack number.
 
-    A NULL order, species or quantity, or a negative quantity, is ``INVALID``."""
-    decided = _decided(written(_prepared(tables, requests)))
+    A NULL order, species or quantity, or a negative quantity, is ``INVALID``.
+    Orders have nothing to do with one another, so a large batch is done a slice of
+    the orders at a time: what lies on disk between the steps is that of one slice."""
+    spark = requests.sparkSession
+    with passing_tables(spark):
+        fit, refused = unsequenced(requests)
+        if refused is not None:
+            refused = written(refused, lasting=True)
+        with shuffles_dropped(spark):
+            n = max(1, min(MOST_SLICES, -(-fit.count() // SLICE_ROWS)))
+        fit = written(_sliced(fit.select(*REQUEST_COLS), "ordine", n), lasting=True, by="_slice")
+    cut = {name: _sliced(tables[name], order, n) for name, order in _ORDER_OF.items()}
+    done = []
+    for i in range(n):
+        with passing_tables(spark):
+            part = {name: df.filter(F.col("_slice") == i) if n > 1 else df for name, df in cut.items()}
+            done.append(_allocated({name: df.drop("_slice") for name, df in part.items()}, fit.filter(F.col("_slice") == i)))
+    decided, created = (reduce(DataFrame.unionByName, frames) for frames in zip(*done))
     ok = decided.filter(F.col("fold_code").isNull())
     packs, contents = tables["packs"], tables["pack_contents"]
-    top = packs.groupBy("ordine").agg(F.max("numero").alias("_top"))
-    created = rank_in_key(ok.filter("creates").select("ordine", "new_pack", "ts", "seq"), "ordine", ["ts", "seq"], "_nth")
-    created = written(created.join(top, "ordine", "left").select(
-        "ordine", "new_pack", (F.coalesce(F.col("_top"), F.lit(0)) + F.col("_nth")).cast("int").alias("numero")))
-    decided = written(decided.select(*REQUEST_COLS, "fold_code").join(created, ["ordine", "new_pack"], "left").withColumn(
-        "pack_number", F.when(F.col("fold_code").isNull(), F.coalesce("numero", "pacco"))).drop("numero"))
-    ok = decided.filter(F.col("fold_code").isNull())
     new_contents = contents.unionByName(ok.select("ordine", F.col("pack_number").alias("pacco"), "specie_di_pianta", "quantita"))
-    outcomes = with_outcome(decided.select(*REQUEST_COLS, "fold_code", "pack_number"),
-                            F.col("fold_code")).drop("fold_code")
+    outcomes = with_outcome(decided, F.col("fold_code")).drop("fold_code")
     years = {"packs": years_of_orders(tables["orders"], created), "pack_contents": years_of_orders(tables["orders"], ok)}
-    return JobResult({"packs": packs.unionByName(created.select("ordine", "numero")), "pack_contents": new_contents}, outcomes, years=years,
-                     changes={"packed_totals": count(ok, "packed_totals")})
+    result = JobResult({"packs": packs.unionByName(created.select("ordine", "numero")), "pack_contents": new_contents}, outcomes, years=years,
+                       changes={"packed_totals": count(ok, "packed_totals")})
+    return with_refused(result, refused)
